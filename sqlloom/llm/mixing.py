@@ -99,8 +99,8 @@ def split(quotas: DataFrame, shards: int) -> DataFrame:
         todo = todo.withColumn("mid", F.expr("(lo + hi) div 2"))
         todo = todo.withColumns({"n": F.expr(q), "room": F.expr(f"cast({at('mid')} - {at('lo')} as bigint)")})
         todo = todo.withColumn("left", F.expr(left))
-        halves = todo.select("all", F.explode(F.expr("array(named_struct('lo', lo, 'hi', mid, 'q', left), named_struct('lo', mid, 'hi', hi, 'q', zip_with(q, left, (a, b) -> a - b)))")).alias("x"))
-        nodes = done.unionAll(halves.select("x.lo", "x.hi", "all", "x.q"))
+        halves = todo.select(F.explode(F.expr("array(named_struct('lo', lo, 'hi', mid, 'all', all, 'q', left), named_struct('lo', mid, 'hi', hi, 'all', all, 'q', zip_with(q, left, (a, b) -> a - b)))")).alias("x"))
+        nodes = done.unionAll(halves.select("x.lo", "x.hi", "x.all", "x.q"))
         shards = -(-shards // 2)
     return nodes.select(F.col("lo").alias("shard"), F.posexplode("q").alias("i", "quota"))
 
