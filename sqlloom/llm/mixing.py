@@ -87,7 +87,7 @@ def hypergeometric(total: str, marked: str, drawn: str, u: str) -> str:
 def split(quotas: DataFrame, shards: int) -> DataFrame:
     """(shard, i, quota): the splitting tree over one row with array ``q``."""
     q = "aggregate(q, 0L, (a, x) -> a + x)"
-    nodes = quotas.selectExpr("0L AS lo", f"{shards}L AS hi", f"{q} AS all", "q")
+    nodes = materialize(quotas.selectExpr("0L AS lo", f"{shards}L AS hi", f"{q} AS all", "q"), "mix-tree")
     draw = hypergeometric("s.rest", "x.q", "s.room", "x.u")
     left = f"""aggregate(transform(q, (c, j) -> named_struct('q', c, 'u', pmod(xxhash64({SEED}, lo, hi, j), 4503599627370496L) / 4503599627370496.0D)),
         named_struct('rest', n, 'room', room, 'out', cast(array() as array<bigint>), 'got', 0L),
@@ -100,7 +100,8 @@ def split(quotas: DataFrame, shards: int) -> DataFrame:
         todo = todo.withColumns({"n": F.expr(q), "room": F.expr(f"cast({at('mid')} - {at('lo')} as bigint)")})
         todo = todo.withColumn("left", F.expr(left))
         halves = todo.select(F.explode(F.expr("array(named_struct('lo', lo, 'hi', mid, 'all', all, 'q', left), named_struct('lo', mid, 'hi', hi, 'all', all, 'q', zip_with(q, left, (a, b) -> a - b)))")).alias("x"))
-        nodes = done.unionAll(halves.select("x.lo", "x.hi", "x.all", "x.q"))
+        # A level is as small as its sums; written, it keeps the plans flat.
+        nodes = materialize(done.unionAll(halves.select("x.lo", "x.hi", "x.all", "x.q")), "mix-tree")
         shards = -(-shards // 2)
     return nodes.select(F.col("lo").alias("shard"), F.posexplode("q").alias("i", "quota"))
 
@@ -157,7 +158,7 @@ def mix(docs: DataFrame, weights: list[int], share: float, limit: float = 2.0, d
     cut = rows.filter("budget IS NOT NULL").groupBy("i", "pass", "shard", "budget").agg(F.sort_array(F.collect_list(F.struct("size", "u", "row")), False).alias("docs"))
     take = f"aggregate(docs, {fits}, (a, d) -> if(d.size <= a.left, named_struct('left', a.left - d.size, 'rows', concat(a.rows, array(d.row))), a), a -> a.rows)"
     cut = cut.select(F.explode(F.expr(take)).alias("row"), "pass", "shard")
-    taken = rows.filter("budget IS NULL").select("row", "pass", "shard").unionAll(cut)
+    taken = materialize(rows.filter("budget IS NULL").select("row", "pass", "shard").unionAll(cut), "mix-taken")
     by_hash = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(SEED), "shard", "row", "pass"), "row")
     taken = taken.withColumn("position", F.row_number().over(by_hash))
     documents = placed.select("row", "id", "size", "source_size", "target")
