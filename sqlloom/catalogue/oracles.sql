@@ -11,7 +11,7 @@ select o_orderkey, o_orderstatus from orders where o_orderstatus = 'O'
 -- func: sentinel_filter
 select o_orderkey, o_custkey from orders where o_orderkey < 1000
 -- func: like_nocase
-select p_partkey, p_name from part where p_name ilike '%PART%1%' and p_name not ilike '%zzz%'
+select p_partkey, p_name from part where p_name ilike '%WIDGET%' and p_name not ilike '%zzz%'
 -- func: in_list
 select n_nationkey, n_name from nation where n_regionkey in (1, 3) and n_nationkey not in (3, 4)
 -- func: between_range
@@ -61,7 +61,7 @@ select p_partkey, case when p_size = 10 then null else p_retailprice / (p_size -
 -- func: bitops
 select p_partkey, (p_size & 12)::bigint as masked, (p_size | 1)::bigint as odd, (p_size * 4)::bigint as up, (p_size >> 1)::bigint as down from part
 -- func: cast_types
-select p_partkey, cast(trunc(p_retailprice) as integer) as whole, cast(p_size as varchar) as shown, cast(p_size as double) as real_size from part
+select p_partkey, cast(trunc(p_retailprice) as bigint) as whole, cast(p_size as varchar) as shown, cast(p_size as double) as real_size from part
 -- func: cast_prefix
 select n_nationkey, cast(regexp_extract(n_name || n_nationkey, '(\d+)', 1) as bigint) as digits from nation
 -- func: case_searched
@@ -84,3 +84,33 @@ select o_custkey as c_custkey, count(*) as n from orders group by o_custkey havi
 select c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') as segment, coalesce(nullif(c_nationkey, 1), -1) as nation from customer
 -- func: orders_by_customer
 select o_orderkey, o_orderdate, o_totalprice from orders where o_custkey = 7 order by o_orderkey limit 5
+-- func: insert_values
+select s_suppkey, s_name, s_nationkey::bigint as s_nationkey, s_acctbal from supplier union all select * from (values (900001, 'new one', 3, 0.0), (900002, 'new two', null, 0.0))
+-- func: insert_rowid
+select s_suppkey, s_name, s_nationkey::bigint as s_nationkey, s_acctbal from supplier union all select (select max(s_suppkey) from supplier) + k, n, nk, b from (values (1, 'numbered', 1, 5.5), (2, 'numbered too', 2, 6.5)) as t(k, n, nk, b)
+-- func: insert_select
+select s_suppkey, s_name, s_nationkey::bigint as s_nationkey, s_acctbal from supplier union all select s_suppkey + 500000, upper(s_name), s_nationkey, s_acctbal * 2 from supplier where s_nationkey < 5
+-- func: insert_batch
+select s_suppkey, s_name, s_nationkey::bigint as s_nationkey, s_acctbal from supplier union all select * from (values (900001, 'first', null::bigint, 0.0), (900002, 'second', null, 0.0), (900003, 'third', null, 0.0))
+-- func: update_where
+select s_suppkey, case when s_nationkey = 3 then s_name || '!' else s_name end as s_name, s_nationkey::bigint as s_nationkey, case when s_nationkey = 3 then s_acctbal + 10.5::double else s_acctbal end as s_acctbal from supplier
+-- func: update_from
+select s_suppkey, coalesce((select n_name from nation where n_nationkey = s_nationkey and n_regionkey = 1), s_name) as s_name, s_nationkey::bigint as s_nationkey, s_acctbal from supplier
+-- func: delete_where
+select s_suppkey, s_name, s_nationkey::bigint as s_nationkey, s_acctbal from supplier where s_nationkey <> 4
+-- func: delete_cte
+select s_suppkey, s_name, s_nationkey::bigint as s_nationkey, s_acctbal from supplier where s_nationkey not in (select n_nationkey from nation where n_regionkey = 2)
+-- func: insert_replace
+select s_suppkey, s_name, s_nationkey::bigint as s_nationkey, s_acctbal from supplier where s_suppkey <> 1 union all select * from (values (1, 'replaced', 9, 1.0), (900001, 'added', 9, 2.0))
+-- func: insert_ignore
+select s_suppkey, s_name, s_nationkey::bigint as s_nationkey, s_acctbal from supplier union all select 900001, 'kept', null, 0.0
+-- func: upsert_update
+select s_suppkey, case when s_suppkey = 2 then 'up' else s_name end as s_name, s_nationkey::bigint as s_nationkey, case when s_suppkey = 2 then s_acctbal + 100.0::double else s_acctbal end as s_acctbal from supplier union all select 900001, 'fresh', 7, 1.0
+-- func: upsert_nothing
+select s_suppkey, s_name, s_nationkey::bigint as s_nationkey, s_acctbal from supplier union all select 900001, 'yes', null, 0.0
+-- func: returning_update
+select s_suppkey, (s_nationkey + 100)::bigint as s_nationkey, s_name || '*' as label from supplier where s_suppkey <= 5
+-- func: returning_delete
+select s_suppkey, s_name from supplier where s_suppkey <= 4
+-- func: returning_insert
+select 900001::bigint as s_suppkey, 'new' as s_name, 3::bigint as s_nationkey, 0.0::double as s_acctbal
