@@ -55,8 +55,7 @@ class Snapshot:
                 session.conf.set(key, value)
         for name in self.registry.tables:
             view(session, self.read(name), name)
-        for name, sql in self.registry.views.items():
-            session.sql(f"CREATE OR REPLACE TEMPORARY VIEW {quote(name)} AS {rewrite(sql)}")
+        create_views(session, self.registry.views)
         return session
 
 
@@ -66,6 +65,24 @@ def view(session: SparkSession, df: DataFrame, name: str) -> None:
     frame.createOrReplaceTempView(name)
 
 
+def create_views(session: SparkSession, views: dict[str, str]) -> None:
+    """Temporary views, each after those that it reads."""
+    pending = dict(views)
+    while pending:
+        done, why = [], None
+        for name, sql in pending.items():
+            try:
+                session.sql(f"CREATE OR REPLACE TEMPORARY VIEW {quote(name)} AS {rewrite(sql)}")
+                done.append(name)
+            except Exception as e:
+                others = set(pending) - {name}
+                why = why if why and any(f"`{o}`" in str(e) for o in others) else (name, e)
+        if not done:
+            raise SqlError(f"view {why[0]} can't be resolved: {str(why[1])[:300]}")
+        for name in done:
+            del pending[name]
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
