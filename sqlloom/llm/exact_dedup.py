@@ -66,6 +66,23 @@ def possibly_repeated(keys: DataFrame, max_filter_bits: int = 1 << 26) -> tuple[
     return unique, maybe
 
 
+def passing(rows: DataFrame, column: str, ids: DataFrame, max_filter_bits: int = 1 << 26) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``column`` is surely not among ``ids``, rows where it may be).
+
+    ``ids`` has one column.  Only the second need to shuffle to meet them; the
+    filter that tells is broadcast, ``max_filter_bits / 8`` bytes at most.
+    """
+    cells = min(max_filter_bits, max(BITMAP_BITS, ids.count() * BITS_PER_ROW))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(cells)) + 1
+    cell = F.col("__dedup_cell")
+    marked = ids.select(place(ids.columns[0]).alias("__dedup_cell")).groupBy(F.bitmap_bucket_number(cell).alias("__dedup_bucket"))
+    bits = F.broadcast(materialize(marked.agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("__dedup_bits")), "dedup-ids"))
+    at = place(column)
+    looked = rows.withColumns({"__dedup_at": F.bitmap_bucket_number(at), "__dedup_position": F.bitmap_bit_position(at)})
+    looked = looked.join(bits, F.col("__dedup_at") == F.col("__dedup_bucket"), "left").withColumn("__dedup_may", set_bit("__dedup_bits", "__dedup_position"))
+    return tuple(looked.filter(c).select(rows.columns) for c in (~F.col("__dedup_may"), F.col("__dedup_may")))
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_filter_bits: int = 1 << 26) -> DataFrame:
     """One row per row: id, keep_id, group_size, kept, text_sha256."""
     keys = docs.select(F.col(doc_id).alias("id"), fingerprint(text).alias("sha"))
@@ -93,11 +110,13 @@ def distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     pass straight through.
     """
     found = groups(docs, doc_id, text).filter("group_size > 1")
-    copies = materialize(found.select(F.col(doc_id).alias("_id"), F.col("text_sha256").alias("_sha"), F.col("kept").alias("_kept")), "dedup-copies")
-    same_id = docs[doc_id].eqNullSafe(F.col("_id"))
-    others = docs.join(copies.select("_id").distinct(), same_id, "left_anti")
-    held = copies.filter("_kept").select("_id", "_sha")
-    mine = docs.join(copies.select("_id").distinct(), same_id, "left_semi").withColumn("_hash", fingerprint(text))
-    alone = mine.join(copies.select("_id", "_sha").distinct(), same_id & (F.col("_hash") == F.col("_sha")), "left_anti").drop("_hash")
-    best = mine.join(held, same_id & (F.col("_hash") == F.col("_sha")), "left_semi").dropDuplicates([doc_id, "_hash"]).drop("_hash")
+    copies = materialize(found.select(F.col(doc_id).alias("__dedup_id"), F.col("text_sha256").alias("__dedup_sha"), F.col("kept").alias("__dedup_kept")), "dedup-copies")
+    straight, maybe = passing(docs, doc_id, copies.select("__dedup_id"))
+    same_id = maybe[doc_id].eqNullSafe(F.col("__dedup_id"))
+    others = straight.unionAll(maybe.join(copies.select("__dedup_id").distinct(), same_id, "left_anti"))
+    held = copies.filter("__dedup_kept").select("__dedup_id", "__dedup_sha")
+    mine = maybe.join(copies.select("__dedup_id").distinct(), same_id, "left_semi").withColumn("__dedup_hash", fingerprint(text))
+    same_id = F.col(doc_id).eqNullSafe(F.col("__dedup_id"))
+    alone = mine.join(copies.select("__dedup_id", "__dedup_sha").distinct(), same_id & (F.col("__dedup_hash") == F.col("__dedup_sha")), "left_anti").drop("__dedup_hash")
+    best = mine.join(held, same_id & (F.col("__dedup_hash") == F.col("__dedup_sha")), "left_semi").dropDuplicates([doc_id, "__dedup_hash"]).drop("__dedup_hash")
     return others.unionAll(alone).unionAll(best)

@@ -183,11 +183,12 @@ def mixed(docs: DataFrame, weights: list[int], share: float, doc_id: str = "doc_
     documents, draws = mix(docs, weights, share, doc_id=doc_id, **options)
     times = documents.join(draws.groupBy("row").agg(F.count("*").alias("times")), "row", "left")
     times = times.groupBy("id").agg(F.coalesce(F.sum("times"), F.lit(0)).alias("times"), F.count("*").alias("rows"))
-    times = materialize(times.select(F.col("id").alias("_id"), "times", "rows"), "mix-times")
-    out = docs.join(times, docs[doc_id].eqNullSafe(F.col("_id")))
-    order = Window.partitionBy(doc_id).orderBy(F.xxhash64(*[c for c in docs.columns]))
-    alone = out.filter("rows = 1").withColumn("n", F.col("times"))
-    again = out.filter("rows > 1").withColumn("k", F.row_number().over(order))
-    again = again.withColumn("n", F.floor(F.col("times") / F.col("rows")) + (F.col("k") <= F.col("times") % F.col("rows")).cast("int")).drop("k")
-    both = alone.unionByName(again).filter("n > 0")
-    return both.withColumn("_copy", F.explode(F.expr("sequence(1, cast(n as int))"))).select(docs.columns)
+    times = materialize(times.select(F.col("id").alias("__mix_id"), F.col("times").alias("__mix_times"), F.col("rows").alias("__mix_rows")), "mix-times")
+    out = docs.join(times, docs[doc_id].eqNullSafe(F.col("__mix_id")))
+    order = Window.partitionBy(doc_id).orderBy(F.xxhash64(*docs.columns))
+    alone = out.filter("__mix_rows = 1").withColumn("__mix_n", F.col("__mix_times"))
+    again = out.filter("__mix_rows > 1").withColumn("__mix_k", F.row_number().over(order))
+    more = (F.col("__mix_k") <= F.col("__mix_times") % F.col("__mix_rows")).cast("int")
+    again = again.withColumn("__mix_n", F.floor(F.col("__mix_times") / F.col("__mix_rows")) + more).drop("__mix_k")
+    both = alone.unionByName(again).filter("__mix_n > 0")
+    return both.withColumn("__mix_copy", F.explode(F.expr("sequence(1, cast(__mix_n as int))"))).select(docs.columns)

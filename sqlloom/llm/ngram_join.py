@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_of
 from .components import components
+from .exact_dedup import passing
 
 GROUPS = 16
 LEAF = 16
@@ -283,5 +284,6 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "doc_i
 
 def representatives(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component, the one of the smallest id."""
-    gone = materialize(join(docs, size, percent, doc_id, text).filter("NOT keeps").select(F.col(doc_id).alias("_id")).distinct(), "join-gone")
-    return docs.join(gone, docs[doc_id].eqNullSafe(F.col("_id")), "left_anti")
+    gone = materialize(join(docs, size, percent, doc_id, text).filter("NOT keeps").select(F.col(doc_id).alias("__join_id")).distinct(), "join-gone")
+    straight, maybe = passing(docs, doc_id, gone)
+    return straight.unionAll(maybe.join(gone, maybe[doc_id].eqNullSafe(F.col("__join_id")), "left_anti"))

@@ -57,7 +57,7 @@ def test_dedup_slices(documents, data, monkeypatch):
 
 
 def test_dedup_distinct_keeps_columns(documents, data):
-    left = exact_dedup.distinct(clash(documents).drop("_id", "_hash", "_kept"))
+    left = exact_dedup.distinct(clash(documents))
     assert set(documents.columns) <= set(left.columns)
     got = Counter((r["doc_id"], lower_ascii(r["text"])) for r in left.collect())
     want = Counter()
@@ -150,6 +150,8 @@ def test_mixed_rows(documents):
     got = mixing.mixed(documents, [5, 2, 1], 1.5)
     assert got.columns == documents.columns
     assert Counter(r["doc_id"] for r in got.collect() if words(r["text"])) == +takes
+    other = mixing.mixed(clash(documents).withColumn("times", F.lit(9)), [5, 2, 1], 1.5)
+    assert Counter(r["doc_id"] for r in other.collect() if words(r["text"])) == +takes
 
 
 # token counts and BPE
