@@ -250,9 +250,7 @@ class Executor:
             unknown = rows.filter(F.col(quote(alias)).isNull())
             if not unknown.isEmpty():
                 last = max(r[0] or 0 for f in (self.tx.read(table.name), known) for r in f.agg(F.max(quote(alias))).collect())
-                number = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) + last
-                unknown = unknown.withColumn(alias, number.cast("bigint"))
-                rows = known.unionByName(unknown)
+                rows = known.unionByName(numbered(unknown, alias, last))
         return rows
 
     def insert(self, m: Mutation, table: Table, args: dict) -> Result:
@@ -303,6 +301,24 @@ class Executor:
         return sum(self.run(sql, args).count for args in rows)
 
 
+def numbered(df: DataFrame, column: str, last: int) -> DataFrame:
+    """``column`` counts the rows from ``last`` + 1, in their order.
+
+    Only the partitions' sizes are gathered; rows stay where they are.
+    """
+    low = (1 << 33) - 1  # of the id that Spark gives a row within its partition
+    marked = df.withColumn("_m", F.monotonically_increasing_id())
+    part, place = F.shiftrightunsigned("_m", 33), F.col("_m").bitwiseAND(F.lit(low))
+    sizes = marked.groupBy(part.alias("_p")).agg((F.max(place) + 1).alias("_n")).orderBy("_p").collect()
+    starts, at = [], last
+    for r in sizes:
+        starts.append((r["_p"], at))
+        at += r["_n"]
+    table = df.sparkSession.createDataFrame(starts, "_p long, _start long")
+    out = marked.withColumn("_p", part).join(F.broadcast(table), "_p")  # a row for each partition
+    return out.withColumn(column, F.col("_start") + F.col("_m").bitwiseAND(F.lit(low)) + 1).select(df.columns)
+
+
 def on_root(tx: Transaction, df: DataFrame) -> DataFrame:
     """The same plan in the store's own session."""
     spark = tx.store.spark
