@@ -93,7 +93,7 @@ def split(quotas: DataFrame, shards: int) -> DataFrame:
         named_struct('rest', n, 'room', room, 'out', cast(array() as array<bigint>), 'got', 0L),
         (s, x) -> transform(array({draw}), g -> named_struct('rest', s.rest - x.q, 'room', s.room - g, 'out', concat(s.out, array(g)), 'got', g))[0],
         s -> s.out)"""
-    at = lambda x: f"floor(cast({x} as decimal(20)) * all / {shards})"
+    at = lambda x, leaves=shards: f"floor(cast({x} as decimal(20)) * all / {leaves})"
     while shards > 1:
         done, todo = nodes.filter("hi - lo = 1"), nodes.filter("hi - lo > 1")
         todo = todo.withColumn("mid", F.expr("(lo + hi) div 2"))
