@@ -7,13 +7,14 @@ class, and classes are joined:
   n-grams are hashed to k + 1 groups; at least one group is then the same in
   both sets, so equal groups (a hash of group and content) bring every linked
   pair together.  This deals the join; it loses nothing.
-* In each bucket every class is checked against the bucket's first; verified
-  links make components, which settles large groups of near copies with one
-  link for each member.
+* The first class of each bucket is its star.  Every class is checked against
+  the star that it meets in most buckets; verified links make components, which
+  settles large groups of near copies with one link for each member.
 * Buckets that still hold several components go into R-trees.  A class is the
   point of its n-gram counts over ``GROUPS`` groups; the overlap of two sets is
   at most the sum of the smaller coordinates, which bounds whole tree nodes.
-  Every pair that survives between different components is verified.
+  Nodes are bounded on ``COARSE`` sums of groups, points on all of them.  Every
+  pair that survives between different components is verified.
 * Verification intersects the sets themselves.
 
 An R-tree over all classes at once would not prune: at 0.9 the ball around a
@@ -43,7 +44,8 @@ from .common import materialize, text_of
 from .components import components
 from .exact_dedup import passing
 
-GROUPS = 16
+GROUPS = 256
+COARSE = 16
 LEAF = 16
 BLOCK = 4096
 WORD_CACHE = 1_000_000
@@ -117,6 +119,17 @@ def signatures(found: np.ndarray, sizes: Sizes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def pack(counts: np.ndarray) -> bytes:
+    """One byte a group where that holds all counts, else four."""
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def unpack(points: list[bytes]) -> np.ndarray:
+    if all(len(p) == GROUPS for p in points):
+        return np.frombuffer(b"".join(points), np.uint8).reshape(len(points), GROUPS)
+    return np.stack([np.frombuffer(p, np.uint8 if len(p) == GROUPS else np.uint32).astype(np.uint32) for p in points])
+
+
 def describe(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(percent)
@@ -127,7 +140,7 @@ def describe(size: int, percent: int):
                 n.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 sigs.append(signatures(found, sizes).view(np.int64))
-                points.append(np.bincount((found & np.uint64(GROUPS - 1)).astype(np.intp), minlength=GROUPS).astype(np.int32).tobytes())
+                points.append(pack(np.bincount((found >> np.uint64(24) & np.uint64(GROUPS - 1)).astype(np.intp), minlength=GROUPS)))
             ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), flat, pa.array(points, pa.binary())], names=["id", "n", "key", "sigs", "point"])
@@ -147,28 +160,35 @@ def set_rows(size: int):
 
 class RTree:
     """Bulk-loaded over count vectors; a node keeps the largest coordinate of
-    its points in each group, and their smallest set."""
+    its points in each coarse group, and their smallest set."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int):
-        order = np.lexsort((points[:, 1], points[:, 0], sizes))
-        self.order, self.percent = order, percent
-        self.levels = [(points[order], sizes[order])]
+        coarse = self.coarse(points)
+        order = np.lexsort((coarse[:, 1], coarse[:, 0], sizes))
+        self.order, self.percent, self.points = order, percent, points[order]
+        self.levels = [(coarse[order], sizes[order])]
         while len(self.levels[-1][0]) > LEAF:
             high, low = self.levels[-1]
             at = np.arange(0, len(high), LEAF)
             self.levels.append((np.maximum.reduceat(high, at), np.minimum.reduceat(low, at)))
 
+    @staticmethod
+    def coarse(points: np.ndarray) -> np.ndarray:
+        return points.reshape(len(points), COARSE, -1).sum(2, dtype=np.int32)
+
     def query(self, point: np.ndarray, size: int) -> np.ndarray:
         """Points whose bound on the overlap lets them link."""
+        near = self.coarse(point[None])[0]
         at = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             high, low = self.levels[depth]
-            bound = np.minimum(high[at], point).sum(1, dtype=np.int64)
+            bound = np.minimum(high[at], near).sum(1, dtype=np.int64)
             at = at[(100 + self.percent) * bound >= self.percent * (size + low[at])]
             if depth:
                 at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
                 at = at[at < len(self.levels[depth - 1][0])]
-        return self.order[at]
+        bound = np.minimum(self.points[at], point).sum(1, dtype=np.int64)
+        return self.order[at[(100 + self.percent) * bound >= self.percent * (size + self.levels[0][1][at])]]
 
 
 def tree_pairs(percent: int):
@@ -176,7 +196,7 @@ def tree_pairs(percent: int):
 
     def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         node, comp, n, block = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:4])
-        points = np.frombuffer(b"".join(r[4] for r in rows), np.int32).reshape(len(rows), -1)
+        points = unpack([r[4] for r in rows])
         one = block.min() == block.max()
         held = np.flatnonzero(block == block.min())
         asks = range(len(rows)) if one else np.flatnonzero(block != block.min())
@@ -240,16 +260,23 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "doc_i
     classes = materialize(classes.select("key", F.col("first.row").alias("node"), F.col("first.id").alias("id"), "low"), "join-classes")
 
     # Buckets: equal groups of two classes or more.
-    mine = found.select("row", "n", "point", "sigs").join(classes.select("node"), F.col("row") == F.col("node"), "left_semi")
+    # Rows that repeat a class are few or found by a bitmap of their numbers;
+    # the wide rows of all others don't shuffle.
+    repeats = materialize(found.filter("n > 0").select("key", "row").join(classes.select("key", "node"), "key").filter("row <> node").select("row"), "join-repeats")
+    straight, maybe = passing(found.filter("n > 0").select("row", "n", "point", "sigs"), "row", repeats)
+    mine = straight.unionAll(maybe.join(repeats, "row", "left_anti"))
     dealt = mine.select(F.col("row").alias("node"), F.explode("sigs").alias("sig")).repartition("sig")
     shared = dealt.groupBy("sig").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
     members = materialize(dealt.join(shared.select("sig", "first"), "sig"), "join-buckets")
-    stars = materialize(members.filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "join-stars")
+    met = members.filter("node > first").groupBy("node", "first").agg(F.count("*").alias("times"))
+    best = met.groupBy("node").agg(F.max(F.struct("times", -F.col("first"))).alias("best"))
+    stars = materialize(best.select((-F.col("best.col2")).alias("a"), F.col("node").alias("b")), "join-stars")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = materialize(classes.join(nodes, "node").select("node", "key", "id"), "join-wanted")
-        texts = plain.join(wanted.select("id").distinct(), plain["id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
+        _, maybe = passing(plain, "id", wanted.select("id"))
+        texts = maybe.join(wanted.select("id").distinct(), maybe["id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
         sets = texts.mapInArrow(set_rows(size), "key binary, grams array<long>").join(wanted.select("node", "key"), "key")
         return materialize(sets.select("node", "grams"), "join-grams")
 
