@@ -135,7 +135,8 @@ def mix(docs: DataFrame, weights: list[int], share: float, limit: float = 2.0, d
     state = materialize(state.drop("run", "within", "before_run", "words"), "mix-running")
     partial = (F.col("before") < F.col("rest")) & (F.col("rest") >= 1)
     drawn = state.filter(partial)
-    quotas = per.join(drawn.groupBy("i").agg(F.count("*").alias("part")), "i", "left")
+    # A draw's number counts blocks without documents too, so the quota does.
+    quotas = per.join(drawn.groupBy("i").agg((F.max("rank") + 1).alias("part")), "i", "left")
     quotas = quotas.withColumn("q", F.col("full") * F.col("blocks") + F.coalesce("part", F.lit(0)))
     total = quotas.agg(F.sum("q")).first()[0] or 0
     shards = max(1, -(-total * block_words // shard_words))
@@ -150,7 +151,8 @@ def mix(docs: DataFrame, weights: list[int], share: float, limit: float = 2.0, d
     left = drawn.withColumn("last", F.col("rank") == F.max("rank").over(last))
     left = left.select("i", "block", "blocks", F.col("full").alias("pass"), "rank", F.when(F.col("last"), F.col("rest") - F.col("before")).alias("budget"))
     draws = whole.unionAll(left).withColumn("draw", F.col("pass") * F.col("blocks") + F.col("rank"))
-    draws = draws.join(numbered, ["i", "draw"]).select("i", "block", "pass", "shard", "budget")
+    dealt = F.coalesce("shard", F.raise_error(F.lit("a drawn block has no shard")).cast("long")).alias("shard")
+    draws = draws.join(numbered, ["i", "draw"], "left").select("i", "block", "pass", dealt, "budget")
     rows = placed.select("row", "size", "i", "block", "u").join(draws, ["i", "block"])
 
     # The block in part: its documents from the largest down, while they fit.

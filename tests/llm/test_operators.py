@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sqlloom.llm import byte_bpe, byte_conv, chat, context_mixing, exact_dedup, mixing, ngram_join, quality_rules, token_counts, warc
-from sqlloom.llm.common import crc_fold
+from sqlloom.llm.common import crc_fold, materialize
 
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 COUNT = public_tokenizers.path("word_bpe_49k.json")
@@ -119,6 +119,19 @@ def test_mixing_draws_are_disjoint_and_sharded(documents):
         assert sorted(r["position"] for r in got if r["shard"] == s) == list(range(1, shards[s] + 1))
 
 
+@pytest.mark.parametrize("share", [0.5, 0.9, 1.5])
+def test_mixing_of_documents_larger_than_a_block(spark, share):
+    rows = [(i, "w " * (600 + i % 7), f"s{i % 2}") for i in range(120)]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string, source string"), "long")
+    out = mixing.takes(docs, [1], share, block_words=300, shard_words=9000).collect()
+    taken = Counter()
+    for r in out:
+        taken[r["source_size"], r["target"]] += r["taken"]
+    assert len(out) == len(rows) and taken
+    for (_, target), n in taken.items():
+        assert target - 607 < n <= target + 1e-6
+
+
 def test_split_is_exact_and_hypergeometric(spark):
     quotas = [40, 25, 0, 7]
     got = mixing.split(spark.createDataFrame([(quotas,)], "q array<long>"), 5).collect()
