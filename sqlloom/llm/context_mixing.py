@@ -162,7 +162,8 @@ class Mixer:
             sign = one * 2 - 1
             st.append(np.log((same + DELTA) / (other + DELTA)) * sign)
             seen = np.minimum(((up + np.float32(1)).view(np.int32) >> 23) - 127, 7)
-            gate = seen * 8 + ((other == 0) & (up > 0)) * 4 + grade
+            # Whichever bit comes, the gate is the same: it is known before the bit.
+            gate = seen * 8 + (((same == 0) | (other == 0)) & (up > 0)) * 4 + grade
             yield bit, one, st, gate.astype(np.intp)
             up = same
 
@@ -198,17 +199,20 @@ class Mixer:
             flat += np.bincount(key, w * (1 - frac), flat.size)
             flat += np.bincount(key + 2, w * frac, flat.size + 2)[: flat.size]
 
+    def chance(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """Probability that the bit is one."""
+        low, frac = self.bins(x)
+        key = gate * APM_BINS + low
+        q = self.refined.take(key)
+        q += (self.refined.take(key + 1) - q) * frac
+        return np.float32(0.5) * (q + 1 / (1 + np.exp(-x)))
+
     def log10(self, tokens: list[bytes], counts: np.ndarray) -> np.ndarray:
         """log10 probability of each token."""
         s = Spelling(tokens)
         cost = np.zeros(len(s.b))
         for bit, one, st, gate in self.planes(s, tokens, counts, False):
-            x = self.mix(st, gate)
-            low, frac = self.bins(x)
-            key = gate * APM_BINS + low
-            q = self.refined.take(key)
-            q += (self.refined.take(key + 1) - q) * frac
-            q = np.float32(0.5) * (q + 1 / (1 + np.exp(-x)))
+            q = self.chance(self.mix(st, gate), gate)
             cost += np.log10(np.clip(np.where(bit == 1, q, 1 - q), np.float32(1e-6), np.float32(1)))
         return np.add.reduceat(cost, s.start)
 

@@ -476,6 +476,32 @@ def test_lm_is_a_probability():
     assert 0.5 < total <= 1.001
 
 
+def test_lm_bits_sum_to_one_in_the_trie():
+    """With trained weights, below prefixes that were seen with one bit only."""
+    rng = np.random.default_rng(5)
+    seen = sorted({bytes(rng.choice(list(b"abcdefgh"), rng.integers(3, 9))) for _ in range(3000)}, key=lambda t: t + b" ")
+    counts = rng.integers(1, 9, len(seen)).astype(np.float64)
+    tables = np.zeros((context_mixing.SLOTS, 2), np.float32)
+    s = context_mixing.Spelling(seen)
+    for j in range(8):
+        bit, slots = s.plane(j)
+        for at, slot in zip(context_mixing.TABLE_AT, slots, strict=False):
+            np.add.at(tables, (slot + at, bit), counts[s.token])
+    learned = context_mixing.Mixer(tables)
+    for _ in range(20):
+        learned.learn(seen, counts)
+    m = context_mixing.Mixer(tables, learned.weights, learned.apm)
+    known = {t[:5]: c for t, c in zip(seen, counts, strict=True) if len(t) >= 5}
+    for prefix in sorted({t[:4] for t in known})[:40]:
+        tokens = [prefix + bytes([b]) for b in range(256)]
+        s = context_mixing.Spelling(tokens)
+        p = np.ones(256)
+        for bit, _, st_, gate in m.planes(s, tokens, np.array([known.get(t, 0.0) for t in tokens]), False):
+            q = m.chance(m.mix(st_, gate), gate)
+            p *= np.where(bit == 1, q, 1 - q)[s.start + 4]
+        assert abs(p.sum() - 1) < 1e-3
+
+
 # all of them
 
 
