@@ -143,7 +143,7 @@ def describe(size: int, percent: int):
                 points.append(pack(np.bincount((found >> np.uint64(24) & np.uint64(GROUPS - 1)).astype(np.intp), minlength=GROUPS)))
             ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), flat, pa.array(points, pa.binary())], names=["id", "n", "key", "sigs", "point"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["hash"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), flat, pa.array(points, pa.binary())], names=["id", "hash", "n", "key", "sigs", "point"])
 
     return run
 
@@ -246,15 +246,12 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
 
 
-def join(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, keeps.
-
-    ``component_id``: the smallest id that links reach.  ``keeps``: true for
-    one row of each component.
-    """
+def joined(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """One row per row of ``docs``: id, hash of the text, n, component, keeps."""
     plain = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
-    found = plain.mapInArrow(describe(size, percent), f"id {kind}, n long, key binary, sigs array<long>, point binary")
+    hashed = plain.withColumn("hash", F.xxhash64("text"))
+    found = hashed.mapInArrow(describe(size, percent), f"id {kind}, hash long, n long, key binary, sigs array<long>, point binary")
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "join-sets")
     classes = found.filter("n > 0").groupBy("key").agg(F.min(F.struct("id", "row")).alias("first"), F.min("id").alias("low"))
     classes = materialize(classes.select("key", F.col("first.row").alias("node"), F.col("first.id").alias("id"), "low"), "join-classes")
@@ -304,13 +301,36 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "doc_i
     lows = rooted.groupBy("root").agg(F.min(F.struct("low", "node")).alias("best"))
     named = rooted.join(lows, "root").select("key", F.col("best.low").alias("component"), (F.col("best.node") == F.col("node")).alias("leads"), "node")
     named = materialize(named, "join-components")
-    out = found.select("id", "n", "key", "row").join(named, "key", "left")
+    out = found.select("id", "hash", "n", "key", "row").join(named, "key", "left")
     keeps = F.col("node").isNull() | (F.col("leads") & (F.col("node") == F.col("row")))
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), keeps.alias("keeps"))
+    return out.select("id", "hash", "n", F.coalesce("component", "id").alias("component"), keeps.alias("keeps"))
+
+
+def join(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, keeps.
+
+    ``component_id``: the smallest id that links reach.  ``keeps``: true for
+    one row of each component.
+    """
+    out = joined(docs, size, percent, doc_id, text)
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "keeps")
 
 
 def representatives(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one of the smallest id."""
-    gone = materialize(join(docs, size, percent, doc_id, text).filter("NOT keeps").select(F.col(doc_id).alias("__join_id")).distinct(), "join-gone")
-    straight, maybe = passing(docs, doc_id, gone)
-    return straight.unionAll(maybe.join(gone, maybe[doc_id].eqNullSafe(F.col("__join_id")), "left_anti"))
+    """``docs`` with one row of each component, the one that ``keeps`` names.
+
+    Rows are told by id and text, so that rows of one id with other texts stay.
+    """
+    told = joined(docs, size, percent, doc_id, text).filter("n > 0").groupBy("id", "hash")
+    told = told.agg(F.count_if(F.col("keeps")).alias("kept"), F.count("*").alias("rows")).filter("kept < rows")
+    told = materialize(told.select(F.col("id").alias("__join_id"), F.col("hash").alias("__join_hash"), (F.col("kept") > 0).alias("__join_kept")), "join-gone")
+    straight, maybe = passing(docs, doc_id, told.select("__join_id"))
+    hashed = maybe.withColumn("__join_text", F.xxhash64(text_of(text)))
+    same = hashed[doc_id].eqNullSafe(F.col("__join_id")) & (F.col("__join_text") == F.col("__join_hash"))
+    out = straight.unionAll(hashed.join(told, same, "left_anti").select(docs.columns))
+    twice = told.filter("__join_kept")
+    if twice.isEmpty():
+        return out
+    # Rows that are repeated whole: one of each that leads its component.
+    one = hashed.join(twice, same, "left_semi").groupBy(doc_id, "__join_text").agg(F.first(F.struct(*docs.columns)).alias("__join_row"))
+    return out.unionAll(one.select("__join_row.*"))

@@ -281,6 +281,26 @@ def test_join_components(documents, data, size, percent):
     assert set(keeps.values()) == {1}
 
 
+def test_representatives_keep_one_row_of_each_component(spark, documents, data):
+    near = next(x for i, x, *_ in data if i == 105)
+    extra = [(300, "a text of its own under an id that a near copy has too", "en", "s0", 0), (300, near, "en", "s0", 0), (None, near + " end", "en", "s0", 0)]
+    every = [*data, *extra]
+    docs = materialize(documents.unionByName(spark.createDataFrame(extra, documents.schema)), "representatives")
+    root = {}  # of a row's text: rows of one text are linked
+    sets = {text: gram_set(text, 3) for _, text, *_ in every}
+    for text, mine in sets.items():
+        root[text] = text
+        for other in list(root):
+            if mine and sets[other] and 10 * len(mine & sets[other]) >= 9 * len(mine | sets[other]) and root[other] != root[text]:
+                old, new = root[other], root[text]
+                root = {t: new if r == old else r for t, r in root.items()}
+    got = [tuple(r) for r in ngram_join.representatives(docs).collect()]
+    assert not Counter(got) - Counter(every)
+    assert Counter(r for r in got if not sets[r[1]]) == Counter(r for r in every if not sets[r[1]])
+    left = Counter(root[r[1]] for r in got if sets[r[1]])
+    assert left == dict.fromkeys({root[t] for t in sets if sets[t]}, 1)
+
+
 def test_join_chains_need_the_tree(spark, monkeypatch):
     """Links that no star finds: neighbours in a chain of slow changes."""
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
