@@ -6,8 +6,8 @@ half and cover the document; a hidden layer reads each chunk, and the mean
 over all chunks gives one probability.
 
 The network is fitted on the driver on at most ``MAX_FIT`` labelled rows (those
-with the smallest hash of their id) with ``FIT_CHUNKS`` chunks spread over each
-text; the weights are a few thousand numbers.  Scoring reads every byte of
+with the smallest hash of their id), on all chunks of each text, ``FIT_PART`` at
+once; the weights are a few thousand numbers.  Scoring reads every byte of
 every text, in one pass without a shuffle.
 
 Null texts count as empty and get a score like any other.  Repeated rows are
@@ -34,7 +34,7 @@ HIDDEN = 16
 HALF = 128  #: filter positions in half a chunk
 CHUNK = 2 * HALF * STEP  #: bytes
 MAX_FIT = 3000
-FIT_CHUNKS = 4
+FIT_PART = 256  #: chunks that are convolved at once when fitting
 ROUNDS = 900
 SEED = 7
 PART = 1 << 18  #: bytes that are convolved at once
@@ -119,32 +119,34 @@ class Network:
 
     def fit(self, texts: list[bytes], labels: np.ndarray, rounds: int = ROUNDS, batch: int = 48, rate: float = 3e-3) -> Network:
         rng = np.random.default_rng(SEED)
-        chunks, owner = [], []
-        for i, t in enumerate(texts):
-            t = pad(t)
-            spread = max(0, len(t) - CHUNK)
-            n = 1 if not spread else min(FIT_CHUNKS, 1 + -(-spread // (CHUNK // 2)))
-            for k in range(n):
-                at = spread * k // max(1, n - 1) // STEP * STEP
-                chunks.append(t[at : at + CHUNK])
-                owner.append(i)
-        owner = np.array(owner)
-        grid = np.frombuffer(b"".join(c.ljust(CHUNK, b"\0") for c in chunks), np.uint8).reshape(len(chunks), CHUNK)
-        short = np.array([len(c) // STEP - 1 for c in chunks])
-        of = [np.flatnonzero(owner == i) for i in range(len(texts))]
+        # The chunks that scoring reads: all of each text, overlapping by half.
+        padded = [pad(t) for t in texts]
+        size = np.array([len(t) for t in padded])
+        data = np.frombuffer(b"".join(padded) + bytes(CHUNK + STEP), np.uint8)
+        places = size // STEP - 1
+        n = np.maximum(-(-places // HALF) - 1, 1)
+        first = np.cumsum(n) - n
+        nth = np.arange(n.sum()) - np.repeat(first, n)
+        start = np.repeat(np.cumsum(size) - size, n) + nth * HALF * STEP
+        short = np.minimum(np.repeat(places, n) - nth * HALF, 2 * HALF)
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         half = STEP * WIDTH
         for step in range(1, rounds + 1):
             docs = rng.choice(len(texts), min(batch, len(texts)), replace=False)
-            pick = np.concatenate([of[i] for i in docs])
-            doc = np.repeat(np.arange(len(docs)), [len(of[i]) for i in docs])
-            share = 1 / np.array([len(of[i]) for i in docs], np.float32)[doc]
-            data = grid[pick]
-            x = self.p["e"][data].reshape(len(pick), CHUNK // STEP, half)
-            conv = self.convolve(x)
-            conv[np.arange(conv.shape[1])[None, :] >= short[pick][:, None]] = -1e9
-            at = conv.argmax(1)
-            pooled = np.take_along_axis(conv, at[:, None, :], 1)[:, 0] + self.p["fb"]
+            pick = np.concatenate([np.arange(first[i], first[i] + n[i]) for i in docs])
+            doc = np.repeat(np.arange(len(docs)), n[docs])
+            share = 1 / n[docs].astype(np.float32)[doc]
+            parts = [slice(i, i + FIT_PART) for i in range(0, len(pick), FIT_PART)]
+            found = []
+            for part in parts:
+                mine = pick[part]
+                x = self.p["e"][data[start[mine][:, None] + np.arange(CHUNK + STEP)]].reshape(len(mine), CHUNK // STEP + 1, half)
+                conv = self.convolve(x)
+                conv[np.arange(conv.shape[1])[None, :] >= short[mine][:, None]] = -1e9
+                at = conv.argmax(1)
+                found.append((at, np.take_along_axis(conv, at[:, None, :], 1)[:, 0]))
+            at, pooled = (np.concatenate(a) for a in zip(*found, strict=True))
+            pooled += self.p["fb"]
             active = np.maximum(pooled, 0)
             hidden = np.tanh(active @ self.p["h"] + self.p["hb"])
             mean = np.zeros((len(docs), HIDDEN), np.float32)
@@ -155,14 +157,14 @@ class Network:
             gh = (g[doc] * share)[:, None] * self.p["o"] * (1 - hidden**2)
             grad |= {"h": active.T @ gh, "hb": gh.sum(0)}
             gp = gh @ self.p["h"].T * (pooled > 0)
-            n = np.arange(len(pick))[:, None]
-            window = np.concatenate((x[n, at], x[n, at + 1]), -1)  # chunk, filter, input
-            grad |= {"f": np.einsum("nf,nfi->if", gp, window), "fb": gp.sum(0)}
-            gx = gp[:, :, None] * self.p["f"].T[None]
-            place = at[:, :, None] * STEP + np.arange(2 * STEP)
-            ge = np.zeros_like(self.p["e"])
-            np.add.at(ge, data[n[:, :, None], place].ravel(), gx.reshape(-1, WIDTH))
-            grad["e"] = ge
+            grad |= {"f": np.zeros_like(self.p["f"]), "fb": gp.sum(0)}
+            grad["e"] = np.zeros_like(self.p["e"])
+            for part in parts:
+                place = start[pick[part]][:, None, None] + at[part][:, :, None] * STEP + np.arange(2 * STEP)
+                window = self.p["e"][data[place]].reshape(*at[part].shape, 2 * half)  # chunk, filter, input
+                grad["f"] += np.einsum("nf,nfi->if", gp[part], window)
+                gx = gp[part][:, :, None] * self.p["f"].T[None]
+                np.add.at(grad["e"], data[place].ravel(), gx.reshape(-1, WIDTH))
             now = rate * min(1, 4 * (1 - step / (rounds + 1)))
             for k, d in grad.items():
                 a, b = moment[k]

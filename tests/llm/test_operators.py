@@ -440,6 +440,16 @@ def test_network_learns_and_covers_the_text():
         assert abs(net.logits([long])[0] - net.logits([changed])[0]) > 1e-4 or at + 300 > len(long)
 
 
+def test_network_learns_from_the_middle_of_long_texts():
+    """The label shows only between bytes 2,750 and 3,250 of 6,000."""
+    rng = random.Random(3)
+    plain = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = [(plain(2750) + ("#%$&" * 125 if i % 2 else plain(500)) + plain(2750)).encode() for i in range(90)]
+    labels = np.array([i % 2 for i in range(90)], np.float32)
+    net = byte_conv.Network().fit(texts[:80], labels[:80], batch=16)
+    assert ((net.logits(texts[80:]) > 0) == labels[80:]).all()
+
+
 def test_parts_give_what_the_whole_gives(monkeypatch):
     net = byte_conv.Network()
     text = bytes(np.random.default_rng(0).integers(97, 110, 9000, dtype=np.uint8))
