@@ -9,9 +9,10 @@ stands within its span is found the same way: two renderings with different
 one-character texts part where the text begins, and what follows the text has
 the same length in all of them.
 
-Conversations stream through a task in order, so one of any length needs the
-memory of ``WINDOW`` turns only: after that many the rendering starts again
-from the last turn.  Rows are ordered by turn, then role and text; null turns
+Conversations stream through a task in order.  A template is rendered on whole
+prefixes, which takes the memory of its longest conversation and time with the
+square of its turns.  The built-in template adds to its output and looks at no
+other turn (``STABLE``), so its rendering starts again after ``WINDOW`` turns.  Rows are ordered by turn, then role and text; null turns
 come first, null roles and texts are empty; repeated rows are turns of their
 own.  A null conversation id is a conversation.  An empty table gives no rows;
 other columns of the input are ignored.
@@ -54,6 +55,10 @@ def render(turns: list[Turn]) -> str:
     return "".join(f"{BEGIN}{HEAD}{escape(role)}{HEAD_END}{escape(text)}{END}" for role, text in turns)
 
 
+#: Templates whose span of a turn depends on no other turn.
+STABLE = (render,)
+
+
 def read(span: str) -> Turn:
     """Role and text of a rendered turn."""
     role, text = TURN.fullmatch(span).groups()
@@ -75,7 +80,7 @@ class Locator:
         self.template, self.held, self.out = template, [], ""
 
     def add(self, role: str, text: str) -> Located:
-        if len(self.held) >= WINDOW:
+        if self.template in STABLE and len(self.held) >= WINDOW:
             self.held = self.held[-1:]
             self.out = self.template(self.held)
         now = self.template([*self.held, (role, text)])
@@ -94,15 +99,15 @@ def ordered(conversations: DataFrame, conv_id: str, turn: str, role: str, text:
     return plain.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
 
 
-def stream(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[tuple[bool, object, object, Located]]:
-    """(first of its conversation, conversation, turn, located turn)."""
+def stream(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[tuple[bool, object, object, str, Located]]:
+    """(first of its conversation, conversation, turn, role, located turn)."""
     now, locator = object(), None
     for batch in batches:
         for conv, turn, role, text in zip(*(batch[c].to_pylist() for c in ("conv", "turn", "role", "text")), strict=True):
             first = locator is None or conv != now
             if first:
                 now, locator = conv, Locator(template)
-            yield first, conv, turn, locator.add(role, text)
+            yield first, conv, turn, role, locator.add(role, text)
 
 
 def batched(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], size: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -125,9 +130,9 @@ def spans(conversations: DataFrame, template: Template = render, conv_id: str =
     def run(batches):
         def rows():
             at = 0
-            for first, conv, number, x in stream(batches, template):
+            for first, conv, number, who, x in stream(batches, template):
                 at = 0 if first else at
-                loss = trained == read(x.span)[0] if template is render else None
+                loss = who == trained
                 yield conv, number, x.span, at, at + len(x.span), at + x.text_at if loss else None, at + x.text_end if loss else None, x.rewrites
                 at += len(x.span)
 
@@ -146,7 +151,7 @@ def digests(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "tur
     def run(batches):
         def rows():
             state = None
-            for first, conv, _, x in stream(batches, render):
+            for first, conv, _, _, x in stream(batches, render):
                 if first:
                     if state:
                         yield finish(state)

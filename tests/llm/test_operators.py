@@ -363,6 +363,23 @@ def test_rewritten_history_is_found():
     assert found[0].span[found[0].text_at : found[0].text_end] == "x]y" and found[1].span == "[a];"
 
 
+def test_black_box_template_on_long_conversations(spark):
+    """A header once, and history that is dropped after 300 turns."""
+
+    def dropping(turns):
+        return "HEAD|" + "".join(f"{r}:{t};" for r, t in turns[-300:])
+
+    rows = [(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(302)]
+    out = chat.spans(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1), dropping).orderBy("turn").collect()
+    assert [r["turn"] for r in out if r["rewrites"]] == [300, 301]
+    assert not any("HEAD" in r["span"] for r in out[1:300])
+    for r in out[:300]:
+        if r["turn"] % 2:
+            assert r["span"][r["loss_start"] - r["start"] : r["loss_stop"] - r["start"]] == f"t{r['turn']}"
+        else:
+            assert r["loss_start"] is None and r["loss_stop"] is None
+
+
 def test_long_conversation(spark):
     data = [(9, i, ("user", "assistant")[i % 2], f"turn {i} [INST]") for i in range(700)]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(5)
