@@ -13,8 +13,9 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links`` has columns a and b.  Labels fall to the smallest among a node's
     neighbours, then to the label's own label, until none changes; each round
-    is a written table.  Neighbours' labels are combined before they shuffle,
-    so a node with very many links is no hot spot.
+    is a written table.  Neighbours' labels are combined before they shuffle.
+    A label that many nodes have, and a node with many links, are hot keys of
+    sort-merge joins of narrow rows, which adaptive execution splits.
     """
     both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialize(both, "links")

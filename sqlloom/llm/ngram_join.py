@@ -1,28 +1,31 @@
-"""N-gram Jaccard self-join with count vectors in an R-tree.
+"""N-gram Jaccard self-join with count vectors in R-trees.
 
-A document is its set of word n-grams, hashed.  Documents of equal sets form a
-class, and classes are joined:
+A document is its set of word n-grams, hashed to 64 bits.  Documents of equal
+sets form a class, and classes are joined:
 
 * Sets that link differ in at most k n-grams, k known from their sizes.  The
-  n-grams are hashed to k + 1 groups; at least one group is then the same in
-  both sets, so equal groups (a hash of group and content) bring every linked
-  pair together.  This deals the join; it loses nothing.
-* The first class of each bucket is its star.  Every class is checked against
-  the star that it meets in most buckets; verified links make components, which
-  settles large groups of near copies with one link for each member.
-* Buckets that still hold several components go into R-trees.  A class is the
-  point of its n-gram counts over ``GROUPS`` groups; the overlap of two sets is
-  at most the sum of the smaller coordinates, which bounds whole tree nodes.
-  Nodes are bounded on ``COARSE`` sums of groups, points on all of them.  Every
-  pair that survives between different components is verified.
-* Verification intersects the sets themselves.
-
-An R-tree over all classes at once would not prune: at 0.9 the ball around a
-point is wider than the spread of hashed counts, so it degrades to all pairs;
-inside buckets the points are few and near.
-
-A bucket is taken apart into blocks of ``BLOCK`` classes and pairs of blocks,
-so that no task holds more.  Sets travel only for classes that are checked.
+  n-grams are hashed to more than k groups, so that at least one group is the
+  same in both sets: equal groups (a hash of group and content) bring every
+  linked pair together, through a group that isn't empty.  A set with so few
+  filled groups that this isn't certain deals its empty groups as well.
+* Classes that share groups, directly or through others, form a neighbourhood.
+  Every linked pair is inside one.  A set travels once for each pair of blocks
+  of its neighbourhood, and once for most, which have one block.
+* A neighbourhood goes into an R-tree.  A class is the point of its n-gram
+  counts over ``GROUPS`` groups; the overlap of two sets is at most the sum of
+  the smaller coordinates, which bounds whole nodes.  Nodes are bounded on
+  ``COARSE`` sums of groups, points on all of them.
+* Pairs that survive are verified in the same task on the sets themselves.  A
+  task returns the number of links of each class and a spanning forest of them,
+  never the pairs.
+
+An R-tree over all classes at once would be read leaf by leaf: two random sets
+are told apart by their points, but a node's largest coordinates bound almost
+nothing, so that time would grow with the square of the table.
+
+A neighbourhood is cut into blocks of ``BLOCK`` classes and ``BLOCK_GRAMS``
+n-grams, and a task holds two blocks.  Time is quadratic in the different texts
+of a neighbourhood, as the number of its links may be; copies cost nothing.
 
 Null texts and texts without words have no n-grams and link with nothing.
 Shorter texts than n words are one n-gram.  Repeated rows are documents of
@@ -47,36 +50,46 @@ from .exact_dedup import passing
 GROUPS = 256
 COARSE = 16
 LEAF = 16
-BLOCK = 4096
-WORD_CACHE = 1_000_000
+BLOCK = 4096  #: classes of a block
+BLOCK_GRAMS = 1 << 20  #: n-grams of a block, unless one set has more
+ROWS = 512  #: texts that are described at once
+FLUSH = 20_000  #: rows of a result batch
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-class Words(dict):
-    """Hash of each word that a worker has met; bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-_words = Words()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(32)) * M1
     x = (x ^ x >> np.uint64(29)) * M2
     return x ^ x >> np.uint64(32)
 
 
+WHITE = np.zeros(256, bool)
+WHITE[list(b" \t\n\v\f\r")] = True
+PLACES = 64
+#: A value for each byte at each place of a word; a word's hash is their sum.
+VALUES = mix(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * M3)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each lower-cased word, in order."""
+    data = np.frombuffer(text.lower(), np.uint8)
+    at = np.flatnonzero(~WHITE[data])
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    length = np.diff(first, append=len(at))
+    place = np.arange(len(at)) - np.repeat(first, length)
+    value = VALUES[place % PLACES * 256 + data[at]]
+    if length.max() > PLACES:  # further places multiply by odd numbers
+        value *= mix((place // PLACES).astype(np.uint64)) | np.uint64(1)
+    return mix(np.add.reduceat(value, first) + length.astype(np.uint64) * M1)
+
+
 def grams(text: bytes, size: int) -> np.ndarray:
     """Distinct hashed n-grams of the lower-cased words, in order."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(text)
+    if not len(h):
+        return h
     n = max(1, len(h) - size + 1)
     out = np.full(n, min(size, len(h)), np.uint64)
     for k in range(min(size, len(h))):
@@ -90,6 +103,7 @@ class Sizes:
     def __init__(self, percent: int):
         self.percent = percent
         self.top = [0]
+        self.known: dict[int, int] = {}
 
     def of(self, n: int) -> int:
         while self.top[-1] < n:
@@ -97,63 +111,77 @@ class Sizes:
             self.top.append(low * 100 // self.percent)
         return int(np.searchsorted(self.top, n))
 
+    def differ(self, c: int) -> int:
+        """The n-grams in which a pair may differ, of which the smaller is in
+        class c: with sizes a <= b <= a / t, (a + b)(1 - t) / (1 + t) at most,
+        which is no more than a (1 - t) / t."""
+        return self.top[c] * (100 - self.percent) // self.percent
+
     def groups(self, c: int) -> int:
-        """One more than the n-grams in which a pair may differ, of which the
-        smaller is in class c: with sizes a <= b <= a / t, at most
-        (a + b)(1 - t) / (1 + t) <= a (1 - t) / t."""
-        return self.top[c] * (100 - self.percent) // self.percent + 1
+        """So many that more than ``differ`` are filled in all but rare sets."""
+        if c not in self.known:
+            k, low = self.differ(c), self.top[c - 1] + 1
+            m = k + 1
+            while k and m < low:
+                empty = m * np.exp(-low / m)
+                if m - empty - 4 * empty**0.5 >= k + 1:
+                    break
+                m += 1
+            self.known[c] = m
+        return self.known[c]
 
 
 def signatures(found: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """A hash of each group's content, for the classes the set can meet in."""
+    """A hash of each filled group's content, for the classes the set meets in."""
     own = sizes.of(len(found))
     spread, content = mix(found ^ M3) >> np.uint64(33), mix(found + M2)
     out = []
     for c in (own - 1, own):
-        if c < 1 or (m := sizes.groups(c)) < 2:
-            continue  # one group is the whole set: equal sets are one class already
+        if c < 1 or not (k := sizes.differ(c)):
+            continue  # no difference: equal sets are one class already
+        m = sizes.groups(c)
+        group = (spread % np.uint64(m)).astype(np.intp)
         sums = np.zeros(m, np.uint64)
-        np.add.at(sums, (spread % np.uint64(m)).astype(np.intp), content)
+        np.add.at(sums, group, content)
         place = np.arange(m, dtype=np.uint64) + np.uint64(c << 40)
-        out.append(mix(sums + mix(place + M1)))
+        made = mix(sums + mix(place + M1))
+        filled = np.bincount(group, minlength=m) > 0
+        out.append(made[filled] if filled.sum() > k else made)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def pack(counts: np.ndarray) -> bytes:
-    """One byte a group where that holds all counts, else four."""
-    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+def set_key(found: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
 
 
-def unpack(points: list[bytes]) -> np.ndarray:
-    if all(len(p) == GROUPS for p in points):
-        return np.frombuffer(b"".join(points), np.uint8).reshape(len(points), GROUPS)
-    return np.stack([np.frombuffer(p, np.uint8 if len(p) == GROUPS else np.uint32).astype(np.uint32) for p in points])
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def describe(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(percent)
-        for batch in batches:
-            n, keys, sigs, points = [], [], [], []
-            for text in batch["text"].cast(pa.binary()).to_pylist():
-                found = grams(text, size)
+        for batch in slices(batches):
+            n, keys, sigs = [], [], []
+            for text in batch["text"].cast(pa.binary()):
+                found = grams(text.as_py(), size)
                 n.append(len(found))
-                keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                keys.append(set_key(found))
                 sigs.append(signatures(found, sizes).view(np.int64))
-                points.append(pack(np.bincount((found >> np.uint64(24) & np.uint64(GROUPS - 1)).astype(np.intp), minlength=GROUPS)))
             ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["hash"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), flat, pa.array(points, pa.binary())], names=["id", "hash", "n", "key", "sigs", "point"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["hash"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), flat], names=["id", "hash", "n", "key", "sigs"])
 
     return run
 
 
 def set_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [grams(t, size) for t in batch["text"].cast(pa.binary()).to_pylist()]
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "grams"])
+        for batch in slices(batches):
+            sets = [grams(t.as_py(), size) for t in batch["text"].cast(pa.binary())]
+            yield pa.record_batch([pa.array(map(set_key, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "grams"])
 
     return run
 
@@ -191,132 +219,169 @@ class RTree:
         return self.order[at[(100 + self.percent) * bound >= self.percent * (size + self.levels[0][1][at])]]
 
 
-def tree_pairs(percent: int):
-    """Surviving pairs of different components, from rows sorted by bucket."""
+def count_vectors(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The points of sets that lie one after another in ``flat``."""
+    row = np.repeat(np.arange(len(n)), n)
+    group = (flat >> np.uint64(24) & np.uint64(GROUPS - 1)).astype(np.int64)
+    return np.bincount(row * GROUPS + group, minlength=len(n) * GROUPS).reshape(len(n), GROUPS).astype(np.int32)
+
+
+class Cell:
+    """The classes of one or two blocks of a neighbourhood."""
+
+    def __init__(self, i: int, j: int, rows: list[tuple], percent: int):
+        """Of blocks i and j; rows: node, block, copies, grams; by node."""
+        self.node, block, self.copies = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        self.n = np.array(list(map(len, sets)), np.int64)
+        flat = np.concatenate(sets)
+        self.start = np.cumsum(self.n) - self.n
+        self.points = count_vectors(flat, self.n)
+        self.number = np.unique(flat, return_inverse=True)[1]
+        self.mark = np.zeros(len(flat), bool)
+        self.one = i == j
+        self.held, self.asks = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        self.percent = percent
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        node, comp, n, block = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:4])
-        points = unpack([r[4] for r in rows])
-        one = block.min() == block.max()
-        held = np.flatnonzero(block == block.min())
-        asks = range(len(rows)) if one else np.flatnonzero(block != block.min())
-        tree = RTree(points[held], n[held], percent)
-        for i in asks:
-            got = held[tree.query(points[i], n[i])]
-            got = got[(comp[got] != comp[i]) & ((node[got] < node[i]) if one else True)]
-            for j in got:
-                yield (int(min(node[i], node[j])), int(max(node[i], node[j])))
+    def links(self) -> Iterator[tuple[int, np.ndarray]]:
+        """A class and the classes that it links with, each pair once."""
+        if not len(self.held):
+            return
+        tree = RTree(self.points[self.held], self.n[self.held], self.percent)
+        for i in self.asks:
+            got = self.held[tree.query(self.points[i], self.n[i])]
+            if self.one:
+                got = got[got < i]
+            if len(got):
+                linked = got[self.verified(i, got)]
+                if len(linked):
+                    yield i, linked
+
+    def verified(self, i: int, got: np.ndarray) -> np.ndarray:
+        """Which of the sets ``got`` link with set i."""
+        mine = self.number[self.start[i] : self.start[i] + self.n[i]]
+        self.mark[mine] = True
+        n = self.n[got]
+        first = np.cumsum(n) - n
+        at = np.repeat(self.start[got] - first, n) + np.arange(n.sum())
+        shared = np.add.reduceat(self.mark[self.number[at]], first, dtype=np.int64)
+        self.mark[mine] = False
+        return 100 * shared >= self.percent * (self.n[i] + n - shared)
+
+    def found(self) -> Iterator[tuple]:
+        """(node, null, links) of each class, (node, node, null) of a forest."""
+        count = np.zeros(len(self.node), np.int64)
+        root = np.arange(len(self.node))
+        for i, linked in self.links():
+            count[i] += self.copies[linked].sum()
+            count[linked] += self.copies[i]
+            old = np.unique(np.append(root[linked], root[i]))
+            if len(old) > 1:
+                root[np.isin(root, old)] = old[0]
+        for i in np.flatnonzero(count):
+            yield int(self.node[i]), None, int(count[i])
+            if root[i] != i:
+                yield int(self.node[root[i]]), int(self.node[i]), None
+
+
+def tree_links(percent: int):
+    """Links of cells, from rows sorted by cell and node."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[tuple]]]:
+        now, rows = None, []
+        for batch in batches:
+            plain = [batch[c].to_pylist() for c in ("near", "i", "j", "node", "block", "copies")]
+            for *row, found in zip(*plain, batch["grams"], strict=True):
+                if row[:3] != now:
+                    if rows:
+                        yield now, rows
+                    now, rows = row[:3], []
+                rows.append((*row[3:], found.as_py()))
+        if rows:
+            yield now, rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def buckets():
-            now, rows = None, []
-            for batch in batches:
-                for row in zip(*(batch[c].to_pylist() for c in ("sig", "i", "j", "node", "root", "n", "block", "point")), strict=True):
-                    if row[:3] != now:
-                        if rows:
-                            yield rows
-                        now, rows = row[:3], []
-                    rows.append(row[3:])
-            if rows:
-                yield rows
-
-        out: set[tuple[int, int]] = set()
-
-        def flush():
-            a, b = zip(*out, strict=True)
-            out.clear()
-            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for rows in buckets():
-            for pair in pairs(rows):
-                out.add(pair)
-                if len(out) >= 50_000:
-                    yield flush()
-        if out:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(c, pa.int64()) for c in zip(*held, strict=True)]
+            held.clear()
+            return pa.record_batch(columns, names=["a", "b", "links"])
+
+        for (_, i, j), rows in cells(batches):
+            if len(rows) > 1:
+                held += Cell(i, j, rows, percent).found()
+            if len(held) >= FLUSH:
+                yield flush()
+        if held:
             yield flush()
 
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
-    both = with_a.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    return both.filter(100 * shared >= percent * (F.size("ga") + F.size("gb") - shared)).select("a", "b")
-
-
 def joined(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """One row per row of ``docs``: id, hash of the text, n, component, keeps."""
+    """One row per row of ``docs``: id, hash of the text, n, component, links, keeps."""
     plain = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
     hashed = plain.withColumn("hash", F.xxhash64("text"))
-    found = hashed.mapInArrow(describe(size, percent), f"id {kind}, hash long, n long, key binary, sigs array<long>, point binary")
+    found = hashed.mapInArrow(describe(size, percent), f"id {kind}, hash long, n long, key binary, sigs array<long>")
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "join-sets")
-    classes = found.filter("n > 0").groupBy("key").agg(F.min(F.struct("id", "row")).alias("first"), F.min("id").alias("low"))
-    classes = materialize(classes.select("key", F.col("first.row").alias("node"), F.col("first.id").alias("id"), "low"), "join-classes")
-
-    # Buckets: equal groups of two classes or more.
-    # Rows that repeat a class are few or found by a bitmap of their numbers;
-    # the wide rows of all others don't shuffle.
-    repeats = materialize(found.filter("n > 0").select("key", "row").join(classes.select("key", "node"), "key").filter("row <> node").select("row"), "join-repeats")
-    straight, maybe = passing(found.filter("n > 0").select("row", "n", "point", "sigs"), "row", repeats)
+    classes = found.filter("n > 0").groupBy("key").agg(F.min(F.struct("id", "row")).alias("first"), F.min("id").alias("low"), F.min("n").alias("n"), F.count("*").alias("copies"))
+    classes = materialize(classes.select("key", F.col("first.row").alias("node"), F.col("first.id").alias("id"), "low", "n", "copies"), "join-classes")
+
+    # Groups that two classes or more have in common.  Rows that repeat a class
+    # are told by a bitmap of their numbers; the wide rows don't shuffle.
+    repeated = classes.filter("copies > 1").select("key", "node")
+    repeats = found.filter("n > 0").select("key", "row").join(repeated, "key").filter("row <> node").select("row")
+    repeats = materialize(repeats, "join-repeats")
+    straight, maybe = passing(found.filter("n > 0").select("row", "sigs"), "row", repeats)
     mine = straight.unionAll(maybe.join(repeats, "row", "left_anti"))
-    dealt = mine.select(F.col("row").alias("node"), F.explode("sigs").alias("sig")).repartition("sig")
-    shared = dealt.groupBy("sig").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
-    members = materialize(dealt.join(shared.select("sig", "first"), "sig"), "join-buckets")
-    met = members.filter("node > first").groupBy("node", "first").agg(F.count("*").alias("times"))
-    best = met.groupBy("node").agg(F.max(F.struct("times", -F.col("first"))).alias("best"))
-    stars = materialize(best.select((-F.col("best.col2")).alias("a"), F.col("node").alias("b")), "join-stars")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = materialize(classes.join(nodes, "node").select("node", "key", "id"), "join-wanted")
-        _, maybe = passing(plain, "id", wanted.select("id"))
-        texts = maybe.join(wanted.select("id").distinct(), maybe["id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
-        sets = texts.mapInArrow(set_rows(size), "key binary, grams array<long>").join(wanted.select("node", "key"), "key")
-        return materialize(sets.select("node", "grams"), "join-grams")
-
-    links = materialize(verify(stars, sets_of(stars), percent), "join-links")
-    roots = components(links)
-
-    # What the stars leave open: buckets of several components.
-    placed = members.select("sig", "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    count = placed.groupBy("sig").agg(F.count("*").alias("size"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = placed.join(count.select("sig", blocks.alias("blocks")), "sig")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = mine.select(F.col("row").alias("node"), F.explode("sigs").alias("sig"))
+    common = materialize(dealt.groupBy("sig").agg(F.count("*").alias("times")).filter("times > 1").select("sig"), "join-common")
+    members = materialize(passing(dealt, "sig", common)[1].join(common, "sig"), "join-members")
+
+    # Neighbourhoods, and the blocks of each.
+    first = members.groupBy("sig").agg(F.min("node").alias("first"))
+    edges = members.join(first, "sig").filter("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = components(edges).withColumnRenamed("root", "near")
+    placed = near.join(classes.select("node", "key", "id", "n", "copies"), "node")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
+    blocks = placed.groupBy("near").agg(blocks.alias("blocks"))
+    placed = placed.join(blocks, "near").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = materialize(placed, "join-placed")
+    _, maybe = passing(plain, "id", placed.select("id"))
+    texts = maybe.join(placed.select("id").distinct().withColumnRenamed("id", "_id"), maybe["id"].eqNullSafe(F.col("_id")), "left_semi").select("text")
+    sets = texts.mapInArrow(set_rows(size), "key binary, grams binary").dropDuplicates(["key"])
     ij = F.expr("transform(sequence(0, blocks - 1), x -> named_struct('i', least(x, block), 'j', greatest(x, block)))")
-    rest = rest.withColumn("ij", F.explode(ij)).select("sig", "ij.i", "ij.j", "node", "root", "block")
-    rest = rest.join(mine.select(F.col("row").alias("node"), "n", "point"), "node")
-    rest = rest.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "node")
-    open_pairs = rest.mapInArrow(tree_pairs(percent), "a long, b long").distinct()
-    open_pairs = materialize(open_pairs.join(stars, ["a", "b"], "left_anti"), "join-open")
-    if not open_pairs.isEmpty():
-        more = verify(open_pairs, sets_of(open_pairs), percent)
-        links = materialize(links.unionAll(more), "join-links")
-        roots = components(links)
-
-    rooted = classes.join(roots, "node", "left").select("key", "node", "low", F.coalesce("root", "node").alias("root"))
+    cells = placed.join(sets, "key").withColumn("ij", F.explode(ij))
+    cells = cells.select("near", "ij.i", "ij.j", "node", "block", "copies", "grams")
+    cells = cells.repartition("near", "i", "j").sortWithinPartitions("near", "i", "j", "node")
+    verified = materialize(cells.mapInArrow(tree_links(percent), "a long, b long, links long"), "join-links")
+
+    roots = components(verified.filter("b is not null").select("a", "b"))
+    counts = verified.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    rooted = classes.join(roots, "node", "left").join(counts, "node", "left")
+    rooted = rooted.select("key", "node", "low", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     lows = rooted.groupBy("root").agg(F.min(F.struct("low", "node")).alias("best"))
-    named = rooted.join(lows, "root").select("key", F.col("best.low").alias("component"), (F.col("best.node") == F.col("node")).alias("leads"), "node")
+    named = rooted.join(lows, "root").select("key", F.col("best.low").alias("component"), (F.col("best.node") == F.col("node")).alias("leads"), "node", "links")
     named = materialize(named, "join-components")
     out = found.select("id", "hash", "n", "key", "row").join(named, "key", "left")
     keeps = F.col("node").isNull() | (F.col("leads") & (F.col("node") == F.col("row")))
-    return out.select("id", "hash", "n", F.coalesce("component", "id").alias("component"), keeps.alias("keeps"))
+    return out.select("id", "hash", "n", F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).alias("links"), keeps.alias("keeps"))
 
 
-def join(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, keeps.
+def join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, links, keeps.
 
-    ``component_id``: the smallest id that links reach.  ``keeps``: true for
+    ``component_id``: the smallest id that links reach.  ``links``: the number
+    of other documents that it links with, copies counted.  ``keeps``: true for
     one row of each component.
     """
     out = joined(docs, size, percent, doc_id, text)
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "keeps")
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "links", "keeps")
 
 
-def representatives(docs: DataFrame, size: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component, the one that ``keeps`` names.
 
     Rows are told by id and text, so that rows of one id with other texts stay.

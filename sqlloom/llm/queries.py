@@ -60,7 +60,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents")).drop("keeps")
+    return ngram_join.join(table(spark, sf_dir, "documents"), size=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

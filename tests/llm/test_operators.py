@@ -273,10 +273,24 @@ def brute_components(data, size, percent):
     return Counter((d, len(sets[i]), low[find(i)]) for i, (d, *_) in enumerate(data))
 
 
-@pytest.mark.parametrize("size,percent", [(3, 90), (1, 80)])
-def test_join_components(documents, data, size, percent):
+def brute_links(data, size, percent):
+    sets = [gram_set(x, size) for _, x, *_ in data]
+    links = [0] * len(data)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                links[i] += 1
+                links[j] += 1
+    return Counter((d, n) for (d, *_), n in zip(data, links, strict=True))
+
+
+@pytest.mark.parametrize("size,percent", [(3, 90), (1, 80), (5, 80)])
+@pytest.mark.parametrize("block", [4096, 3])
+def test_join_components_and_links(documents, data, size, percent, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     out = ngram_join.join(documents, size, percent).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == brute_components(data, size, percent)
+    assert Counter((r["doc_id"], r["links"]) for r in out) == brute_links(data, size, percent)
     keeps = Counter(r["component_id"] for r in out if r["keeps"] and r["n_shingles"])
     assert set(keeps.values()) == {1}
 
@@ -294,7 +308,7 @@ def test_representatives_keep_one_row_of_each_component(spark, documents, data):
             if mine and sets[other] and 10 * len(mine & sets[other]) >= 9 * len(mine | sets[other]) and root[other] != root[text]:
                 old, new = root[other], root[text]
                 root = {t: new if r == old else r for t, r in root.items()}
-    got = [tuple(r) for r in ngram_join.representatives(docs).collect()]
+    got = [tuple(r) for r in ngram_join.representatives(docs, 3, 90).collect()]
     assert not Counter(got) - Counter(every)
     assert Counter(r for r in got if not sets[r[1]]) == Counter(r for r in every if not sets[r[1]])
     left = Counter(root[r[1]] for r in got if sets[r[1]])
@@ -311,18 +325,56 @@ def test_join_chains_need_the_tree(spark, monkeypatch):
         w[rng.randrange(len(w))] = f"x{i}"
     rng.shuffle(found)
     docs = spark.createDataFrame(found, "doc_id long, text string, lang string, source string, n_chars long")
-    for percent in (90,):
-        got = ngram_join.join(docs, 3, percent).collect()
-        assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(found, 3, percent)
+    got = ngram_join.join(docs, 3, 90).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(found, 3, 90)
+    assert Counter((r["doc_id"], r["links"]) for r in got) == brute_links(found, 3, 90)
+
+
+def random_sets(rng, n, words):
+    """Sets of 3-grams in groups of near copies, of many sizes."""
+    found = []
+    while len(found) < n:
+        base = [f"{rng.randrange(words)}" for _ in range(rng.randrange(4, 130))]
+        for _ in range(rng.randrange(1, 5)):
+            w = list(base)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(99)}"
+            found.append(" ".join(w[rng.randrange(3) :]).encode())
+    return found
+
+
+@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80), (1, 80), (2, 60)])
+def test_linked_sets_share_a_signature(size, percent):
+    """Also where sets are small for their class and have empty groups."""
+    texts = random_sets(random.Random(size * percent), 500, 5000)
+    sets = [ngram_join.grams(t, size) for t in texts]
+    sizes = ngram_join.Sizes(percent)
+    signed = [set(ngram_join.signatures(s, sizes).tolist()) for s in sets]
+    linked = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both) and not np.array_equal(sets[i], sets[j]):
+                linked += 1
+                assert signed[i] & signed[j]
+    assert linked > 50
+
+
+def test_grams_are_those_of_the_words():
+    texts = ["", " \t\n\x0b\x0c\r ", "One two", "a b c a b c a", "x" * 200 + " " + "x" * 199 + "y", "\x1c\x85 \xa0 \u3042 ab", "ab c", "a bc"]
+    for text in texts:
+        assert len(ngram_join.grams(text.encode(), 3)) == len(gram_set(text, 3))
+    every = [h for t in texts for h in ngram_join.grams(t.encode(), 3).tolist()]
+    assert len(set(every)) == len({g for t in texts for g in gram_set(t, 3)})
+    words = [f"{i * 7919 % 10**6:x}" for i in range(100_000)] + ["y" * i for i in range(1, 300)]
+    assert len(np.unique(ngram_join.word_hashes(" ".join(words).encode()))) == len(set(words))
 
 
 def test_tree_bound_never_loses():
     rng = np.random.default_rng(5)
     kinds = rng.integers(0, 9, (12, ngram_join.GROUPS))
-    points = np.maximum(kinds[rng.integers(0, 12, 300)] + rng.integers(-1, 2, (300, ngram_join.GROUPS)), 0).astype(np.uint8)
+    points = np.maximum(kinds[rng.integers(0, 12, 300)] + rng.integers(-1, 2, (300, ngram_join.GROUPS)), 0).astype(np.int32)
     sizes = points.sum(1, dtype=np.int64)
-    assert (ngram_join.unpack([ngram_join.pack(p) for p in points]) == points).all()
-    assert ngram_join.unpack([ngram_join.pack(points[0]), ngram_join.pack(points[1] * 99.0)])[0].tolist() == points[0].tolist()
     tree = ngram_join.RTree(points, sizes, 70)
     for i in range(0, 300, 17):
         bound = np.minimum(points, points[i]).sum(1)

@@ -38,7 +38,7 @@ def test_stages(spark, sf_dir):
     assert sorted(r[0] for r in exact) == sorted(best.values())
     assert set(exact) <= set(quality)
 
-    lows = {(d, low) for d, _, low in brute_components(exact, 3, 90)}
+    lows = {(d, low) for d, _, low in brute_components(exact, 5, 80)}
     assert sorted(r[0] for r in near) == sorted(d for d, low in lows if d == low)
     assert set(near) <= set(exact)
 
