@@ -14,11 +14,15 @@ def components(links: DataFrame) -> DataFrame:
     ``links`` has columns a and b.  Labels fall to the smallest among a node's
     neighbours, then to the label's own label, until none changes; each round
     is a written table.  Neighbours' labels are combined before they shuffle.
-    A label that many nodes have, and a node with many links, are hot keys of
+    Before the first round each edge is led to the smallest neighbour of its
+    larger end, which makes one star of the many that share members.  A label
+    that many nodes have, and a node with many links, are hot keys of
     sort-merge joins of narrow rows, which adaptive execution splits.
     """
-    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(both, "links")
+    up = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+    least = up.groupBy("b").agg(F.min("a").alias("least"))
+    led = up.join(least, "b").select("least", F.explode(F.array("a", "b")).alias("node")).filter("least < node").distinct()
+    both = materialize(led.select(F.explode(F.expr("array(named_struct('a', least, 'b', node), named_struct('a', node, 'b', least))")).alias("x")).select("x.a", "x.b"), "links")
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")), "roots")
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))

@@ -50,7 +50,7 @@ from .exact_dedup import passing
 GROUPS = 256
 COARSE = 16
 LEAF = 16
-BLOCK = 4096  #: classes of a block
+BLOCK = 1024  #: classes of a block
 BLOCK_GRAMS = 1 << 20  #: n-grams of a block, unless one set has more
 ROWS = 512  #: texts that are described at once
 FLUSH = 20_000  #: rows of a result batch
