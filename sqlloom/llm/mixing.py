@@ -8,11 +8,14 @@ source's blocks go left as if all blocks had been shuffled, so that every
 shard gets a random and exact share.  Within a source, draws run through a
 permutation of its blocks (an affine map of the block number, another for each
 pass), so that shards get disjoint blocks; a block comes again only after all
-others of its source.  A shard's rows are shuffled by hash within the shard.
+others of its source.  A shard's rows are shuffled by hash within the shard,
+and ``mixed`` writes them shard by shard in that order.
 
 Only sums travel: words per source, per block, and per 1,024 blocks for
 running sums, so a source with a third of all rows is spread like the others.
-The tree's rows hold one number per source and shard.
+The tree's rows hold one number per source.  All draws follow from hashes of
+id, source and text, whatever the files look like; rows that agree in these
+three are interchangeable.
 
 Sizes count words; null texts have none.  Null is a source, last in order.
 Repeated rows are documents of their own.  An empty table gives no rows.
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, n_words, text_of
+from .exact_dedup import passing
 
 SEED = 20_240_501
 #: Primes above any number of blocks, one for each pass: coprime to it.
@@ -31,6 +35,7 @@ STEPS = (2_147_483_629, 2_147_483_587, 2_147_483_579)
 BLOCK_WORDS = 1 << 15
 SHARD_WORDS = 1 << 22
 RUN = 1024  #: blocks that are summed together
+CHUNK = 256  #: sources that are drawn together
 
 
 def targets(sizes: DataFrame, weights: list[int], share: float, limit: float) -> DataFrame:
@@ -69,13 +74,16 @@ def rank(block: Column, turn: Column, blocks: Column, i: Column) -> Column:
 def hypergeometric(total: str, marked: str, drawn: str, u: str) -> str:
     """SQL: how many of ``marked`` among ``total`` are in a draw of ``drawn``.
 
-    The inverse of the distribution at ``u``; weights run up from the smallest
-    value by the ratio of neighbours, scaled by that of the mode.
+    The inverse of the distribution at ``u``; weights run up by the ratio of
+    neighbours, scaled by that of the mode, over twelve deviations to each side
+    of it.  What lies beyond has less weight than a double resolves, so that
+    the values to go through are as many as the root of the draw.
     """
-    low = f"greatest(0L, {drawn} - ({total} - {marked}))"
-    high = f"least({drawn}, {marked})"
-    steps = f"if({high} > {low}, sequence({low} + 1, {high}), cast(array() as array<bigint>))"
     mode = f"floor((({drawn} + 1.0D) * ({marked} + 1.0D)) / ({total} + 2.0D))"
+    spread = f"(12 + 12 * sqrt({drawn} * 1.0D * {marked} / greatest({total}, 1L) * ({total} - {marked}) / greatest({total}, 1L)))"
+    low = f"greatest(0L, {drawn} - ({total} - {marked}), cast({mode} - {spread} as bigint))"
+    high = f"least({drawn}, {marked}, cast({mode} + {spread} as bigint))"
+    steps = f"if({high} > {low}, sequence({low} + 1, {high}), cast(array() as array<bigint>))"
     ratio = f"ln((({marked} - k + 1.0D) * ({drawn} - k + 1.0D)) / (k * ({total} - {marked} - {drawn} + k + 0.0D)))"
     top = f"aggregate({steps}, 0.0D, (a, k) -> if(k <= {mode}, a + {ratio}, a))"
     first = f"exp(-{top})"
@@ -84,38 +92,58 @@ def hypergeometric(total: str, marked: str, drawn: str, u: str) -> str:
     return f"aggregate({steps}, {start}, (a, k) -> if(a.c >= a.m, a, named_struct('l', a.l + {ratio}, 'c', a.c + exp(a.l + {ratio}), 'm', a.m, 'k', k)), a -> a.k)"
 
 
-def split(quotas: DataFrame, shards: int) -> DataFrame:
-    """(shard, i, quota): the splitting tree over one row with array ``q``."""
-    q = "aggregate(q, 0L, (a, x) -> a + x)"
-    nodes = materialize(quotas.selectExpr("0L AS lo", f"{shards}L AS hi", f"{q} AS all", "q"), "mix-tree")
+def total_of(numbers: str) -> str:
+    return f"aggregate({numbers}, 0L, (a, x) -> a + x)"
+
+
+def draws_of(numbers: str, room: str, name: str) -> str:
+    """SQL: how many of each of ``numbers`` are in a draw of ``room`` of them all."""
+    chance = f"pmod(xxhash64({SEED}, lo, hi, {name}, j), 4503599627370496L) / 4503599627370496.0D"
     draw = hypergeometric("s.rest", "x.q", "s.room", "x.u")
-    left = f"""aggregate(transform(q, (c, j) -> named_struct('q', c, 'u', pmod(xxhash64({SEED}, lo, hi, j), 4503599627370496L) / 4503599627370496.0D)),
-        named_struct('rest', n, 'room', room, 'out', cast(array() as array<bigint>), 'got', 0L),
-        (s, x) -> transform(array({draw}), g -> named_struct('rest', s.rest - x.q, 'room', s.room - g, 'out', concat(s.out, array(g)), 'got', g))[0],
+    return f"""aggregate(transform({numbers}, (c, j) -> named_struct('q', c, 'u', {chance})),
+        named_struct('rest', {total_of(numbers)}, 'room', {room}, 'out', cast(array() as array<bigint>)),
+        (s, x) -> transform(array({draw}), g -> named_struct('rest', s.rest - x.q, 'room', s.room - g, 'out', array_append(s.out, g)))[0],
         s -> s.out)"""
+
+
+def split(quotas: DataFrame, shards: int) -> DataFrame:
+    """(shard, i, quota): the splitting tree over one row with array ``q``.
+
+    A node draws for chunks of ``CHUNK`` sources first, then within each, so
+    that time grows with the number of sources.
+    """
+    chunks = f"transform(sequence(0, greatest(0, (size(q) - 1) div {CHUNK})), c -> slice(q, c * {CHUNK} + 1, {CHUNK}))"
+    nodes = quotas.filter("q is not null").selectExpr("0L AS lo", f"{shards}L AS hi", f"{total_of('q')} AS all", f"{chunks} AS q")
+    nodes = materialize(nodes, "mix-tree")
     at = lambda x, leaves=shards: f"floor(cast({x} as decimal(20)) * all / {leaves})"
     while shards > 1:
         done, todo = nodes.filter("hi - lo = 1"), nodes.filter("hi - lo > 1")
         todo = todo.withColumn("mid", F.expr("(lo + hi) div 2"))
-        todo = todo.withColumns({"n": F.expr(q), "room": F.expr(f"cast({at('mid')} - {at('lo')} as bigint)")})
-        todo = todo.withColumn("left", F.expr(left))
-        halves = todo.select(F.explode(F.expr("array(named_struct('lo', lo, 'hi', mid, 'all', all, 'q', left), named_struct('lo', mid, 'hi', hi, 'all', all, 'q', zip_with(q, left, (a, b) -> a - b)))")).alias("x"))
+        todo = todo.withColumns({"sums": F.expr(f"transform(q, c -> {total_of('c')})"), "room": F.expr(f"cast({at('mid')} - {at('lo')} as bigint)")})
+        todo = todo.withColumn("parts", F.expr(f"arrays_zip(q, {draws_of('sums', 'room', '-1')}, sequence(0, size(q) - 1))").cast("array<struct<q: array<bigint>, room: bigint, n: int>>"))
+        todo = todo.withColumn("left", F.expr(f"transform(parts, p -> {draws_of('p.q', 'p.room', 'p.n')})"))
+        right = "zip_with(q, left, (x, y) -> zip_with(x, y, (a, b) -> a - b))"
+        halves = todo.select(F.explode(F.expr(f"array(named_struct('lo', lo, 'hi', mid, 'all', all, 'q', left), named_struct('lo', mid, 'hi', hi, 'all', all, 'q', {right}))")).alias("x"))
         # A level is as small as its sums; written, it keeps the plans flat.
         nodes = materialize(done.unionAll(halves.select("x.lo", "x.hi", "x.all", "x.q")), "mix-tree")
         shards = -(-shards // 2)
-    return nodes.select(F.col("lo").alias("shard"), F.posexplode("q").alias("i", "quota"))
+    leaves = nodes.select(F.col("lo").alias("shard"), F.posexplode("q").alias("c", "part"))
+    leaves = leaves.select("shard", "c", F.posexplode("part").alias("p", "quota"))
+    return leaves.select("shard", (F.col("c") * CHUNK + F.col("p")).alias("i"), "quota")
 
 
 def mix(docs: DataFrame, weights: list[int], share: float, limit: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source",
         block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """(documents, draws).
 
-    documents: row, id, size, source_size, target; draws: row, pass, shard,
-    position, one for each time that the mix takes a row.
+    documents: row, key, other (hashes of the whole row), id, size, source_size,
+    target; draws: row, pass, shard, position, one for each time that the mix
+    takes a row.
     """
-    sizes = docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), n_words(text_of(text)).alias("size"))
-    sizes = sizes.withColumn("row", F.monotonically_increasing_id())
-    sizes = materialize(sizes.withColumn("u", F.pmod(F.xxhash64(F.lit(SEED), "id", "row"), F.lit(1 << 52)) / F.lit(float(1 << 52))), "mix-sizes")
+    whole = row_keys(docs)
+    sizes = docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), n_words(text_of(text)).alias("size"), F.xxhash64(F.lit(SEED), F.col(doc_id), F.col(source), F.col(text)).alias("h"), whole[0].alias("key"), whole[1].alias("other"))
+    sizes = materialize(sizes.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    sizes = sizes.withColumn("u", F.pmod("h", F.lit(1 << 52)) / F.lit(float(1 << 52)))
     blocks = F.greatest(F.lit(1), F.ceil((F.col("source_size") + F.col("rows")) / block_words)).cast("long")
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     per = targets(sizes, weights, share, limit).withColumns({"blocks": blocks, "full": full})
@@ -136,7 +164,8 @@ def mix(docs: DataFrame, weights: list[int], share: float, limit: float = 2.0, d
     partial = (F.col("before") < F.col("rest")) & (F.col("rest") >= 1)
     drawn = state.filter(partial)
     # A draw's number counts blocks without documents too, so the quota does.
-    quotas = per.join(drawn.groupBy("i").agg((F.max("rank") + 1).alias("part")), "i", "left")
+    parts = materialize(drawn.groupBy("i").agg((F.max("rank") + 1).alias("part")), "mix-parts")
+    quotas = per.join(parts, "i", "left")
     quotas = quotas.withColumn("q", F.col("full") * F.col("blocks") + F.coalesce("part", F.lit(0)))
     total = quotas.agg(F.sum("q")).first()[0] or 0
     shards = max(1, -(-total * block_words // shard_words))
@@ -147,50 +176,57 @@ def mix(docs: DataFrame, weights: list[int], share: float, limit: float = 2.0, d
 
     turns = state.filter("full > 0").withColumn("pass", F.explode(F.expr("sequence(0L, full - 1)")))
     whole = turns.select("i", "block", "blocks", "pass", rank(F.col("block"), F.col("pass"), F.col("blocks"), F.col("i")).alias("rank"), F.lit(None).cast("double").alias("budget"))
-    last = Window.partitionBy("i")
-    left = drawn.withColumn("last", F.col("rank") == F.max("rank").over(last))
-    left = left.select("i", "block", "blocks", F.col("full").alias("pass"), "rank", F.when(F.col("last"), F.col("rest") - F.col("before")).alias("budget"))
+    left = drawn.join(parts, "i")
+    left = left.select("i", "block", "blocks", F.col("full").alias("pass"), "rank", F.when(F.col("rank") == F.col("part") - 1, F.col("rest") - F.col("before")).alias("budget"))
     draws = whole.unionAll(left).withColumn("draw", F.col("pass") * F.col("blocks") + F.col("rank"))
     dealt = F.coalesce("shard", F.raise_error(F.lit("a drawn block has no shard")).cast("long")).alias("shard")
     draws = draws.join(numbered, ["i", "draw"], "left").select("i", "block", "pass", dealt, "budget")
-    rows = placed.select("row", "size", "i", "block", "u").join(draws, ["i", "block"])
+    rows = placed.select("row", "h", "size", "i", "block").join(draws, ["i", "block"])
 
     # The block in part: its documents from the largest down, while they fit.
-    fits = "named_struct('left', budget, 'rows', cast(array() as array<bigint>))"
-    cut = rows.filter("budget IS NOT NULL").groupBy("i", "pass", "shard", "budget").agg(F.sort_array(F.collect_list(F.struct("size", "u", "row")), False).alias("docs"))
-    take = f"aggregate(docs, {fits}, (a, d) -> if(d.size <= a.left, named_struct('left', a.left - d.size, 'rows', concat(a.rows, array(d.row))), a), a -> a.rows)"
-    cut = cut.select(F.explode(F.expr(take)).alias("row"), "pass", "shard")
-    taken = materialize(rows.filter("budget IS NULL").select("row", "pass", "shard").unionAll(cut), "mix-taken")
-    by_hash = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(SEED), "shard", "row", "pass"), "row")
-    taken = taken.withColumn("position", F.row_number().over(by_hash))
-    documents = placed.select("row", "id", "size", "source_size", "target")
+    fits = "named_struct('left', budget, 'rows', cast(array() as array<struct<row: bigint, h: bigint>>))"
+    cut = rows.filter("budget IS NOT NULL").groupBy("i", "pass", "shard", "budget").agg(F.sort_array(F.collect_list(F.struct("size", "h", "row")), False).alias("docs"))
+    take = f"aggregate(docs, {fits}, (a, d) -> if(d.size <= a.left, named_struct('left', a.left - d.size, 'rows', array_append(a.rows, named_struct('row', d.row, 'h', d.h))), a), a -> a.rows)"
+    cut = cut.select(F.explode(F.expr(take)).alias("x"), "pass", "shard").select("x.row", "x.h", "pass", "shard")
+    taken = materialize(rows.filter("budget IS NULL").select("row", "h", "pass", "shard").unionAll(cut), "mix-taken")
+    by_hash = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(SEED), "shard", "h", "pass"), "h", "pass", "row")
+    taken = taken.withColumn("position", F.row_number().over(by_hash).cast("long")).drop("h")
+    documents = placed.select("row", "key", "other", "id", "size", "source_size", "target")
     return documents, taken
 
 
+def row_keys(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes that tell rows by all their columns."""
+    return F.xxhash64(*docs.columns), F.xxhash64(F.lit(SEED), *docs.columns)
+
+
 def takes(docs: DataFrame, weights: list[int], share: float, doc_id: str = "doc_id", **options) -> DataFrame:
-    """One row per row of ``docs``: its size, its source's size and target, and
-    the words that the mix takes of it, repeats counted."""
+    """One row per row of ``docs``: its size, its source's size and target, the
+    words that the mix takes of it, repeats counted, and the places (shard and
+    position there) at which it takes them."""
     documents, draws = mix(docs, weights, share, doc_id=doc_id, **options)
-    times = draws.groupBy("row").agg(F.count("*").alias("times"))
-    out = documents.join(times, "row", "left")
-    return out.select(F.col("id").alias(doc_id), "size", "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).alias("taken"))
+    places = draws.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("shard", "position"))).alias("places"))
+    out = documents.join(places, "row", "left")
+    times = F.coalesce(F.size("places"), F.lit(0))
+    none = F.array().cast("array<struct<shard: bigint, position: bigint>>")
+    return out.select(F.col("id").alias(doc_id), "size", "source_size", "target", (F.col("size") * times).alias("taken"), F.coalesce("places", none).alias("places"))
 
 
 def mixed(docs: DataFrame, weights: list[int], share: float, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, all columns kept.
+    """The rows of ``docs`` as often as the mix takes them, all columns kept,
+    shard by shard, each in its shuffled order.
 
-    A row is told by its id; rows that repeat an id are all taken as often as
-    the id is, over the number of them, the first ones once more.
+    Draws meet the rows by two hashes of all columns; rows that are the same in
+    all columns stand for each other.
     """
     documents, draws = mix(docs, weights, share, doc_id=doc_id, **options)
-    times = documents.join(draws.groupBy("row").agg(F.count("*").alias("times")), "row", "left")
-    times = times.groupBy("id").agg(F.coalesce(F.sum("times"), F.lit(0)).alias("times"), F.count("*").alias("rows"))
-    times = materialize(times.select(F.col("id").alias("__mix_id"), F.col("times").alias("__mix_times"), F.col("rows").alias("__mix_rows")), "mix-times")
-    out = docs.join(times, docs[doc_id].eqNullSafe(F.col("__mix_id")))
-    order = Window.partitionBy(doc_id).orderBy(F.xxhash64(*docs.columns))
-    alone = out.filter("__mix_rows = 1").withColumn("__mix_n", F.col("__mix_times"))
-    again = out.filter("__mix_rows > 1").withColumn("__mix_k", F.row_number().over(order))
-    more = (F.col("__mix_k") <= F.col("__mix_times") % F.col("__mix_rows")).cast("int")
-    again = again.withColumn("__mix_n", F.floor(F.col("__mix_times") / F.col("__mix_rows")) + more).drop("__mix_k")
-    both = alone.unionByName(again).filter("__mix_n > 0")
-    return both.withColumn("__mix_copy", F.explode(F.expr("sequence(1, cast(__mix_n as int))"))).select(docs.columns)
+    drawn = materialize(documents.select("row", "key", "other").join(draws, "row").select(F.col("key").alias("__mix_key"), F.col("other").alias("__mix_other"), F.col("shard").alias("__mix_shard"), F.col("position").alias("__mix_position")), "mix-drawn")
+    twice = materialize(documents.groupBy("key", "other").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("__mix_twice"), "other"), "mix-twice")
+    key, other = row_keys(docs)
+    rows = docs.withColumns({"__mix_key1": key, "__mix_key2": other})
+    if not twice.isEmpty():
+        once, again = passing(rows, "__mix_key1", twice.select("__mix_twice"))
+        rows = once.unionAll(again.dropDuplicates(["__mix_key1", "__mix_key2"]))
+    same = (F.col("__mix_key1") == F.col("__mix_key")) & (F.col("__mix_key2") == F.col("__mix_other"))
+    out = rows.join(drawn.hint("merge"), same)
+    return out.repartition("__mix_shard").sortWithinPartitions("__mix_shard", "__mix_position").select(docs.columns)
