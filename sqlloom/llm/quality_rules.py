@@ -1,20 +1,21 @@
 """Quality rules: cross-document line frequency.
 
 Every line is normalised (lower-cased A-Z, white space collapsed) and hashed;
-for each host and line the distinct documents are counted, documents of equal
-text once.  Lines in more than ``max_docs`` documents of a host are boilerplate
-and are removed there; a document of which less than ``min_left`` percent of
-the words remains is depleted and rejected.  Simple counts of the text itself
-reject short and repetitive documents first.
-
-Texts are read once; hashes of lines travel, texts don't.  Copies of a line in
-a text, and a line in a partition, are combined before they shuffle: distinct
-documents are dealt by host, line and document, then their counts by host and
-line, so that no task gets all documents of a frequent line.
+for each host and line the documents that hold it are counted.  Lines in more
+than ``max_docs`` documents of a host are boilerplate and are removed there; a
+document of which less than ``min_left`` percent of the words remains is
+depleted and rejected.  Simple counts of the text itself reject short and
+repetitive documents first.
+
+Texts are read once; hashes of lines travel, texts don't.  A line counts once
+in a document, and counts are combined before they shuffle, so that no task
+gets all documents of a frequent line.  Only lines that a bitmap takes for
+frequent ones go back to meet their host's list, spread over ``SALTS`` copies
+of it, as one line may be in a third of all documents.
 
 Null texts have no words and are rejected.  A null host is a host.  Repeated
-rows are judged each and count as one document.  An empty table gives no rows;
-other columns of the input are ignored.
+rows and copies are documents of their own, judged and counted each.  An empty
+table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_of
+from .exact_dedup import passing
 
 MAX_DOCS = 20
 MIN_LEFT = 50
@@ -35,6 +37,7 @@ MIN_WORDS = 50
 MAX_REPEAT = 50
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
+SALTS = 16
 
 
 def hash64(data: bytes) -> int:
@@ -62,7 +65,7 @@ def repeated_words(words: list[str]) -> int:
 
 
 def profile(text: str) -> tuple:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, key, lines)."""
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines)."""
     data = text.encode()
     words = data.split()
     seen: set[str] = set()
@@ -74,7 +77,7 @@ def profile(text: str) -> tuple:
             seen.add(line)
             lines.append({"h": hash64(b" ".join(parts)), "w": len(parts)})
     chars = len(text) - sum(map(text.count, SPACES))
-    return len(words), chars, sum(map(text.count, SYMBOLS)), again, repeated_words(words), hash64(data), lines
+    return len(words), chars, sum(map(text.count, SYMBOLS)), again, repeated_words(words), lines
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -83,9 +86,9 @@ LINES = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64())]))
 
 def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols = list(zip(*map(profile, batch["text"].to_pylist()), strict=True)) or [()] * 7
-        arrays = [pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], LINES)]
-        yield pa.RecordBatch.from_arrays([batch["id"], batch["host"], *arrays], names=["id", "host", *BASE, "key", "lines"])
+        cols = list(zip(*(profile(t.as_py()) for t in batch["text"]), strict=True)) or [()] * 6
+        arrays = [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(cols[5], LINES)]
+        yield pa.RecordBatch.from_arrays([batch["id"], batch["host"], *arrays], names=["id", "host", *BASE, "lines"])
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, min_left: int = MIN_LEFT) -> DataFrame:
@@ -94,14 +97,17 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     plain = docs.select(F.col(doc_id).alias("id"), F.col(host).alias("host"), text_of(text).alias("text"))
     ids, hosts = (plain.schema[c].dataType.simpleString() for c in ("id", "host"))
     base = ", ".join(f"{c} long" for c in BASE)
-    found = plain.mapInArrow(profiles, f"id {ids}, host {hosts}, {base}, key long, lines array<struct<h: bigint, w: bigint>>")
+    found = plain.mapInArrow(profiles, f"id {ids}, host {hosts}, {base}, lines array<struct<h: bigint, w: bigint>>")
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "rules-profiles")
-    lines = found.select("host", "key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    counts = lines.distinct().groupBy("host", "h").agg(F.count("*").alias("docs"))
-    frequent = materialize(counts.filter(F.col("docs") > max_docs).select(F.col("host").alias("_host"), F.col("h").alias("_h")), "rules-frequent")
+    lines = found.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    counts = lines.groupBy("host", "h").agg(F.count("*").alias("docs"))
+    frequent = counts.filter(F.col("docs") > max_docs).select("host", "h", F.xxhash64("host", "h").alias("at"))
+    frequent = materialize(frequent, "rules-frequent")
     each = found.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.h", "line.w")
-    hit = each.join(frequent, each["host"].eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h")))
-    gone = hit.groupBy("row").agg(F.count("*").alias("removed_lines"), F.sum("w").alias("removed_words"))
+    _, maybe = passing(each.withColumn("at", F.xxhash64("host", "h")), "at", frequent.select("at"))
+    spread = frequent.select(F.col("host").alias("_host"), F.col("h").alias("_h"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    same = (F.col("h") == F.col("_h")) & (F.pmod(F.col("row"), F.lit(SALTS)) == F.col("_salt")) & F.col("host").eqNullSafe(F.col("_host"))
+    gone = maybe.join(spread, same).groupBy("row").agg(F.count("*").alias("removed_lines"), F.sum("w").alias("removed_words"))
     zero = F.lit(0).cast("long")
     out = found.join(gone, "row", "left").withColumns({c: F.coalesce(c, zero) for c in ("removed_lines", "removed_words")})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
