@@ -5,10 +5,11 @@ in steps of four; each filter's maximum is taken over chunks that overlap by
 half and cover the document; a hidden layer reads each chunk, and the mean
 over all chunks gives one probability.
 
-The network is fitted on the driver on at most ``MAX_FIT`` labelled rows (those
-with the smallest hash of their id), on all chunks of each text, ``FIT_PART`` at
-once; the weights are a few thousand numbers.  Scoring reads every byte of
-every text, in one pass without a shuffle.
+The network is fitted on the driver on a bounded sample of labelled rows, on
+all chunks of each text: in the order of the hash of their ids, at most
+``MAX_FIT`` rows of at most ``FIT_LONGEST`` bytes and ``FIT_BYTES`` together.
+The weights are a few thousand numbers.  Scoring reads every byte of every
+text, in one pass without a shuffle.
 
 Null texts count as empty and get a score like any other.  Repeated rows are
 scored each; an empty table gives no rows; other columns of the input are
@@ -18,11 +19,11 @@ label 1, or a half.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -34,7 +35,9 @@ HIDDEN = 16
 HALF = 128  #: filter positions in half a chunk
 CHUNK = 2 * HALF * STEP  #: bytes
 MAX_FIT = 3000
-FIT_PART = 256  #: chunks that are convolved at once when fitting
+FIT_LONGEST = 1 << 18
+FIT_BYTES = 16 << 20
+FIT_PART = 256  #: half chunks that are convolved at once when fitting
 ROUNDS = 900
 SEED = 7
 PART = 1 << 18  #: bytes that are convolved at once
@@ -62,7 +65,7 @@ class Network:
     def head(self, pooled: np.ndarray) -> np.ndarray:
         return np.tanh(np.maximum(pooled + self.p["fb"], 0) @ self.p["h"] + self.p["hb"])
 
-    def logits(self, texts: list[bytes]) -> np.ndarray:
+    def logits(self, texts: Iterable[bytes]) -> np.ndarray:
         """All bytes of the texts; long ones in parts that share their edges."""
         pools: list[np.ndarray] = []
         held: list[bytes] = []
@@ -119,38 +122,40 @@ class Network:
 
     def fit(self, texts: list[bytes], labels: np.ndarray, rounds: int = ROUNDS, batch: int = 48, rate: float = 3e-3) -> Network:
         rng = np.random.default_rng(SEED)
-        # The chunks that scoring reads: all of each text, overlapping by half.
+        # Half chunks of all texts; a chunk is two neighbours, as in scoring.
         padded = [pad(t) for t in texts]
         size = np.array([len(t) for t in padded])
-        data = np.frombuffer(b"".join(padded) + bytes(CHUNK + STEP), np.uint8)
+        data = np.frombuffer(b"".join(padded) + bytes(HALF * STEP + STEP), np.uint8)
         places = size // STEP - 1
-        n = np.maximum(-(-places // HALF) - 1, 1)
+        n = -(-places // HALF)
         first = np.cumsum(n) - n
         nth = np.arange(n.sum()) - np.repeat(first, n)
         start = np.repeat(np.cumsum(size) - size, n) + nth * HALF * STEP
-        short = np.minimum(np.repeat(places, n) - nth * HALF, 2 * HALF)
+        short = np.minimum(np.repeat(places, n) - nth * HALF, HALF)
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        half = STEP * WIDTH
+        row = STEP * WIDTH
         for step in range(1, rounds + 1):
             docs = rng.choice(len(texts), min(batch, len(texts)), replace=False)
             pick = np.concatenate([np.arange(first[i], first[i] + n[i]) for i in docs])
-            doc = np.repeat(np.arange(len(docs)), n[docs])
-            share = 1 / n[docs].astype(np.float32)[doc]
-            parts = [slice(i, i + FIT_PART) for i in range(0, len(pick), FIT_PART)]
             found = []
-            for part in parts:
-                mine = pick[part]
-                x = self.p["e"][data[start[mine][:, None] + np.arange(CHUNK + STEP)]].reshape(len(mine), CHUNK // STEP + 1, half)
+            for i in range(0, len(pick), FIT_PART):
+                mine = pick[i : i + FIT_PART]
+                x = self.p["e"][data[start[mine][:, None] + np.arange((HALF + 1) * STEP)]].reshape(len(mine), HALF + 1, row)
                 conv = self.convolve(x)
-                conv[np.arange(conv.shape[1])[None, :] >= short[mine][:, None]] = -1e9
+                conv[np.arange(HALF)[None, :] >= short[mine][:, None]] = -1e9
                 at = conv.argmax(1)
                 found.append((at, np.take_along_axis(conv, at[:, None, :], 1)[:, 0]))
-            at, pooled = (np.concatenate(a) for a in zip(*found, strict=True))
-            pooled += self.p["fb"]
+            at, most = (np.concatenate(a) for a in zip(*found, strict=True))
+            chunks = np.maximum(n[docs] - 1, 1)
+            left = np.concatenate([np.arange(c) + o for c, o in zip(chunks, np.cumsum(n[docs]) - n[docs], strict=True)])
+            right = left + np.repeat(n[docs] > 1, chunks)
+            doc = np.repeat(np.arange(len(docs)), chunks)
+            share = 1 / chunks.astype(np.float32)[doc]
+            won = np.where(most[left] >= most[right], left[:, None], right[:, None])  # chunk, filter: its half
+            pooled = np.maximum(most[left], most[right]) + self.p["fb"]
             active = np.maximum(pooled, 0)
             hidden = np.tanh(active @ self.p["h"] + self.p["hb"])
-            mean = np.zeros((len(docs), HIDDEN), np.float32)
-            np.add.at(mean, doc, hidden * share[:, None])
+            mean = np.add.reduceat(hidden * share[:, None], np.cumsum(chunks) - chunks)
             prob = 1 / (1 + np.exp(-(mean @ self.p["o"] + self.p["ob"])))
             g = ((prob - labels[docs]) / len(docs)).astype(np.float32)
             grad = {"o": mean.T @ g, "ob": g.sum(keepdims=True)}
@@ -158,13 +163,20 @@ class Network:
             grad |= {"h": active.T @ gh, "hb": gh.sum(0)}
             gp = gh @ self.p["h"].T * (pooled > 0)
             grad |= {"f": np.zeros_like(self.p["f"]), "fb": gp.sum(0)}
-            grad["e"] = np.zeros_like(self.p["e"])
-            for part in parts:
-                place = start[pick[part]][:, None, None] + at[part][:, :, None] * STEP + np.arange(2 * STEP)
-                window = self.p["e"][data[place]].reshape(*at[part].shape, 2 * half)  # chunk, filter, input
-                grad["f"] += np.einsum("nf,nfi->if", gp[part], window)
-                gx = gp[part][:, :, None] * self.p["f"].T[None]
-                np.add.at(grad["e"], data[place].ravel(), gx.reshape(-1, WIDTH))
+            # What each half's maximum gets from its one or two chunks.
+            filters = np.arange(FILTERS)
+            gm = np.bincount((won * FILTERS + filters).ravel(), gp.ravel(), len(most) * FILTERS).reshape(-1, FILTERS).astype(np.float32)
+            ge = np.zeros((WIDTH, 256))
+            for i in range(0, len(pick), FIT_PART):
+                part = slice(i, i + FIT_PART)
+                half, f = np.nonzero(gm[part])
+                mine, weight = pick[part][half], gm[part][half, f]
+                read = data[(start[mine] + at[part][half, f] * STEP)[:, None] + np.arange(2 * STEP)]
+                window = self.p["e"][read].reshape(len(mine), 2 * row) * weight[:, None]
+                grad["f"] += np.stack([np.bincount(f, w, FILTERS) for w in window.T]).astype(np.float32)
+                gx = (self.p["f"].T[f] * weight[:, None]).reshape(-1, WIDTH)
+                ge += np.stack([np.bincount(read.ravel(), w, 256) for w in gx.T])
+            grad["e"] = ge.T.astype(np.float32)
             now = rate * min(1, 4 * (1 - step / (rounds + 1)))
             for k, d in grad.items():
                 a, b = moment[k]
@@ -179,18 +191,22 @@ class Constant:
         share = min(max(share, 1e-3), 1 - 1e-3)
         self.value = np.log(share / (1 - share))
 
-    def logits(self, texts: list[bytes]) -> np.ndarray:
-        return np.full(len(texts), self.value)
+    def logits(self, texts: Iterable[bytes]) -> np.ndarray:
+        return np.full(sum(1 for _ in texts), self.value)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", doc_id: str = "doc_id", text: str = "text"):
     """A network for ``label`` from the labelled rows where ``learn`` holds."""
     marks = labels.filter(F.col(label).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).alias("label")).filter(F.col("id").isNotNull())
     plain = docs.filter(learn).select(F.col(doc_id).alias("id"), text_of(text).alias("text"))
-    # The sample's ids first, so that only its texts are joined.
-    wanted = marks.join(docs.filter(learn).select(F.col(doc_id).alias("id")), "id", "left_semi").distinct()
-    wanted = wanted.orderBy(F.xxhash64("id"), "id", "label").limit(MAX_FIT)
-    rows = plain.join(F.broadcast(wanted), "id").orderBy(F.xxhash64("id"), "id", "label", F.xxhash64("text")).limit(MAX_FIT).collect()
+    # The sample's ids and lengths first, so that only its texts are joined.
+    lengths = docs.filter(learn).select(F.col(doc_id).alias("id"), F.octet_length(text_of(text)).alias("bytes"))
+    wanted = lengths.join(marks, "id").filter(F.col("bytes") <= FIT_LONGEST).distinct()
+    wanted = wanted.orderBy(F.xxhash64("id"), "id", "label", "bytes").limit(MAX_FIT)
+    before = Window.orderBy(F.xxhash64("id"), "id", "label", "bytes").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = wanted.withColumn("total", F.sum("bytes").over(before)).filter(F.col("total") <= FIT_BYTES).select("id", "label", "bytes")
+    rows = plain.join(F.broadcast(wanted), (plain["id"] == wanted["id"]) & (F.octet_length("text") == F.col("bytes")))
+    rows = rows.select(plain["id"], "text", "label").distinct().orderBy(F.xxhash64("id"), "id", "label", F.xxhash64("text")).limit(MAX_FIT).collect()
     y = np.array([r["label"] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return Constant(float(y.mean()) if len(y) else 0.5)
@@ -203,7 +219,7 @@ def score(docs: DataFrame, network, doc_id: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = model.value.logits(batch["text"].cast(pa.binary()).to_pylist())
+            z = model.value.logits(t.as_py() for t in batch["text"].cast(pa.binary()))
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30).astype(np.float64)))
             yield pa.record_batch([batch["id"], pa.array(p)], names=["id", "score"])
 
@@ -219,7 +235,7 @@ def keep(docs: DataFrame, network, text: str = "text", least: float = 0.5) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bar = np.log(least / (1 - least))
         for batch in batches:
-            texts = [t.encode() if t else b"" for t in batch[text].to_pylist()]
+            texts = (t.as_py() or b"" for t in batch[text].cast(pa.binary()))
             yield batch.filter(pa.array(model.value.logits(texts) >= bar))
 
     return docs.mapInArrow(run, docs.schema)
