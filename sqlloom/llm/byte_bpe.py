@@ -8,7 +8,11 @@ is the encoding of its bytes exactly if every two neighbours are the encoding
 of theirs, so it is enough that the pairs at both edges of the window encode
 to themselves.  Decoding concatenates the tokens' bytes up a tree of halves.
 
-A worker keeps the encodings of pieces that it has met in a bounded cache,
+Halves end at a power of two, where the tokens of repeated characters end too,
+so that joins of long runs settle at once; windows of more than ``LIST`` bytes
+merge through a heap, in time with their length but for a logarithm.
+
+A worker keeps the encodings of short pieces that it has met in a bounded cache,
 which changes the speed only.  Texts are read whole, in one pass without a
 shuffle.  Null counts as empty; an empty text has no ids; repeated rows are
 encoded each; an empty table gives no rows; other columns of the input are
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,8 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-CACHE = 600_000
+CACHE = 300_000  #: pieces of ``CACHED`` characters at most
+CACHED = 32
 LEAF = 48  #: bytes that are merged directly
+LIST = 256  #: bytes whose pairs are searched in a list
 DECODE_LEAF = 4096
 
 
@@ -44,6 +51,8 @@ class Codec:
 
     def merge(self, data: bytes) -> list[int]:
         """Repeatedly joins the leftmost neighbours of the lowest rank."""
+        if len(data) > LIST:
+            return self.merge_long(data)
         ranks = self.ranks
         parts = [data[i : i + 1] for i in range(len(data))]
         far = len(ranks) + 1
@@ -61,6 +70,28 @@ class Codec:
                 cost[i - 1] = ranks.get(parts[i - 1] + parts[i], far)
         return [ranks[p] for p in parts]
 
+    def merge_long(self, data: bytes) -> list[int]:
+        """As ``merge``; part i begins at byte i, and neighbours are linked."""
+        ranks, n = self.ranks, len(data)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        alive = bytearray(b"\1" * n)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            middle = after[i]
+            if not alive[i] or middle >= n or after[middle] != stop:
+                continue  # one of the two has been joined since
+            alive[middle] = 0
+            after[i] = stop
+            if stop < n:
+                before[stop] = i
+                if (r := ranks.get(data[i : after[stop]])) is not None:
+                    heapq.heappush(heap, (r, i, after[stop]))
+            if (left := before[i]) >= 0 and (r := ranks.get(data[left:stop])) is not None:
+                heapq.heappush(heap, (r, left, stop))
+        return [ranks[data[i : after[i]]] for i in range(n) if alive[i]]
+
     def stands(self, a: int, b: int) -> bool:
         """Whether two tokens are the encoding of their bytes."""
         found = self.pairs.get((a, b))
@@ -83,16 +114,17 @@ class Codec:
     def tree(self, data: bytes) -> list[int]:
         if len(data) <= LEAF:
             return self.merge(data)
-        half = len(data) // 2
+        half = 1 << (len(data) - 1).bit_length() - 1
         return self.join(self.tree(data[:half]), self.tree(data[half:]))
 
     def piece(self, text: str) -> list[int]:
         data = text.encode()
         whole = self.ranks.get(data)
         ids = self.tree(data) if whole is None else [whole]
-        if len(self.pieces) >= CACHE:
-            self.pieces.clear()
-        self.pieces[text] = ids
+        if len(text) <= CACHED:
+            if len(self.pieces) >= CACHE:
+                self.pieces.clear()
+            self.pieces[text] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -124,7 +156,7 @@ def with_ids(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
         for batch in batches:
-            found = pa.array([c.encode(t or "") for t in batch[text].to_pylist()], pa.list_(pa.int32()))
+            found = pa.array([c.encode(t.as_py() or "") for t in batch[text]], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, ids])
 
     return docs.mapInArrow(run, docs.schema.add(ids, "array<int>"))
@@ -138,8 +170,8 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_i
         shown = {n: str(n) for n in c.bytes_of}
         for batch in batches:
             rows = []
-            for t in batch["text"].to_pylist():
-                ids = c.encode(t)
+            for t in batch["text"]:
+                ids = c.encode(t.as_py())
                 said = " ".join(map(shown.__getitem__, ids)).encode()
                 rows.append((len(ids), hashlib.sha256(said).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())

@@ -11,10 +11,11 @@ the same length in all of them.
 
 Conversations stream through a task in order.  A template is rendered on whole
 prefixes, which takes the memory of its longest conversation and time with the
-square of its turns.  The built-in template adds to its output and looks at no
-other turn (``STABLE``), so its rendering starts again after ``WINDOW`` turns.  Rows are ordered by turn, then role and text; null turns
-come first, null roles and texts are empty; repeated rows are turns of their
-own.  A null conversation id is a conversation.  An empty table gives no rows;
+square of its turns.  A template that is declared to look at no other turn
+(``STABLE``, as the built-in one) is rendered on the last ``WINDOW`` turns, in
+time with the number of turns.  Rows are ordered by turn, then role and text;
+null turns come first, null roles and texts are empty; repeated rows are turns
+of their own.  A null conversation id is a conversation.  An empty table gives no rows;
 other columns of the input are ignored.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 Turn = tuple[str, str]  #: role and text
 Template = Callable[[list[Turn]], str]
-WINDOW = 256
+WINDOW = 4
 PROBES = ("\x01", "\x02")
 
 #: Control strings of the built-in template.
@@ -85,7 +86,8 @@ class Locator:
             self.out = self.template(self.held)
         now = self.template([*self.held, (role, text)])
         a, b = (self.template([*self.held, (role, p)]) for p in PROBES)
-        at = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), 0) if not a.startswith(self.out) or not self.out else len(self.out) + next((i for i, (x, y) in enumerate(zip(a[len(self.out) :], b[len(self.out) :], strict=False)) if x != y), 0)
+        known = len(self.out) if a.startswith(self.out) else 0  # where a and b may begin to differ
+        at = known + next((i for i, (x, y) in enumerate(zip(a[known:], b[known:], strict=False)) if x != y), -known)
         end = len(now) - (len(a) - at - 1)
         rewrites = not now.startswith(self.out)
         start = 0 if rewrites else len(self.out)

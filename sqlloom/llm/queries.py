@@ -102,7 +102,7 @@ lines AS (
 dups AS (
   SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
 frequent AS (
-  SELECT source, norm FROM lines GROUP BY source, norm HAVING count(DISTINCT text) > {quality_rules.MAX_DOCS}),
+  SELECT source, norm FROM lines GROUP BY source, norm HAVING count(DISTINCT r) > {quality_rules.MAX_DOCS}),
 gone AS (
   SELECT lines.r, count(*) AS c, sum(n) AS n FROM lines JOIN frequent
   ON lines.source IS NOT DISTINCT FROM frequent.source AND lines.norm = frequent.norm GROUP BY lines.r),
@@ -123,7 +123,7 @@ DEDUP_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS sha FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, CAST(count(*) OVER g AS BIGINT) AS group_size,
-  doc_id = max(doc_id) OVER g AS kept, sha AS text_sha256
+  row_number() OVER (PARTITION BY sha ORDER BY doc_id DESC) = 1 AS kept, sha AS text_sha256
 FROM d WINDOW g AS (PARTITION BY sha)"""
 
 CHAT_SQL = r"""

@@ -50,12 +50,25 @@ def test_dedup_matches_brute_force(documents, data, bits):
     assert sorted(map(repr, got)) == sorted(map(repr, brute_groups(data)))
 
 
-def test_dedup_slices(documents, data, monkeypatch):
+def test_dedup_filter_in_a_join(documents, data, monkeypatch):
+    """A filter beyond the bound: rows meet its buckets in a join."""
     monkeypatch.setattr(exact_dedup, "BITS_PER_ROW", 2048)
-    got = [tuple(r) for r in exact_dedup.groups(documents, max_filter_bits=1 << 15).collect()]
+    out = exact_dedup.groups(documents, max_filter_bits=1 << 15)
+    got = [tuple(r) for r in out.collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, brute_groups(data)))
 
 
+@pytest.mark.parametrize("bits", [1 << 28, 1 << 15, 40])
+def test_passing_loses_no_member(spark, bits):
+    rows = spark.range(3000).selectExpr("nullif(id, 7) AS id", "id * 2 AS other")
+    ids = rows.filter("id % 60 = 0 or id is null").select("id")
+    no, maybe = exact_dedup.passing(rows, "id", ids, bits)
+    assert no.columns == maybe.columns == ["id", "other"]
+    members, others = ({r["other"] for r in f.collect()} for f in (maybe, no))
+    assert members | others == {2 * i for i in range(3000)} and not members & others
+    assert {0, 14, 120, 5880} <= members and (bits < 1 << 28 or len(members) < 600)
+
+
 def test_dedup_distinct_keeps_columns(documents, data):
     left = exact_dedup.distinct(clash(documents))
     assert set(documents.columns) <= set(left.columns)
@@ -132,6 +145,59 @@ def test_mixing_of_documents_larger_than_a_block(spark, share):
         assert target - 607 < n <= target + 1e-6
 
 
+def test_mixing_does_not_depend_on_the_files(spark, documents):
+    """Blocks, draws, shards and order are those of other files with the same rows."""
+    options = {"block_words": 500, "shard_words": 2000}
+    other = materialize(documents.repartition(7, "text").orderBy(F.desc("n_chars")), "other")
+    a, b = (Counter(map(repr, mixing.takes(d, [5, 2, 1], 1.5, **options).collect())) for d in (documents, other))
+    assert a == b
+    a, b = ([repr(r) for r in mixing.mixed(d, [5, 2, 1], 1.5, **options).collect()] for d in (documents, other))
+    assert a == b
+
+
+def test_mix_is_written_by_shard(documents):
+    options = {"block_words": 300, "shard_words": 1200}
+    takes = mixing.takes(documents, [5, 2, 1], 1.5, **options).collect()
+    place = {(p["shard"], p["position"]): r["doc_id"] for r in takes for p in r["places"]}
+    assert len(place) == sum(len(r["places"]) for r in takes) and len({s for s, _ in place}) > 4
+    out = mixing.mixed(documents, [5, 2, 1], 1.5, **options).withColumn("part", F.spark_partition_id()).collect()
+    shards = {}
+    for (shard, _), i in sorted(place.items()):
+        shards.setdefault(shard, []).append(i)
+    parts = {}
+    for r in out:
+        parts.setdefault(r["part"], []).append(r["doc_id"])
+    for ids in parts.values():  # each partition is whole shards in order
+        while ids:
+            shard = next(s for s, want in shards.items() if ids[: len(want)] == want)
+            ids = ids[len(shards.pop(shard)) :]
+    assert not shards
+
+
+def test_hypergeometric_of_large_numbers(spark):
+    """As many values as the root of the draw; near the mean by the deviation."""
+    n, k, m = 2_000_000_000, 600_000_000, 1_000_000_000
+    frame = spark.createDataFrame([((i + 0.5) / 9,) for i in range(9)], "u double")
+    drawn = [r[0] for r in frame.selectExpr(mixing.hypergeometric(f"{n}L", f"{k}L", f"{m}L", "u")).collect()]
+    deviation = (m * (k / n) * (1 - k / n) * (n - m) / (n - 1)) ** 0.5
+    from statistics import NormalDist
+
+    for i, x in enumerate(drawn):
+        assert abs(x - m * k / n - deviation * NormalDist().inv_cdf((i + 0.5) / 9)) < 0.01 * deviation
+
+
+def test_split_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 4)
+    quotas = [(7 * i) % 23 for i in range(18)]
+    got = mixing.split(spark.createDataFrame([(quotas,)], "q array<long>"), 6).collect()
+    per, room = Counter(), Counter()
+    for r in got:
+        per[r["i"]] += r["quota"]
+        room[r["shard"]] += r["quota"]
+        assert r["quota"] >= 0
+    assert [per[i] for i in range(18)] == quotas and max(room.values()) - min(room.values()) <= 1
+
+
 def test_split_is_exact_and_hypergeometric(spark):
     quotas = [40, 25, 0, 7]
     got = mixing.split(spark.createDataFrame([(quotas,)], "q array<long>"), 5).collect()
@@ -180,6 +246,26 @@ def test_token_counts_equal_the_library(documents, data):
     assert all(r["over_limit"] == (r["n_tokens"] > 2048) for r in out)
 
 
+def test_token_counts_of_other_special_strings(tmp_path):
+    """Special strings without angle brackets, and with white space inside."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(COUNT) as f:
+        model = json.load(f)
+    for i, content in enumerate(("[[x]]", "two words\n here", "¤")):
+        model["added_tokens"].append({"id": 60_000 + i, "content": content, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    for drop in ("two words\n here", None):
+        path = str(tmp_path / f"{drop is None}.json")
+        kept = [a for a in model["added_tokens"] if a["content"] != drop]
+        with open(path, "w") as f:
+            json.dump(model | {"added_tokens": kept}, f)
+        t, counts = Tokenizer.from_file(path), token_counts.Counts(path)
+        for text in ("a[[x]]b [[x]] [[x", "one two words\n here and <|endoftext|>two words", "¤¤ it's¤ 5", "", " \n"):
+            assert counts.of(text.encode()) == len(t.encode(text, add_special_tokens=False).ids), text
+
+
 def library():
     import base64
 
@@ -200,6 +286,21 @@ def test_bpe_equals_the_library(documents, data):
     assert Counter(map(tuple, out)) == want
 
 
+def test_bpe_of_long_runs():
+    import time
+
+    c, rng = byte_bpe.codec(BPE, public_tokenizers.PATTERN), random.Random(8)
+    texts = ["=" * 64_000, "ab" * 9_001, "abc" * 5_000, "-=" * 3000 + "-", "".join(rng.choice("abcde") for _ in range(20_000)), "\n" * 5000, "é" * 4000]
+    for text in texts:
+        assert c.encode(text) == library_cached().encode_ordinary(text)
+    for text in texts:
+        for n in (257, 600):
+            assert c.merge_long(text.encode()[:n]) == library_cached()._core_bpe.encode_single_piece(text.encode()[:n])
+    began = time.time()
+    assert c.decode(c.encode("=" * 1_000_000)) == b"=" * 1_000_000
+    assert time.time() - began < 20
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.one_of(st.text(max_size=400), st.text("ab ", max_size=600), st.text("the ing", max_size=500), st.text("=-_ \n", max_size=500)))
 def test_bpe_tree_on_any_text(text):
@@ -228,16 +329,16 @@ def brute_repeats(ws):
 
 def test_quality_rules(documents, data):
     out = quality_rules.judge(documents, max_docs=2, min_left=50).collect()
-    texts = defaultdict(set)
-    for _, text, _, host, _ in data:
+    having = defaultdict(set)
+    for row, (_, text, _, host, _) in enumerate(data):
         for line in (text or "").split("\n"):
             if line.encode().split():
-                texts[host, b" ".join(words(line))].add(text)
+                having[host, b" ".join(words(line))].add(row)
     want = Counter()
     for i, text, _, host, _ in data:
         ws, text = words(text, False), text or ""
         lines = [x for x in text.split("\n") if x.encode().split()]
-        gone = [len(words(x)) for x in lines if len(texts[host, b" ".join(words(x))]) > 2]
+        gone = [len(words(x)) for x in lines if len(having[host, b" ".join(words(x))]) > 2]
         failed = len(ws) < 50 or 100 * brute_repeats(ws) > 50 * len(ws)
         want[i, len(ws), len(b"".join(ws).decode()), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), brute_repeats(ws), failed, not failed and 100 * (len(ws) - sum(gone)) >= 50 * len(ws), len(gone), sum(gone)] += 1
     assert Counter(map(tuple, out)) == want
@@ -519,6 +620,55 @@ def test_network_learns_from_the_middle_of_long_texts():
     assert ((net.logits(texts[80:]) > 0) == labels[80:]).all()
 
 
+def plain_logit(net, text):
+    """The network with loops: filters, chunks, hidden layer, mean."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    t = byte_conv.pad(text)
+    step, half = byte_conv.STEP, byte_conv.HALF
+    out = []
+    for at in range(0, len(t) - step, step):
+        window = np.concatenate([p["e"][b] for b in t[at : at + 2 * step]])
+        out.append([float(window @ p["f"][:, k]) for k in range(byte_conv.FILTERS)])
+    starts = list(range(0, len(out), half))
+    chunks = [out[s : s + 2 * half] for s in (starts[:-1] or starts)]
+    hidden = []
+    for c in chunks:
+        pooled = [max(0.0, max(row[k] for row in c) + p["fb"][k]) for k in range(byte_conv.FILTERS)]
+        hidden.append(np.tanh(np.array(pooled) @ p["h"] + p["hb"]))
+    return float(np.mean(hidden, axis=0) @ p["o"] + p["ob"][0])
+
+
+def test_network_equals_plain_loops():
+    rng = np.random.default_rng(1)
+    net = byte_conv.Network()
+    net.p["fb"] += rng.normal(0, 0.2, byte_conv.FILTERS).astype(np.float32)
+    lengths = (0, 1, 7, 8, 9, 500, 512, 515, 516, 517, 1024, 1028, 1029, 3001)
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in lengths]
+    assert net.logits(texts) == pytest.approx([plain_logit(net, t) for t in texts], abs=1e-4)
+
+
+def test_gradient_equals_differences():
+    """One round's step against the loss at weights nearby."""
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (40, 700, 1500, 2600)]
+    y = np.array([0, 1, 1, 0], np.float32)
+
+    def loss(net):
+        z = np.array([plain_logit(net, t) for t in texts])
+        return float(np.mean(np.log1p(np.exp(z)) - y * z))
+
+    before, after = byte_conv.Network(), byte_conv.Network().fit(texts, y, rounds=1, batch=4, rate=1e-3)
+    # Adam's first step is the sign of the gradient: it must lead down everywhere.
+    for name, at in (("e", (int(texts[1][5]), 3)), ("f", (11, 4)), ("h", (3, 2)), ("o", (5,)), ("ob", (0,)), ("hb", (1,))):
+        up, down = byte_conv.Network(), byte_conv.Network()
+        up.p[name][at] += 1e-2
+        down.p[name][at] -= 1e-2
+        slope = loss(up) - loss(down)
+        moved = float(after.p[name][at] - before.p[name][at])
+        assert abs(slope) < 1e-7 or slope * moved < 0, name
+    assert loss(after) < loss(before)
+
+
 def test_parts_give_what_the_whole_gives(monkeypatch):
     net = byte_conv.Network()
     text = bytes(np.random.default_rng(0).integers(97, 110, 9000, dtype=np.uint8))
