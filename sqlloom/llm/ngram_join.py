@@ -3,29 +3,28 @@
 A document is its set of word n-grams, hashed to 64 bits.  Documents of equal
 sets form a class, and classes are joined:
 
-* Sets that link differ in at most k n-grams, k known from their sizes.  The
-  n-grams are hashed to more than k groups, so that at least one group is the
-  same in both sets: equal groups (a hash of group and content) bring every
-  linked pair together, through a group that isn't empty.  A set with so few
-  filled groups that this isn't certain deals its empty groups as well.
-* Classes that share groups, directly or through others, form a neighbourhood.
-  Every linked pair is inside one.  A set travels once for each pair of blocks
-  of its neighbourhood, and once for most, which have one block.
-* A neighbourhood goes into an R-tree.  A class is the point of its n-gram
-  counts over ``GROUPS`` groups; the overlap of two sets is at most the sum of
-  the smaller coordinates, which bounds whole nodes.  Nodes are bounded on
-  ``COARSE`` sums of groups, points on all of them.
-* Pairs that survive are verified in the same task on the sets themselves.  A
-  task returns the number of links of each class and a spanning forest of them,
-  never the pairs.
+* Linked sets share an n-gram among the first n - ceil(t n) + 1 of each, in any
+  order that holds for all sets.  N-grams that come up again in a bounded sample
+  of texts go last, so that the first ones are mostly rare; the sample changes
+  the speed only.  Classes that share one of these form a bucket.
+* A bucket goes into an R-tree.  A class is the point of its n-gram counts over
+  ``GROUPS`` groups; the overlap of two sets is at most the sum of the smaller
+  coordinates, which bounds whole nodes.  Nodes are bounded on ``COARSE`` sums
+  of groups, points on all of them.  What survives ties classes together to
+  neighbourhoods; a bucket returns a spanning forest, not its pairs.
+* A neighbourhood goes into an R-tree with its sets, each of which travels once
+  for most.  Pairs that survive are verified in the same task on the sets
+  themselves.  A task returns the number of links of each class and a spanning
+  forest of them, never the pairs.
 
 An R-tree over all classes at once would be read leaf by leaf: two random sets
 are told apart by their points, but a node's largest coordinates bound almost
 nothing, so that time would grow with the square of the table.
 
-A neighbourhood is cut into blocks of ``BLOCK`` classes and ``BLOCK_GRAMS``
-n-grams, and a task holds two blocks.  Time is quadratic in the different texts
-of a neighbourhood, as the number of its links may be; copies cost nothing.
+Buckets and neighbourhoods are cut into blocks of ``BLOCK`` classes and
+``BLOCK_GRAMS`` n-grams, and a task holds two blocks.  Time is quadratic in the
+different texts of a neighbourhood, as the number of its links may be; copies
+cost nothing.
 
 Null texts and texts without words have no n-grams and link with nothing.
 Shorter texts than n words are one n-gram.  Repeated rows are documents of
@@ -52,6 +51,8 @@ COARSE = 16
 LEAF = 16
 BLOCK = 1024  #: classes of a block
 BLOCK_GRAMS = 1 << 20  #: n-grams of a block, unless one set has more
+SAMPLE = 4096  #: texts in which n-grams are counted, about
+FREQUENT = 1 << 16  #: n-grams that go last, at most
 ROWS = 512  #: texts that are described at once
 FLUSH = 20_000  #: rows of a result batch
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -97,57 +98,24 @@ def grams(text: bytes, size: int) -> np.ndarray:
     return np.unique(out)
 
 
-class Sizes:
-    """Classes of set sizes: sets that link are in one class or in neighbours."""
+def leading(found: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
+    """The n-grams of which linked sets share one: by whether they are among
+    the sorted ``frequent``, then by hash."""
+    n = len(found)
+    first = n + (-percent * n // 100) + 1 if n else 0
+    late = np.zeros(n, bool)
+    if len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
+    return found[np.lexsort((mix(found + M1), late))[:first]]
 
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.top = [0]
-        self.known: dict[int, int] = {}
-
-    def of(self, n: int) -> int:
-        while self.top[-1] < n:
-            low = self.top[-1] + 1
-            self.top.append(low * 100 // self.percent)
-        return int(np.searchsorted(self.top, n))
-
-    def differ(self, c: int) -> int:
-        """The n-grams in which a pair may differ, of which the smaller is in
-        class c: with sizes a <= b <= a / t, (a + b)(1 - t) / (1 + t) at most,
-        which is no more than a (1 - t) / t."""
-        return self.top[c] * (100 - self.percent) // self.percent
-
-    def groups(self, c: int) -> int:
-        """So many that more than ``differ`` are filled in all but rare sets."""
-        if c not in self.known:
-            k, low = self.differ(c), self.top[c - 1] + 1
-            m = k + 1
-            while k and m < low:
-                empty = m * np.exp(-low / m)
-                if m - empty - 4 * empty**0.5 >= k + 1:
-                    break
-                m += 1
-            self.known[c] = m
-        return self.known[c]
-
-
-def signatures(found: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """A hash of each filled group's content, for the classes the set meets in."""
-    own = sizes.of(len(found))
-    spread, content = mix(found ^ M3) >> np.uint64(33), mix(found + M2)
-    out = []
-    for c in (own - 1, own):
-        if c < 1 or not (k := sizes.differ(c)):
-            continue  # no difference: equal sets are one class already
-        m = sizes.groups(c)
-        group = (spread % np.uint64(m)).astype(np.intp)
-        sums = np.zeros(m, np.uint64)
-        np.add.at(sums, group, content)
-        place = np.arange(m, dtype=np.uint64) + np.uint64(c << 40)
-        made = mix(sums + mix(place + M1))
-        filled = np.bincount(group, minlength=m) > 0
-        out.append(made[filled] if filled.sum() > k else made)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+def pack(counts: np.ndarray) -> bytes:
+    """One byte a group where that holds all counts, else four."""
+    return counts.astype(np.uint8 if counts.max() < 256 else np.int32).tobytes()
+
+
+def unpack(points: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(p, np.uint8 if len(p) == GROUPS else np.int32) for p in points]).astype(np.int32)
 
 
 def set_key(found: np.ndarray) -> bytes | None:
@@ -160,23 +128,42 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
-def describe(size: int, percent: int):
+def describe(size: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(percent)
         for batch in slices(batches):
-            n, keys, sigs = [], [], []
+            n, keys, sigs, points = [], [], [], []
             for text in batch["text"].cast(pa.binary()):
                 found = grams(text.as_py(), size)
                 n.append(len(found))
                 keys.append(set_key(found))
-                sigs.append(signatures(found, sizes).view(np.int64))
+                sigs.append(leading(found, percent, frequent.value).view(np.int64))
+                points.append(pack(count_vectors(found, np.array([len(found)]))[0]))
             ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["hash"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), flat], names=["id", "hash", "n", "key", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["hash"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), flat, pa.array(points, pa.binary())], names=["id", "hash", "n", "key", "sigs", "point"])
 
     return run
 
 
+def gram_rows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for t in batch["text"].cast(pa.binary()):
+                yield pa.record_batch([pa.array(grams(t.as_py(), size).view(np.int64))], names=["gram"])
+
+    return run
+
+
+def frequent_grams(plain: DataFrame, size: int) -> np.ndarray:
+    """N-grams of two texts or more of a sample, the most frequent first kept."""
+    rows = plain.count()
+    part = min(1 << 20, -(-SAMPLE * (1 << 20) // max(rows, 1)))
+    sample = plain.select("text").distinct() if part == 1 << 20 else plain.filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 20)) < part).select("text").distinct()
+    counts = sample.mapInArrow(gram_rows(size), "gram long").groupBy("gram").count().filter("count > 1")
+    found = counts.orderBy(F.desc("count"), "gram").limit(FREQUENT).collect()
+    return np.sort(np.array([r["gram"] for r in found], np.int64).view(np.uint64))
+
+
 def set_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -284,14 +271,40 @@ class Cell:
                 yield int(self.node[root[i]]), int(self.node[i]), None
 
 
-def tree_links(percent: int):
-    """Links of cells, from rows sorted by cell and node."""
+class Bucket:
+    """The points of one or two blocks of a bucket."""
+
+    def __init__(self, i: int, j: int, rows: list[tuple], percent: int):
+        """Of blocks i and j; rows: node, block, n, point; by node."""
+        self.node, block, self.n = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
+        self.points = unpack([r[3] for r in rows])
+        self.held, self.asks = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        self.percent = percent
+
+    def found(self) -> Iterator[tuple]:
+        """(node, node) of a forest over the pairs whose bound lets them link."""
+        if not len(self.held):
+            return
+        tree = RTree(self.points[self.held], self.n[self.held], self.percent)
+        root = np.arange(len(self.node))
+        for i in self.asks:
+            if (root == root[0]).all():
+                return
+            got = self.held[tree.query(self.points[i], self.n[i])]
+            old, first = np.unique(root[got], return_index=True)
+            for j in got[first][old != root[i]]:
+                yield int(self.node[i]), int(self.node[j])
+            root[np.isin(root, old)] = root[i]
+
+
+def in_cells(kind: type, percent: int, by: str, columns: tuple[str, str], names: list[str]):
+    """What ``kind`` finds in each cell; rows come sorted by cell and node."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[tuple]]]:
         now, rows = None, []
         for batch in batches:
-            plain = [batch[c].to_pylist() for c in ("near", "i", "j", "node", "block", "copies")]
-            for *row, found in zip(*plain, batch["grams"], strict=True):
+            plain = [batch[c].to_pylist() for c in (by, "i", "j", "node", "block", columns[0])]
+            for *row, found in zip(*plain, batch[columns[1]], strict=True):
                 if row[:3] != now:
                     if rows:
                         yield now, rows
@@ -304,13 +317,14 @@ def tree_links(percent: int):
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            columns = [pa.array(c, pa.int64()) for c in zip(*held, strict=True)]
+            rows = list(dict.fromkeys(held)) if kind is Bucket else held  # many buckets tie the same classes
+            made = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
             held.clear()
-            return pa.record_batch(columns, names=["a", "b", "links"])
+            return pa.record_batch(made, names=names)
 
         for (_, i, j), rows in cells(batches):
             if len(rows) > 1:
-                held += Cell(i, j, rows, percent).found()
+                held += kind(i, j, rows, percent).found()
             if len(held) >= FLUSH:
                 yield flush()
         if held:
@@ -319,44 +333,55 @@ def tree_links(percent: int):
     return run
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Each row once for every pair of blocks, of its ``blocks``, that has its."""
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = F.expr("transform(sequence(0, blocks - 1), x -> named_struct('i', least(x, block), 'j', greatest(x, block)))")
+    return placed.withColumn("ij", F.explode(pairs)).withColumns({"i": F.col("ij.i"), "j": F.col("ij.j")}).drop("ij", "blocks")
+
+
 def joined(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """One row per row of ``docs``: id, hash of the text, n, component, links, keeps."""
+    spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
+    frequent = spark.sparkContext.broadcast(frequent_grams(plain, size))
     hashed = plain.withColumn("hash", F.xxhash64("text"))
-    found = hashed.mapInArrow(describe(size, percent), f"id {kind}, hash long, n long, key binary, sigs array<long>")
+    found = hashed.mapInArrow(describe(size, percent, frequent), f"id {kind}, hash long, n long, key binary, sigs array<long>, point binary")
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "join-sets")
     classes = found.filter("n > 0").groupBy("key").agg(F.min(F.struct("id", "row")).alias("first"), F.min("id").alias("low"), F.min("n").alias("n"), F.count("*").alias("copies"))
     classes = materialize(classes.select("key", F.col("first.row").alias("node"), F.col("first.id").alias("id"), "low", "n", "copies"), "join-classes")
 
-    # Groups that two classes or more have in common.  Rows that repeat a class
+    # Leading n-grams that two classes or more have.  Rows that repeat a class
     # are told by a bitmap of their numbers; the wide rows don't shuffle.
     repeated = classes.filter("copies > 1").select("key", "node")
     repeats = found.filter("n > 0").select("key", "row").join(repeated, "key").filter("row <> node").select("row")
     repeats = materialize(repeats, "join-repeats")
-    straight, maybe = passing(found.filter("n > 0").select("row", "sigs"), "row", repeats)
+    straight, maybe = passing(found.filter("n > 0").select("row", "n", "sigs", "point"), "row", repeats)
     mine = straight.unionAll(maybe.join(repeats, "row", "left_anti"))
     dealt = mine.select(F.col("row").alias("node"), F.explode("sigs").alias("sig"))
     common = materialize(dealt.groupBy("sig").agg(F.count("*").alias("times")).filter("times > 1").select("sig"), "join-common")
     members = materialize(passing(dealt, "sig", common)[1].join(common, "sig"), "join-members")
 
+    # Buckets of the same classes are read once.
+    told = members.groupBy("sig").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    told = told.groupBy("size", "low", "high", "x", "y").agg(F.min("sig").alias("sig"))
+    buckets = members.join(told.select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "sig")
+    buckets = in_blocks(buckets).join(mine.select(F.col("row").alias("node"), "n", "point"), "node")
+    buckets = buckets.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "node")
+    ties = materialize(buckets.mapInArrow(in_cells(Bucket, percent, "sig", ("n", "point"), ["a", "b"]), "a long, b long"), "join-ties")
+
     # Neighbourhoods, and the blocks of each.
-    first = members.groupBy("sig").agg(F.min("node").alias("first"))
-    edges = members.join(first, "sig").filter("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    near = components(edges).withColumnRenamed("root", "near")
+    near = components(ties).withColumnRenamed("root", "near")
     placed = near.join(classes.select("node", "key", "id", "n", "copies"), "node")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
-    blocks = placed.groupBy("near").agg(blocks.alias("blocks"))
-    placed = placed.join(blocks, "near").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = materialize(placed, "join-placed")
+    placed = materialize(placed.join(placed.groupBy("near").agg(blocks.alias("blocks")), "near"), "join-placed")
     _, maybe = passing(plain, "id", placed.select("id"))
     texts = maybe.join(placed.select("id").distinct().withColumnRenamed("id", "_id"), maybe["id"].eqNullSafe(F.col("_id")), "left_semi").select("text")
     sets = texts.mapInArrow(set_rows(size), "key binary, grams binary").dropDuplicates(["key"])
-    ij = F.expr("transform(sequence(0, blocks - 1), x -> named_struct('i', least(x, block), 'j', greatest(x, block)))")
-    cells = placed.join(sets, "key").withColumn("ij", F.explode(ij))
-    cells = cells.select("near", "ij.i", "ij.j", "node", "block", "copies", "grams")
+    cells = in_blocks(placed).join(sets, "key").select("near", "i", "j", "node", "block", "copies", "grams")
     cells = cells.repartition("near", "i", "j").sortWithinPartitions("near", "i", "j", "node")
-    verified = materialize(cells.mapInArrow(tree_links(percent), "a long, b long, links long"), "join-links")
+    verified = materialize(cells.mapInArrow(in_cells(Cell, percent, "near", ("copies", "grams"), ["a", "b", "links"]), "a long, b long, links long"), "join-links")
 
     roots = components(verified.filter("b is not null").select("a", "b"))
     counts = verified.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))

@@ -445,20 +445,21 @@ def random_sets(rng, n, words):
 
 
 @pytest.mark.parametrize("size,percent", [(3, 90), (5, 80), (1, 80), (2, 60)])
-def test_linked_sets_share_a_signature(size, percent):
-    """Also where sets are small for their class and have empty groups."""
+def test_linked_sets_share_a_leading_gram(size, percent):
+    """Whatever n-grams count as frequent, and the tree's bound keeps them."""
     texts = random_sets(random.Random(size * percent), 500, 5000)
     sets = [ngram_join.grams(t, size) for t in texts]
-    sizes = ngram_join.Sizes(percent)
-    signed = [set(ngram_join.signatures(s, sizes).tolist()) for s in sets]
-    linked = 0
-    for i in range(len(sets)):
-        for j in range(i):
-            both = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both) and not np.array_equal(sets[i], sets[j]):
-                linked += 1
-                assert signed[i] & signed[j]
-    assert linked > 50
+    every = np.unique(np.concatenate(sets))
+    for frequent in (every[:0], every[::3], every):
+        signed = [set(ngram_join.leading(s, percent, frequent).tolist()) for s in sets]
+        linked = 0
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    linked += 1
+                    assert signed[i] & signed[j]
+        assert linked > 50
 
 
 def test_grams_are_those_of_the_words():
@@ -476,6 +477,8 @@ def test_tree_bound_never_loses():
     kinds = rng.integers(0, 9, (12, ngram_join.GROUPS))
     points = np.maximum(kinds[rng.integers(0, 12, 300)] + rng.integers(-1, 2, (300, ngram_join.GROUPS)), 0).astype(np.int32)
     sizes = points.sum(1, dtype=np.int64)
+    assert (ngram_join.unpack([ngram_join.pack(p) for p in points]) == points).all()
+    assert ngram_join.unpack([ngram_join.pack(points[0]), ngram_join.pack(points[1] * 99)])[0].tolist() == points[0].tolist()
     tree = ngram_join.RTree(points, sizes, 70)
     for i in range(0, 300, 17):
         bound = np.minimum(points, points[i]).sum(1)
