@@ -9,7 +9,7 @@ select o_orderkey, nullif(o_orderstatus, 'F') as status from orders where nullif
 -- func: optional_filter
 select o_orderkey, o_orderstatus from orders where o_orderstatus = 'O'
 -- func: sentinel_filter
-select o_orderkey, o_custkey from orders where o_orderkey < 1000
+select o_orderkey, o_custkey from orders
 -- func: like_nocase
 select p_partkey, p_name from part where p_name ilike '%WIDGET%' and p_name not ilike '%zzz%'
 -- func: in_list
@@ -23,7 +23,7 @@ select n_nationkey, n_name from nation order by lower(n_name), n_nationkey limit
 -- func: join_inner
 select o_orderkey, c_name from orders join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING'
 -- func: join_theta
-select a.p_partkey as small_part, b.p_partkey as large_part from part a join part b on b.p_retailprice > a.p_retailprice and b.p_retailprice < a.p_retailprice + 25 where a.p_partkey < 50 and b.p_partkey < 50
+select p_partkey, band from part join (values (0, 10, 'small'), (8, 30, 'middle'), (25, 60, 'large')) as b(low, high, band) on p_size >= b.low and p_size < b.high + 2
 -- func: agg_having
 select o_custkey, count(*) as n from orders group by o_custkey having count(*) >= 12 and max(o_totalprice) > 1000
 -- func: agg_filter
@@ -31,11 +31,11 @@ select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as n, count(
 -- func: agg_total
 select n_regionkey, 0.0::double as nothing, cast(sum(n_nationkey) as double) as everything from nation group by n_regionkey
 -- func: agg_minmax
-select l_linenumber, greatest(l_quantity, 10.0, l_tax) as largest, case when l_linenumber = 3 then null else least(l_linenumber, 2) end as smallest from lineitem where l_orderkey < 500
+select l_orderkey, l_linenumber, greatest(l_quantity, 10.0, l_tax) as largest, case when l_linenumber = 3 then null else least(l_linenumber, 2) end as smallest from lineitem
 -- func: coalesce_max_plus
-select coalesce(max(o_orderkey), 0) + 1 as next_key, cast(coalesce(sum(o_custkey), 0) as bigint) as keys from orders where o_custkey < 40
+select coalesce(max(o_orderkey), 0) + 1 as next_key, cast(coalesce(sum(o_custkey), 0) as bigint) as keys from orders
 -- func: json_group_array
-select n_regionkey, '[' || string_agg(n_nationkey::varchar, ',') || ']' as nations from nation where n_nationkey in (0, 1, 2, 3) group by n_regionkey having count(*) = 1
+select n_regionkey, '[' || string_agg(n_nationkey::varchar, ',' order by n_nationkey) || ']' as nations, '[' || string_agg(case when n_name = 'NATION_3' then 'null' else '"' || n_name || '"' end, ',' order by n_nationkey) || ']' as names from nation group by n_regionkey
 -- func: order_case
 select o_orderkey, o_orderstatus from orders order by case when o_orderstatus = 'P' then 0 else 1 end, o_orderkey limit 25
 -- func: limit_offset
@@ -43,9 +43,9 @@ select c_custkey, c_name from customer order by c_custkey limit 20 offset 30
 -- func: topk
 select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10
 -- func: union_all
-select c_nationkey as nationkey, 'customer' as kind from customer where c_custkey < 30 union all select s_nationkey, 'supplier' from supplier where s_suppkey < 30
+select c_nationkey as nationkey, 'customer' as kind from customer union all select s_nationkey, 'supplier' from supplier
 -- func: except_rows
-select n_nationkey as nationkey from nation except select s_nationkey from supplier where s_suppkey < 20
+select n_nationkey as nationkey from nation except select s_nationkey from supplier where s_acctbal > 9000
 -- func: cte_single
 select o_custkey as custkey, count(*) as n from orders group by o_custkey having count(*) > 12
 -- func: cte_multiple
@@ -59,25 +59,25 @@ select p_partkey, p_size // 7 as sevenths, p_size % 7 as rest from part
 -- func: safe_div
 select p_partkey, case when p_size = 10 then null else p_retailprice / (p_size - 10) end as per_size from part
 -- func: bitops
-select p_partkey, (p_size & 12)::bigint as masked, (p_size | 1)::bigint as odd, (p_size * 4)::bigint as up, (p_size >> 1)::bigint as down from part
+select p_partkey, (p_size & 12)::bigint as masked, (p_size | 1)::bigint as odd, (p_size * 4)::bigint as up, (p_size >> 1)::bigint as down, ((1 + p_size) * 4)::bigint as ordered, (((p_size & 7) | 8) * 2)::bigint as leftmost from part
 -- func: cast_types
 select p_partkey, cast(trunc(p_retailprice) as bigint) as whole, cast(p_size as varchar) as shown, cast(p_size as double) as real_size from part
 -- func: cast_prefix
-select n_nationkey, cast(regexp_extract(n_name || n_nationkey, '(\d+)', 1) as bigint) as digits from nation
+select n_nationkey, n_nationkey::bigint as digits, 0::bigint as none from nation
 -- func: case_searched
 select o_orderkey, case when o_totalprice > 50000 then 'high' when o_totalprice > 1000 then 'middle' end as band from orders
 -- func: unixepoch
-select event_id, strftime(to_timestamp(event_id * 3600) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as shown from events where event_id < 300
+select event_id, strftime(to_timestamp(event_id * 3600) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as shown from events
 -- func: json_object
 select n_nationkey, '{"key":' || n_nationkey || ',"name":"' || n_name || '","none":null}' as packed from nation
 -- func: json_array
-select n_nationkey, '[' || n_nationkey || ',' || n_regionkey || ']' as packed from nation
+select n_nationkey, '[' || n_nationkey || ',"' || n_name || '",null]' as packed from nation
 -- func: json_each
-select event_id, unnest([event_id, user_id]) as item from events where event_id < 500
+select event_id, 'k' as key, json_extract_string(props, '$.k') as value, 'integer' as type, '$.k' as fullkey from events
 -- func: props_json
 select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events
 -- func: text_search
-select doc_id, term from (select doc_id, unnest(list_distinct(string_split_regex(lower(text), '[^a-z]+'))) as term from documents where lang = 'en') where term in ('the', 'that')
+select doc_id from (select doc_id, string_split_regex(lower(text), '[^\p{L}\p{N}]+') as w from documents) where list_contains(w, 'the') and list_contains(w, 'harbour') or list_contains(w, 'und')
 -- func: view_read
 select o_custkey as c_custkey, count(*) as n from orders group by o_custkey having count(*) >= 13
 -- func: coalesce_first
@@ -114,3 +114,19 @@ select s_suppkey, (s_nationkey + 100)::bigint as s_nationkey, s_name || '*' as l
 select s_suppkey, s_name from supplier where s_suppkey <= 4
 -- func: returning_insert
 select 900001::bigint as s_suppkey, 'new' as s_name, 3::bigint as s_nationkey, 0.0::double as s_acctbal
+-- func: agg_any_value
+select o_custkey, arg_max(o_totalprice, o_orderkey) as last_price, arg_max(o_orderstatus, o_orderkey) as last_status, max(o_orderkey) as last_order from orders group by o_custkey
+-- func: json_tree
+select event_id, null as key, replace(props, ': ', ':') as value, 'object' as type, '$' as fullkey, '$' as path from events union all select event_id, 'k', json_extract_string(props, '$.k'), 'integer', '$.k', '$' from events
+-- func: json_member
+select event_id from events where json_extract_string(props, '$.k') in ('5', '6', '7')
+-- func: glob_match
+select p_partkey, regexp_full_match(p_brand, 'Brand#[12].') as early, contains(p_type, 'S') as has_s from part
+-- func: strftime_parts
+select event_id, strftime(ts, '%Y/%m, day %d') as shown, strftime(date_trunc('month', ts), '%Y-%m-%d') as month_began, strftime(ts + interval 3 day - interval 1 hour, '%Y-%m-%d %H:%M:%S') as later from events
+-- func: is_precedence
+select l_orderkey, l_linenumber from lineitem where (l_linenumber + 1) is distinct from ((l_suppkey % 5) + 1)
+-- func: case_operand
+select o_orderkey, (case o_orderstatus when 'F' then 8 else 6 end) % 5 as rest, not (o_custkey > 50) as low from orders
+-- func: hex_literal
+select n_nationkey + 31 as shifted from nation

@@ -36,19 +36,16 @@ ARGUMENTS: dict[str, dict] = {
     "in_list": {"a": 1, "b": 3},
     "between_range": {"low": 10, "high": 20},
     "join_inner": {"segment": "BUILDING"},
-    "join_theta": {"step": 25.0},
+    "join_theta": {"step": 2},
     "agg_having": {"least": 12},
     "agg_filter": {"status": "F"},
-    "coalesce_max_plus": {"below": 40},
     "order_case": {"first": "P"},
     "limit_offset": {"size": 20, "skip": 30},
     "topk": {"k": 10},
-    "union_all": {"below": 30},
-    "except_rows": {"below": 20},
+    "except_rows": {"least": 9000.0},
     "cte_single": {"least": 12},
     "cte_recursive": {"most": 150},
     "case_searched": {"high": 50000.0},
-    "unixepoch": {"below": 300},
     "view_read": {"least": 13},
     "orders_by_customer": {"custkey": 7, "n": 5},
 }
@@ -115,9 +112,11 @@ def write(block: Block) -> Callable[[SparkSession, str], DataFrame]:
         store = filled(spark, sf_dir)
         out = None
         with store.begin() as tx:
-            for args in WRITE_ARGUMENTS.get(block.name, [{}]):
+            if block.batch:
+                Executor(tx).batch(block.sql, WRITE_ARGUMENTS[block.name])
+            for args in [] if block.batch else WRITE_ARGUMENTS.get(block.name, [{}]):
                 out = Executor(tx).run(block.sql, args)
-        return out.rows if out.rows is not None else store.snapshot().read("supplier")
+        return out.rows if out is not None and out.rows is not None else store.snapshot().read("supplier")
 
     query.__name__ = block.name
     return query

@@ -27,7 +27,7 @@ select count(*) as n, count(nullif(o_orderstatus, 'F')) as known from orders whe
 select o_orderkey, o_orderstatus from orders where (@status is null or o_orderstatus = @status) and (@custkey is null or o_custkey = @custkey)
 
 -- func: sentinel_filter
-select o_orderkey, o_custkey from orders where (@custkey = -1 or o_custkey = @custkey) and o_orderkey < 1000
+select o_orderkey, o_custkey from orders where @custkey = -1 or o_custkey = @custkey
 
 -- func: like_nocase
 select p_partkey, p_name from part where p_name like @pattern and p_name not like '%zzz%'
@@ -93,7 +93,7 @@ select a.n_nationkey as first_key, b.n_nationkey as second_key from nation a joi
 select c_name, t.orders_made from customer join (select o_custkey, count(*) as orders_made from orders group by o_custkey) as t on t.o_custkey = c_custkey
 
 -- func: join_theta
-select a.p_partkey as small_part, b.p_partkey as large_part from part a join part b on b.p_retailprice > a.p_retailprice and b.p_retailprice < a.p_retailprice + @step where a.p_partkey < 50 and b.p_partkey < 50
+select p_partkey, band from part join (values (0, 10, 'small'), (8, 30, 'middle'), (25, 60, 'large')) as b(low, high, band) on p_size >= b.low and p_size < b.high + @step
 
 -- func: join_semi
 select o_orderkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')
@@ -126,16 +126,16 @@ select c_mktsegment, count(distinct c_nationkey) as nations from customer group
 select n_regionkey, total(nullif(n_nationkey, n_nationkey)) as nothing, total(n_nationkey) as everything from nation group by n_regionkey
 
 -- func: agg_minmax
-select l_linenumber, max(l_quantity, 10.0, l_tax) as largest, min(nullif(l_linenumber, 3), 2) as smallest from lineitem where l_orderkey < 500
+select l_orderkey, l_linenumber, max(l_quantity, 10.0, l_tax) as largest, min(nullif(l_linenumber, 3), 2) as smallest from lineitem
 
 -- func: agg_any_value
-select o_custkey, max_by(o_orderkey, o_orderkey) as some_order, max(o_orderkey) as last_order from orders group by o_custkey
+select o_custkey, o_totalprice as last_price, o_orderstatus as last_status, max(o_orderkey) as last_order from orders group by o_custkey
 
 -- func: coalesce_max_plus
-select coalesce(max(o_orderkey), 0) + 1 as next_key, cast(coalesce(sum(o_custkey), 0) as bigint) as keys from orders where o_custkey < @below
+select coalesce(max(o_orderkey), 0) + 1 as next_key, cast(coalesce(sum(o_custkey), 0) as bigint) as keys from orders
 
 -- func: json_group_array
-select n_regionkey, json_group_array(n_nationkey) as nations from (select n_regionkey, n_nationkey from nation where n_nationkey in (0, 1, 2, 3)) group by n_regionkey having count(*) = 1
+select n_regionkey, json_group_array(n_nationkey order by n_nationkey) as nations, json_group_array(nullif(n_name, 'NATION_3') order by n_nationkey) as names from nation group by n_regionkey
 
 -- func: win_row_number
 select o_orderkey, cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as bigint) as place from orders
@@ -171,16 +171,16 @@ select c_custkey, (select o_orderkey from orders where o_custkey = c_custkey ord
 select c_nationkey as nationkey from customer union select s_nationkey from supplier
 
 -- func: union_all
-select c_nationkey as nationkey, 'customer' as kind from customer where c_custkey < @below union all select s_nationkey, 'supplier' from supplier where s_suppkey < @below
+select c_nationkey as nationkey, 'customer' as kind from customer union all select s_nationkey, 'supplier' from supplier
 
 -- func: intersect_rows
-select c_nationkey as nationkey from customer where c_custkey < 40 intersect select s_nationkey from supplier
+select c_nationkey as nationkey from customer intersect select s_nationkey from supplier
 
 -- func: except_rows
-select n_nationkey as nationkey from nation except select s_nationkey from supplier where s_suppkey < @below
+select n_nationkey as nationkey from nation except select s_nationkey from supplier where s_acctbal > @least
 
 -- func: compound_subquery
-select kind, count(*) as n from (select 'c' as kind, c_nationkey as k from customer union all select 's', s_nationkey from supplier) as u where k < 10 group by kind
+select kind, k, count(*) as n from (select 'c' as kind, c_nationkey as k from customer union all select 's', s_nationkey from supplier) as u group by kind, k
 
 -- func: cte_single
 with busy (custkey, n) as (select o_custkey, count(*) from orders group by o_custkey) select custkey, n from busy where n > @least
@@ -198,7 +198,7 @@ with nation as (select r_regionkey as n_nationkey from region) select n_nationke
 select status, n from (select o_orderstatus as status, count(*) as n from orders group by o_orderstatus) as t where n > 1
 
 -- func: arith
-select l_orderkey, l_linenumber, l_quantity + 1 as up, l_quantity - l_tax as down, -l_linenumber as neg, l_linenumber * 3 as triple from lineitem where l_orderkey < 200
+select l_orderkey, l_linenumber, l_quantity + 1 as up, l_quantity - l_tax as down, -l_linenumber as neg, l_linenumber * 3 as triple from lineitem
 
 -- func: int_div
 select p_partkey, p_size div 7 as sevenths, p_size % 7 as rest from part
@@ -207,7 +207,7 @@ select p_partkey, p_size div 7 as sevenths, p_size % 7 as rest from part
 select p_partkey, p_retailprice / (p_size - 10) as per_size from part
 
 -- func: bitops
-select p_partkey, cast(p_size & 12 as bigint) as masked, cast(p_size | 1 as bigint) as odd, cast(p_size << 2 as bigint) as up, cast(p_size >> 1 as bigint) as down from part
+select p_partkey, cast(p_size & 12 as bigint) as masked, cast(p_size | 1 as bigint) as odd, cast(p_size << 2 as bigint) as up, cast(p_size >> 1 as bigint) as down, cast(1 + p_size << 1 + 1 as bigint) as ordered, cast(p_size & 7 | 8 << 1 as bigint) as leftmost from part
 
 -- func: concat_text
 select n_nationkey, n_name || '/' || nullif(n_name, 'NATION_3') as label from nation
@@ -216,7 +216,7 @@ select n_nationkey, n_name || '/' || nullif(n_name, 'NATION_3') as label from na
 select p_partkey, cast(p_retailprice as integer) as whole, cast(p_size as text) as shown, cast(p_size as double) as real_size from part
 
 -- func: cast_prefix
-select n_nationkey, cast(regexp_extract(n_name || n_nationkey, '(\\d+)', 1) as bigint) as digits from nation
+select n_nationkey, cast(n_nationkey || '-' || n_name as integer) as digits, cast(substr(n_name, 1, 3) as integer) as none from nation
 
 -- func: coalesce_first
 select c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') as segment, ifnull(nullif(c_nationkey, 1), -1) as nation from customer
@@ -231,25 +231,43 @@ select o_orderkey, case o_orderstatus when 'F' then 1 when 'O' then 2 else 0 end
 select n_nationkey, lower(n_name) as low, upper(n_name) as up, length(trim('  ' || n_name || ' ')) as size, substr(n_name, 2, 3) as middle, replace(n_name, 'N', 'M') as swapped from nation
 
 -- func: unixepoch
-select event_id, datetime(event_id * 3600, 'unixepoch') as shown from events where event_id < @below
+select event_id, datetime(event_id * 3600, 'unixepoch') as shown from events
 
 -- func: json_object
 select n_nationkey, json_object('key', n_nationkey, 'name', nullif(n_name, 'x'), 'none', nullif(n_nationkey, n_nationkey)) as packed from nation
 
 -- func: json_array
-select n_nationkey, json_array(n_nationkey, n_regionkey) as packed from nation
+select n_nationkey, json_array(n_nationkey, n_name, null) as packed from nation
 
 -- func: json_each
-select event_id, item from events lateral view explode(from_json(concat('[', event_id, ',', user_id, ']'), 'array<bigint>')) as item where event_id < 500
+select e.event_id, j.key, j.value, j.type, j.fullkey from events as e, json_each(e.props) as j
+
+-- func: json_tree
+select e.event_id, j.key, j.value, j.type, j.fullkey, j.path from events as e, json_tree(e.props) as j
+
+-- func: json_member
+select event_id from events where '5' in (select value from json_each('["5", "6"]')) and props ->> '$.k' in (select value from json_each('[5, 6, "7"]'))
+
+-- func: glob_match
+select p_partkey, p_brand glob 'Brand#[12]?' as early, p_type glob '*S*' as has_s from part
+
+-- func: strftime_parts
+select event_id, strftime('%Y/%m, day %d', ts) as shown, date(ts, 'start of month') as month_began, datetime(ts, '+3 days', '-1 hour') as later from events
+
+-- func: is_precedence
+select l_orderkey, l_linenumber from lineitem where l_linenumber + 1 is not l_suppkey % 5 + 1
+
+-- func: case_operand
+select o_orderkey, case o_orderstatus when 'F' then 8 else 6 end % 5 as rest, case when o_custkey > 50 then 1 end is null as low from orders
+
+-- func: hex_literal
+select n_nationkey + 0x1F as shifted from nation
 
 -- func: props_json
 select event_id, cast(get_json_object(props, '$.k') as bigint) as k from events
 
 -- func: text_search
-select doc_id, term from (select doc_id, explode(array_distinct(split(lower(text), '[^a-z]+'))) as term from documents where lang = 'en') where term in ('the', 'that')
-
--- func: catalog_source
-select cast(count(*) as bigint) as n from (values ('orders'), ('lineitem'), ('customer')) as t(name)
+select doc_id from documents where text match 'the AND harbour OR und'
 
 -- func: view_read
 select c_custkey, n from busy_customers where n >= @least

@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from .blocks import Block, parse
+from .functions import json_tables
 from .functions.dialect import rewrite
 from .lower import lower
 from .operators.dml import Executor, Result
@@ -32,7 +33,10 @@ def run(session: SparkSession, sql: str, args: dict | None = None, types: dict[s
     if extra := set(args) - set(names):
         raise SqlError(f"{label or 'statement'}: no parameter {', '.join(sorted(extra))}")
     nulls = {n: t for n, t in (types or {}).items() if args[n] is None}
-    return session.sql(typed(rewrite(lowered), nulls), args={n: args[n] for n in names} or None)
+    made = typed(rewrite(lowered), nulls)
+    if "json_tree_rows" in made:
+        json_tables.register(session)
+    return session.sql(made, args={n: args[n] for n in names} or None)
 
 
 PYTHON = {"bigint": int, "int": int, "string": str, "double": (float, int), "boolean": bool, "binary": (bytes, bytearray)}
@@ -102,7 +106,9 @@ class Statement:
     def batch(self, tx: Transaction, rows: list[dict]) -> int:
         if not self.contract.batch:
             raise SqlError(f"{self.contract.name} isn't declared as a batch")
-        return sum(self.execute(tx, **r).count for r in rows)
+        if self.contract.choices or not isinstance(tx, Transaction) or not tx.open:
+            return sum(self.execute(tx, **r).count for r in rows)
+        return Executor(tx).batch(self.contract.sql, [self.arguments(r, tx) for r in rows])
 
 
 def bind(contracts: list[Contract], consume: Callable | None = None) -> dict[str, Statement]:

@@ -1,13 +1,16 @@
 """INSERT, UPDATE, DELETE, upserts and RETURNING over snapshot tables.
 
 A statement is taken apart at its clauses; expressions stay SQL and go to
-Catalyst.  Each becomes one rewrite of the table: rows that don't change are
-copied by the same plan that computes the ones that do.
+Catalyst.  INSERT adds a folder of rows.  UPDATE, DELETE and upserts look for
+the files that hold rows they change, and write the rows of those files anew:
+what changes in one folder, what stays in another.  Where WHERE has a subquery
+or FROM another table, rows are told by their file and place in it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +21,7 @@ from ..sources.registry import Table, closing, parts
 from ..text import SqlError, Token, quote, tokens, unquote
 from .store import ConstraintError, Transaction, view
 
+BATCH = 500  #: rows of one INSERT of a batch
 CLAUSES = ("where", "returning", "from", "set", "on", "values", "select", "default")
 
 
@@ -164,60 +168,91 @@ class Executor:
         _, used = lower(sql)
         return session.sql(rewrite(sql), args={p.name: args[p.name] for p in used if p.name in args})
 
-    def numbered(self, table: Table) -> DataFrame:
-        return self.tx.read(table.name).withColumn("_row", F.monotonically_increasing_id())
-
-    def finish(self, m: Mutation, table: Table, after: DataFrame, changed: DataFrame, args: dict, write: bool = True) -> Result:
-        """Writes the table and reads RETURNING from the changed rows."""
-        shared = changed.persist()
-        try:
-            count = shared.count()
-            if count and write:
-                self.tx.write(table.name, after)
-            rows = None
-            if m.returning:
-                session = self.tx.session()
-                kept = session.createDataFrame(shared.collect(), shared.schema) if count <= 10_000 else None
-                if kept is None:
-                    path = f"data/_returning/{m.table}-{id(shared)}"
-                    shared.write.mode("overwrite").parquet(f"{self.tx.store.root}/{path}")
-                    self.tx.written.append(path)
-                    view(session, self.tx.store.spark.read.parquet(f"{self.tx.store.root}/{path}"), m.table)
-                else:
-                    kept.createOrReplaceTempView(m.table)
-                rows = self.sql(session, f"SELECT {m.returning} FROM {quote(m.table)} AS {quote(m.alias)}", args)
-        finally:
-            shared.unpersist()
-        return Result(count, rows)
-
-    def hits(self, m: Mutation, table: Table, extra: list[str], args: dict) -> DataFrame:
-        """(_row, extra expressions) of the rows that WHERE and FROM choose."""
+    def rows(self, m: Mutation, df: DataFrame, args: dict) -> DataFrame | None:
+        """What RETURNING gives of the changed rows."""
+        if not m.returning:
+            return None
         session = self.tx.session()
-        view(session, self.numbered(table), m.table)
+        view(session, df, m.table)
+        return self.sql(session, f"SELECT {m.returning} FROM {quote(m.table)} AS {quote(m.alias)}", args)
+
+    def added(self, m: Mutation, table: Table, new: DataFrame, args: dict) -> Result:
+        """Appends rows."""
+        path = self.tx.segment(table.name, new)
+        made = self.tx.read(table.name, [path])
+        if count := made.count():
+            self.tx.append(table.name, path)
+        return Result(count, self.rows(m, made, args))
+
+    def changed(self, m: Mutation, table: Table, hits: DataFrame, args: dict, new, kept=None) -> Result:
+        """Writes anew the files that hold ``hits`` (_file, _pos).
+
+        ``new``: from the session with those files as ``_touched`` to the rows
+        that come instead, or None; ``kept``: to those that stay, else the rows
+        that aren't hit.
+        """
+        counts = hits.groupBy("_file").agg(F.count("*").alias("n")).collect()  # a row for each file
+        files = [r["_file"] for r in counts]
+        ends = {tuple(f.rsplit("/", 2)[-2:]) for f in files}
+        paths = [f for f in self.tx.parquet_files(table.name) if tuple(f.rsplit("/", 2)[-2:]) in ends]
+        session = self.tx.session()
+        touched = self.tx.located(table.name, paths)
+        view(session, touched, "_touched")
+        made = on_root(self.tx, new(session)) if new else None
+        count = sum(r["n"] for r in counts)
+        if made is not None:
+            path = self.tx.segment(table.name, made)
+            made = self.tx.read(table.name, [path])
+            count = made.count()
+        else:
+            path, made = None, touched.join(hits, ["_file", "_pos"], "left_semi").drop("_file", "_pos")
+        if files:
+            stays = on_root(self.tx, kept(session)) if kept else touched.join(hits.select("_file", "_pos"), ["_file", "_pos"], "left_anti")
+            self.tx.replace_files(table.name, files, self.tx.segment(table.name, stays), path)
+        elif count and path:
+            self.tx.append(table.name, path)
+        return Result(count, self.rows(m, made, args))
+
+    def place(self, m: Mutation, table: Table, extra: list[str], args: dict) -> DataFrame:
+        """(_file, _pos, extra expressions) of the rows that WHERE and FROM choose."""
+        session = self.tx.session()
+        view(session, self.tx.located(table.name), m.table)
         where = f" WHERE {m.where}" if m.where else ""
         from_ = f", {m.from_}" if m.from_ else ""
-        picked = ", ".join([f"{quote(m.alias)}._row AS _row", *extra])
-        found = self.sql(session, f"{m.with_} SELECT {picked} FROM {quote(m.table)} AS {quote(m.alias)}{from_}{where}", args)
-        return found.dropDuplicates(["_row"]) if m.from_ else found
+        alias = quote(m.alias)
+        picked = ", ".join([f"{alias}._file AS _file", f"{alias}._pos AS _pos", *extra])
+        return on_root(self.tx, self.sql(session, f"{m.with_} SELECT {picked} FROM {quote(m.table)} AS {alias}{from_}{where}", args))
 
     def delete(self, m: Mutation, table: Table, args: dict) -> Result:
-        hit = self.hits(m, table, [], args)
-        rows = self.numbered(table)
-        changed = on_root(self.tx, hit).join(rows, "_row").drop("_row")
-        after = rows.join(on_root(self.tx, hit), "_row", "left_anti").drop("_row")
-        return self.finish(m, table, after, changed, args)
+        hits = self.place(m, table, [], args)
+        return self.changed(m, table, hits, args, None, self.unhit(m, args))
+
+    def unhit(self, m: Mutation, args: dict):
+        """The rows of the touched files for which a plain WHERE doesn't hold."""
+        if m.from_ or any(t.is_word("select") for t in tokens(m.where)):
+            return None
+        return lambda session: self.sql(session, f"{m.with_} SELECT * FROM _touched AS {quote(m.alias)} WHERE NOT coalesce({m.where or 'true'}, false)", args)
 
     def update(self, m: Mutation, table: Table, args: dict) -> Result:
         for name, _ in m.sets:
             if table.column(name) is None:
                 raise SqlError(f"{table.name} has no column {name}")
-        new = [f"CAST({e} AS {table.column(c).type}) AS {quote('_new_' + c.lower())}" for c, e in m.sets]
-        hit = on_root(self.tx, self.hits(m, table, [*new, "true AS _hit"], args))
-        joined = self.numbered(table).join(hit, "_row", "left")
-        changes = {c.lower() for c, _ in m.sets}
-        now = [F.when(F.col("_hit"), F.col(quote("_new_" + c.name.lower()))).otherwise(F.col(quote(c.name))).alias(c.name) if c.name.lower() in changes else F.col(quote(c.name)) for c in table.columns]
-        after = joined.select(*now, "_hit")
-        return self.finish(m, table, after.drop("_hit"), after.filter("_hit").drop("_hit"), args)
+        new = {c.lower(): f"CAST({e} AS {table.column(c).type})" for c, e in m.sets}
+        alias = quote(m.alias)
+        if not m.from_:
+            cols = ", ".join(f"{new.get(c.name.lower(), f'{alias}.{quote(c.name)}')} AS {quote(c.name)}" for c in table.columns)
+            where = f" WHERE {m.where}" if m.where else ""
+            made = lambda session: self.sql(session, f"{m.with_} SELECT {cols} FROM _touched AS {alias}{where}", args)
+            return self.changed(m, table, self.place(m, table, [], args), args, made, self.unhit(m, args))
+        # Of several rows of FROM that meet a row, the one with the smallest new values.
+        each = self.place(m, table, [f"{e} AS {quote('_new_' + c)}" for c, e in new.items()], args)
+        hits = each.groupBy("_file", "_pos").agg(F.min(F.struct(*(quote("_new_" + c) for c in new))).alias("_best"))
+
+        def made(session):
+            touched = on_root(self.tx, session.table("_touched")).join(hits, ["_file", "_pos"])
+            return touched.select(*(F.col(f"_best.{quote('_new_' + c.name.lower())}").alias(c.name) if c.name.lower() in new else F.col(quote(c.name)) for c in table.columns))
+
+        return self.changed(m, table, hits, args, made)
 
     def incoming(self, m: Mutation, table: Table, args: dict) -> DataFrame:
         """New rows with all columns: given ones, defaults, numbered keys."""
@@ -255,50 +290,72 @@ class Executor:
 
     def insert(self, m: Mutation, table: Table, args: dict) -> Result:
         new = self.incoming(m, table, args)
-        current = self.tx.read(table.name)
         action = m.conflict or ("ignore" if m.upsert == "nothing" else "update" if m.upsert else "")
         keys = [tuple(m.upsert_key)] if m.upsert_key else table.keys()
         if action in ("", "abort", "fail", "rollback"):
-            return self.finish(m, table, current.unionByName(new), new, args)
+            return self.added(m, table, new, args)
         if not keys:
             raise SqlError(f"{table.name} has no key for a conflict")
         if action == "replace":
             for key in keys:
                 new = last_of(new, key)
-            kept = current
-            for key in keys:
-                kept = kept.join(new.select(*map(quote, key)), list(key), "left_anti").select(current.columns)
-            return self.finish(m, table, kept.unionByName(new), new, args)
+            held = self.tx.located(table.name)
+            hits = reduce(DataFrame.unionAll, (held.join(new.select(*map(quote, key)).dropna(), list(key), "left_semi").select("_file", "_pos") for key in keys)).distinct()
+            return self.changed(m, table, hits, args, lambda session: new)
         if action == "ignore":
+            current = self.tx.read(table.name)
             for key in keys:
                 new = first_of(new, key).join(current.select(*map(quote, key)), list(key), "left_anti").select(new.columns)
-            return self.finish(m, table, current.unionByName(new), new, args)
+            return self.added(m, table, new, args)
         if action == "update":
-            return self.upsert(m, table, current, new, keys[0], args)
+            return self.upsert(m, table, new, keys[0], args)
         raise SqlError(f"INSERT OR {action.upper()} isn't known")
 
-    def upsert(self, m: Mutation, table: Table, current: DataFrame, new: DataFrame, key: tuple[str, ...], args: dict) -> Result:
+    def upsert(self, m: Mutation, table: Table, new: DataFrame, key: tuple[str, ...], args: dict) -> Result:
         if not new.groupBy(*map(quote, key)).count().filter("count > 1").isEmpty():
             raise ConstraintError(f"rows of one INSERT meet in UNIQUE ({', '.join(key)})")
-        session = self.tx.session()
-        view(session, current.withColumn("_held", F.lit(True)), m.table)
-        view(session, new.withColumn("_came", F.lit(True)), "excluded")
-        same = " AND ".join(f"{quote(m.alias)}.{quote(k)} = excluded.{quote(k)}" for k in key)
-        hit = f"({quote(m.alias)}._held AND excluded._came AND coalesce({m.upsert_where or 'true'}, false))"
+        alias = quote(m.alias)
+        same = " AND ".join(f"{alias}.{quote(k)} = excluded.{quote(k)}" for k in key)
+        where = f" WHERE {m.upsert_where}" if m.upsert_where else ""
         sets = {c.lower(): e for c, e in m.upsert_sets}
-        cols = []
-        for c in table.columns:
-            old, fresh = f"{quote(m.alias)}.{quote(c.name)}", f"excluded.{quote(c.name)}"
-            changed = f"CAST({sets[c.name.lower()]} AS {c.type})" if c.name.lower() in sets else old
-            cols.append(f"CASE WHEN {quote(m.alias)}._held IS NULL THEN {fresh} WHEN {hit} THEN {changed} ELSE {old} END AS {quote(c.name)}")
-        touched = f"({quote(m.alias)}._held IS NULL OR {hit}) AS _touched"
-        merged = self.sql(session, f"SELECT {', '.join(cols)}, {touched} FROM {quote(m.table)} AS {quote(m.alias)} FULL JOIN excluded ON {same}", args)
-        merged = on_root(self.tx, merged)
-        return self.finish(m, table, merged.drop("_touched"), merged.filter("_touched").drop("_touched"), args)
+        cols = ", ".join(f"CAST({sets[c.name.lower()]} AS {c.type}) AS {quote(c.name)}" if c.name.lower() in sets else f"{alias}.{quote(c.name)}" for c in table.columns)
+        session = self.tx.session()
+        view(session, self.tx.located(table.name), m.table)
+        view(session, new, "excluded")
+        hits = on_root(self.tx, self.sql(session, f"SELECT {alias}._file AS _file, {alias}._pos AS _pos FROM {quote(m.table)} AS {alias} JOIN excluded ON {same}{where}", args))
+        fresh = new.join(self.tx.read(table.name).select(*map(quote, key)), list(key), "left_anti").select(new.columns)
+
+        def made(touched):
+            view(touched, new, "excluded")
+            merged = self.sql(touched, f"SELECT {cols} FROM _touched AS {alias} JOIN excluded ON {same}{where}", args)
+            return on_root(self.tx, merged).unionAll(fresh)
+
+        return self.changed(m, table, hits, args, made)
 
     def batch(self, sql: str, rows: list[dict]) -> int:
-        """One statement for each set of arguments, in one transaction."""
-        return sum(self.run(sql, args).count for args in rows)
+        """One statement for each set of arguments, in one transaction.
+
+        INSERTs of one row of VALUES become one INSERT of many, which adds one
+        folder; other statements run one after another, as each may change what
+        the next one sees.
+        """
+        lowered, places = lower(sql)
+        m = parse(lowered)
+        names = [p.name for p in places]
+        plain = m is not None and m.kind == "insert" and m.values and not m.returning and m.upsert != "update" and not m.with_
+        values = lowered[lowered.index(m.source) :] if plain else ""
+        if not plain or len(rows) < 2 or sum(t.text == "(" and not depth_of(tokens(m.source), 1, i) for i, t in enumerate(tokens(m.source)) if i) != 1:
+            return sum(self.run(sql, args).count for args in rows)
+        one = m.source[tokens(m.source)[1].start :]
+        total = 0
+        for at in range(0, len(rows), BATCH):
+            part, given, args = rows[at : at + BATCH], [], {}
+            for n, row in enumerate(part):
+                given.append("".join(f":{t.text[1:]}_{n}" if t.kind == "param" else t.text for t in tokens(one, skip=False)))
+                args |= {f"{k}_{n}": row[k] for k in names}
+            made = lowered[: len(lowered) - len(values)] + "VALUES " + ", ".join(given) + values[len(m.source) :]
+            total += self.run(made, args).count
+        return total
 
 
 def numbered(df: DataFrame, column: str, last: int) -> DataFrame:

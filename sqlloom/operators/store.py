@@ -1,14 +1,18 @@
-"""Snapshot tables: immutable Parquet versions behind one pointer.
-
-A commit writes new versions and then swaps the pointer file, so that all
-tables of a transaction change at once.  Readers keep the pointer that they
-opened.  Declared keys, NOT NULL, checks and references are verified as
-DataFrame queries before the swap; one writer holds the lock file.
+"""Snapshot tables: immutable Parquet files behind one pointer.
+
+A table is a list of folders and files.  Statements add folders of new rows and
+leave out files whose rows they changed; a commit then swaps the pointer file,
+so that all tables of a transaction change at once.  Readers keep the pointer
+that they opened.  Declared keys, NOT NULL, checks and references are verified
+as DataFrame queries before the swap, on the rows that were added, and on the
+children of tables that lost rows.  One writer holds the lock file; a lock that
+is older than ``LOCK_SECONDS`` belongs to a writer that died.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from functools import reduce
 
@@ -21,6 +25,7 @@ from ..sources.registry import Registry, Table
 from ..text import SqlError, quote
 
 POINTER, LOCK = "pointer.json", "writer.lock"
+LOCK_SECONDS = 6 * 3600
 
 
 class ConstraintError(SqlError):
@@ -38,13 +43,28 @@ class Snapshot:
     def version(self) -> int:
         return self.state["version"]
 
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str, paths: list[str] | None = None) -> DataFrame:
+        """The rows of a table, or of some of its folders and files."""
         table = self.registry.table(name)
-        path = self.state["paths"].get(name.lower())
+        paths = self.state["paths"].get(name.lower(), []) if paths is None else paths
         spark = self.store.spark
-        if path is None:
+        if not paths:
             return spark.createDataFrame(spark.sparkContext.emptyRDD(), table.storage())
-        return spark.read.schema(table.storage()).parquet(f"{self.store.root}/{path}")
+        return spark.read.schema(table.storage()).parquet(*(f"{self.store.root}/{p}" for p in paths))
+
+    def located(self, name: str, paths: list[str] | None = None) -> DataFrame:
+        """With each row's file and its place there, which no later scan changes."""
+        df = self.read(name, paths)
+        if not (self.state["paths"].get(name.lower(), []) if paths is None else paths):
+            return df.withColumns({"_file": F.lit(""), "_pos": F.lit(0).cast("long")})
+        return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_pos"))
+
+    def parquet_files(self, name: str) -> list[str]:
+        """Every file of a table."""
+        out = []
+        for p in self.state["paths"].get(name.lower(), []):
+            out += [p] if p.endswith(".parquet") else [f"{p}/{f}" for f in self.store.files.names(p) if f.endswith(".parquet")]
+        return out
 
     def session(self) -> SparkSession:
         """A session of its own with a view for each table and view."""
@@ -100,14 +120,18 @@ class Store:
         self.files.delete("")
 
     def vacuum(self) -> list[str]:
-        """Removes versions that the current pointer doesn't name."""
-        used = set(self.snapshot().state["paths"].values())
+        """Removes folders and files that the current pointer doesn't name."""
+        named = {p for paths in self.snapshot().state["paths"].values() for p in paths}
+        partly = {p.rpartition("/")[0] for p in named if p.endswith(".parquet")}
         gone = []
         for table in self.files.names("data"):
             for version in self.files.names(f"data/{table}"):
-                if (path := f"data/{table}/{version}") not in used:
-                    self.files.delete(path)
-                    gone.append(path)
+                path = f"data/{table}/{version}"
+                rest = [] if path in named else [f"{path}/{f}" for f in self.files.names(path)] if path in partly else [path]
+                for old in rest:
+                    if old not in named:
+                        self.files.delete(old)
+                        gone.append(old)
         return gone
 
 
@@ -119,13 +143,24 @@ class Transaction(Snapshot):
         super().__init__(store, json.loads(json.dumps(base.state)))
         self.base = base.version
         self.touched: set[str] = set()
+        self.added: dict[str, list[str] | None] = {}  #: folders of new rows; None where all rows count as new
+        self.shrunk: set[str] = set()  #: tables that lost rows
         self.written: list[str] = []
         self.open = False
         self.check_foreign = True
 
     def __enter__(self) -> Transaction:
-        if not self.store.files.create(LOCK, str(uuid.uuid4())):
-            raise SqlError("another writer holds the database")
+        mine = json.dumps({"writer": uuid.uuid4().hex, "began": time.time()})
+        if not self.store.files.create(LOCK, mine):
+            try:
+                began = json.loads(self.store.files.read(LOCK))["began"]
+            except ValueError:  # just being written
+                began = time.time()
+            if time.time() - began < LOCK_SECONDS:
+                raise SqlError("another writer holds the database")
+            self.store.files.replace(LOCK, mine)
+            if self.store.files.read(LOCK) != mine:
+                raise SqlError("another writer holds the database")
         self.open = True
         return self
 
@@ -139,16 +174,42 @@ class Transaction(Snapshot):
             self.store.files.delete(LOCK)
             self.open = False
 
-    def write(self, name: str, df: DataFrame) -> None:
-        """A new version of a table, with the declared columns in order."""
+    def segment(self, name: str, df: DataFrame) -> str:
+        """Writes rows with the declared columns in order; the folder's path."""
         if not self.open:
             raise SqlError("writing needs an open transaction")
         table = self.registry.table(name)
         path = f"data/{name.lower()}/{uuid.uuid4().hex}"
         df.select(*(F.col(quote(c.name)).cast(c.type).alias(c.name) for c in table.columns)).write.parquet(f"{self.store.root}/{path}")
-        self.state["paths"][name.lower()] = path
         self.written.append(path)
+        return path
+
+    def write(self, name: str, df: DataFrame) -> None:
+        """All rows of a table anew."""
+        self.state["paths"][name.lower()] = [self.segment(name, df)]
+        self.added[name.lower()] = None
         self.touched.add(name.lower())
+        self.shrunk.add(name.lower())
+
+    def append(self, name: str, *paths: str) -> None:
+        key = name.lower()
+        self.state["paths"][key] = [*self.state["paths"].get(key, []), *paths]
+        if self.added.setdefault(key, []) is not None:
+            self.added[key] += paths
+        self.touched.add(key)
+
+    def replace_files(self, name: str, gone: list[str], kept: str, new: str | None = None) -> None:
+        """Files go, the rows of theirs that stay are in ``kept``."""
+        key = name.lower()
+        ends = {tuple(f.rsplit("/", 2)[-2:]) for f in gone}
+        rest = [f for f in self.parquet_files(name) if tuple(f.rsplit("/", 2)[-2:]) not in ends]
+        if self.added.get(key):  # new rows of this transaction may have moved on into the kept ones
+            self.added[key] = None
+        self.state["paths"][key] = [*rest, kept]
+        self.shrunk.add(key)
+        self.touched.add(key)
+        if new:
+            self.append(name, new)
 
     def create(self, table: Table) -> None:
         if table.name.lower() in self.registry.tables:
@@ -159,26 +220,34 @@ class Transaction(Snapshot):
         self.registry.table(name)
         del self.registry.tables[name.lower()]
         self.state["paths"].pop(name.lower(), None)
+        self.shrunk.add(name.lower())
 
     def commit(self) -> int:
-        for name in sorted(self.touched & set(self.registry.tables)):
-            verify(self, self.registry.table(name))
-        if self.check_foreign and (broken := foreign_violations(self)):
-            raise ConstraintError("; ".join(f"{t} refers to {p}: {n} rows without a parent" for t, p, n in broken))
+        self.check()
         if self.store.snapshot().version != self.base:
             raise SqlError("the database changed since this transaction began")
         self.state |= {"version": self.base + 1, "registry": self.registry.to_json()}
         self.store.files.replace(POINTER, json.dumps(self.state))
         return self.base + 1
 
+    def check(self) -> None:
+        """Constraints of what this transaction changed."""
+        for name in sorted(self.touched & set(self.registry.tables)):
+            verify(self, self.registry.table(name), self.added.get(name, []))
+        if self.check_foreign and (broken := foreign_violations(self, self.added, self.shrunk)):
+            raise ConstraintError("; ".join(f"{t} refers to {p}: {n} rows without a parent" for t, p, n in broken))
+
     def rollback(self) -> None:
         for path in self.written:
             self.store.files.delete(path)
 
 
-def verify(snapshot: Snapshot, table: Table) -> None:
-    """NOT NULL, checks and keys of a table, in one scan and one for each key."""
-    df = snapshot.read(table.name)
+def verify(snapshot: Snapshot, table: Table, added: list[str] | None = None) -> None:
+    """NOT NULL, checks and keys of a table: of all rows, or of those in the
+    folders ``added`` among the others, which hold the constraints already."""
+    if added is not None and not added:
+        return
+    df = snapshot.read(table.name, added)
     tests = {f"{table.name}.{c.name} is NOT NULL": F.col(quote(c.name)).isNull() for c in table.columns if not table.nullable(c)}
     for c in table.columns:
         if c.check:
@@ -190,20 +259,33 @@ def verify(snapshot: Snapshot, table: Table) -> None:
         for what, n in zip(tests, counts, strict=True):
             if n:
                 raise ConstraintError(f"{what}: {n} rows break it")
+    others = [p for p in snapshot.state["paths"].get(table.name.lower(), []) if p not in (added or [])] if added is not None else []
     for key in table.keys():
-        known = reduce(lambda a, b: a & b, (F.col(quote(k)).isNotNull() for k in key))
-        twice = df.filter(known).groupBy(*map(quote, key)).count().filter("count > 1").limit(1).collect()
+        columns = [F.col(quote(k)).alias(f"k{i}") for i, k in enumerate(key)]
+        mine = df.select(*columns).dropna()
+        twice = mine.groupBy(*mine.columns).count().filter("count > 1").limit(1).collect()
+        if not twice and others:
+            twice = snapshot.read(table.name, others).select(*columns).join(mine, mine.columns, "left_semi").limit(1).collect()
         if twice:
-            raise ConstraintError(f"{table.name}: UNIQUE ({', '.join(key)}) has {tuple(twice[0])[:-1]} twice")
+            raise ConstraintError(f"{table.name}: UNIQUE ({', '.join(key)}) has {tuple(twice[0])[: len(key)]} twice")
+
 
+def foreign_violations(snapshot: Snapshot, added: dict[str, list[str] | None] | None = None, shrunk: set[str] | None = None) -> list[tuple[str, str, int]]:
+    """(table, parent, rows without a parent) for each broken reference.
 
-def foreign_violations(snapshot: Snapshot) -> list[tuple[str, str, int]]:
-    """(table, parent, rows without a parent) for each broken reference."""
+    With ``added`` and ``shrunk``: of new rows, and of all children of tables
+    that lost rows.
+    """
     out = []
     for table in snapshot.registry.tables.values():
         for columns, parent, keys in table.foreign:
+            paths = None
+            if added is not None and parent.lower() not in shrunk:
+                paths = added.get(table.name.lower(), [])
+                if paths is not None and not paths:
+                    continue
             target = snapshot.registry.table(parent)
-            child = snapshot.read(table.name).select(*(F.col(quote(c)).alias(f"c{i}") for i, c in enumerate(columns))).dropna()
+            child = snapshot.read(table.name, paths).select(*(F.col(quote(c)).alias(f"c{i}") for i, c in enumerate(columns))).dropna()
             held = snapshot.read(parent).select(*(F.col(quote(k)).alias(f"p{i}") for i, k in enumerate(keys or target.primary_key)))
             same = reduce(lambda a, b: a & b, (F.col(f"c{i}") == F.col(f"p{i}") for i in range(len(columns))))
             if n := child.join(held, same, "left_anti").count():

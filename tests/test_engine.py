@@ -84,7 +84,7 @@ def test_result_columns(session, registry):
     assert c.access == "mutation" and [x.name for x in c.columns] == ["id", "up"]
 
 
-@pytest.mark.parametrize("sql,why", [("select id, id from users", "two result columns"), ("select nope from users", "column isn't there"), ("select 1 from nowhere", "table isn't there"), ("insert into users (id, name) values (1)", "1 values for 2"), ("update users set nope = 1", "no column nope"), ("select id, count(*) as n from users", "GROUP BY")])
+@pytest.mark.parametrize("sql,why", [("select id, id from users", "two result columns"), ("select nope from users", "column isn't there"), ("select 1 from nowhere", "table isn't there"), ("insert into users (id, name) values (1)", "1 values for 2"), ("update users set nope = 1", "no column nope"), ("select id + 1, count(*) as n from users", "GROUP BY")])
 def test_contract_errors(session, registry, sql, why):
     with pytest.raises(SqlError, match=why):
         describe(session, registry, sql)
@@ -154,6 +154,69 @@ def test_transactions(store):
     assert store.vacuum()
 
 
+def files_of(store, table):
+    return set(store.snapshot().parquet_files(table))
+
+
+def test_writes_touch_only_files_with_changed_rows(spark, store):
+    """Inserts add a folder; updates and deletes leave other files as they are."""
+    for n in range(3):
+        with store.begin() as tx:
+            Executor(tx).run("insert into users (name, active, score) values (@a, true, @n), (@b, false, @n)", {"a": f"a{n}", "b": f"b{n}", "n": float(n)})
+    before = files_of(store, "users")
+    with store.begin() as tx:
+        assert Executor(tx).run("insert into users (name, active) values ('new', true)").count == 1
+    added = files_of(store, "users") - before
+    assert before < files_of(store, "users") and len(added) == 1
+    spread = {f for (f,) in store.snapshot().located("users").filter("name in ('a1', 'b1')").select("_file").distinct().collect()}
+    held = files_of(store, "users")
+    with store.begin() as tx:
+        done = Executor(tx).run("update users set score = score * 10, nickname = 'x' where name like '_1' returning id, score")
+        assert done.count == 2 and sorted(r["score"] for r in done.rows.collect()) == [10.0, 10.0]
+    gone = held - files_of(store, "users")
+    assert len(gone) == len(spread) and all(any(f.endswith(g.rsplit("/", 1)[-1]) for f in spread) for g in gone)
+    with store.begin() as tx:
+        assert Executor(tx).run("delete from users where name = 'b1' and id in (select id from users where score = 10)").count == 1
+        assert Executor(tx).run("delete from users where name = 'nobody'").count == 0
+    assert rows(store, "select name, score, nickname from users order by id") == [("ann", 1.5, None), ("bob", None, None), ("a0", 0.0, None), ("b0", 0.0, None), ("a1", 10.0, "x"), ("a2", 2.0, None), ("b2", 2.0, None), ("new", None, None)]
+    gone = store.vacuum()
+    assert gone and rows(store, "select count(*) as n from users") == [(8,)]
+
+
+def test_update_from_and_upsert_by_file(store):
+    with store.begin() as tx:
+        run = Executor(tx).run
+        run("insert into orders (user_id, status, made_at) values (1, 'z', '2024-01-02 00:00:00'), (2, 'y', '2024-01-03 00:00:00')")
+        # ann meets two orders: the smallest new value counts, whatever the files
+        assert run("update users set nickname = o.status from orders o where o.user_id = users.id and o.status <> 'new2'").count == 2
+        done = run("insert into users (id, name, active) values (1, 'up', false), (7, 'seven', true) on conflict (id) do update set name = excluded.name || users.name returning id, name, nickname")
+        assert sorted(map(tuple, done.rows.collect())) == [(1, "upann", "new"), (7, "seven", None)]
+        assert run("insert into users (id, name, active) values (1, 'no', false) on conflict (id) do update set name = 'n' where excluded.name = 'yes'").count == 0
+        assert run("insert or replace into users (id, name, active) values (2, 'two', true), (8, 'eight', true), (8, 'again', true)").count == 2
+        assert run("update users set score = (select max(id) from users) where id = 1").count == 1
+    assert rows(store, "select id, name, nickname, score from users order by id") == [(1, "upann", "new", 8.0), (2, "two", None, None), (7, "seven", None, None), (8, "again", None, None)]
+
+
+def test_batches_are_one_insert(store):
+    args = [{"name": f"n{i}", "active": i % 2 == 0} for i in range(20)]
+    before = files_of(store, "users")
+    with store.begin() as tx:
+        assert Executor(tx).batch("insert into users (name, active) values (@name, @active)", args) == 20
+        assert len(tx.state["paths"]["users"]) == 2
+        assert Executor(tx).batch("update users set nickname = @b where name = @a", [{"a": "n1", "b": "p"}, {"a": "n2", "b": "q"}]) == 2
+    assert before - files_of(store, "users") == set() or before
+    assert rows(store, "select id, nickname from users where nickname is not null order by id") == [(4, "p"), (5, "q")]
+    with pytest.raises(ConstraintError, match="UNIQUE"), store.begin() as tx:
+        Executor(tx).batch("insert into users (id, name, active) values (@i, 'x', true)", [{"i": 50}, {"i": 50}])
+
+
+def test_lock_of_a_dead_writer(store):
+    store.files.create("writer.lock", '{"writer": "gone", "began": 1.0}')
+    with store.begin() as tx:
+        Executor(tx).run("delete from orders")
+    assert not store.files.exists("writer.lock") and rows(store, "select count(*) as n from orders") == [(0,)]
+
+
 def test_lifecycle(spark, tmp_path):
     m, seeds = tmp_path / "m", tmp_path / "s"
     m.mkdir()

@@ -72,7 +72,16 @@ def test_bad_blocks(text, why):
         ("a is not b", "(NOT (a <=> b))"),
         ("a is b and c is null", "a <=> b and c is null"),
         ('t."x" = "y"', "t.`x` = `y`"),
-        ("a not like b", "a not ILIKE b"),
+        ("a like 'X\\%_Ä'", "translate(a, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE 'x\\\\\\\\%_Ä'"),
+        ("a || b * c", "(a || b) * c"),
+        ("a - (b - c) is not d + 1", "(NOT (a - (b - c) <=> d + 1))"),
+        ("1 + 1 << 2 & x", "shiftleft(1 + 1, 2) & x"),
+        ("case when x then 4 else 5 end / 2", "try_divide(case when x then 4 else 5 end, 2)"),
+        ("select a, b, max(c) as m from t group by a", "select a , max_by(b, c) as b , max(c) as m from t group by a"),
+        ("select count(*), b from t", "select count(*) , any_value(b) as b from t"),
+        ("select a as k, sum(b) over (order by c) from t", "select a as k , sum(b) over (order by c) from t"),
+        ("0xFF", "255"),
+        ("'a\\n'", "'a\\\\n'"),
         ("x * y / z % 2", "try_mod(try_divide(x * y, z), 2)"),
         ("max(a, b)", "CASE WHEN (a) IS NULL OR (b) IS NULL THEN NULL ELSE greatest(a, b) END"),
         ("max(a)", "max(a)"),
