@@ -577,6 +577,7 @@ def test_warc_round_trip(spark, least):
 
 def test_warc_index_is_in_global_order(spark, monkeypatch):
     monkeypatch.setattr(warc, "RANGE", 40)
+    monkeypatch.setattr(warc, "BLOCK", 8)
     data = [(i, f"http://h{i * 7 % 13}.com/p{i * 5 % 17}", f"page {i % 90}") for i in range(200)]
     df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(6)
     rows = warc.round_trip(df).collect()
@@ -584,6 +585,61 @@ def test_warc_index_is_in_global_order(spark, monkeypatch):
     assert len(keys) == 200 and keys == sorted(keys)
 
 
+def test_archives_can_be_sought(spark, tmp_path):
+    """An offset opens its record alone, also after a page of 17 MB."""
+    import glob
+    import gzip
+    import zlib
+
+    rng = random.Random(4)
+    pages = [(i, f"http://h/{i}", "".join(rng.choice("abcdefghijklmnop") for _ in range(n))) for i, n in enumerate([10, 400_000, 20, 300_000, 0, 900_000, 30, 17 << 20])]
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "warc")
+    warc.write(docs, path)
+    rows = {r["page"]: r for r in warc.index(spark, path).collect()}
+    assert sorted(rows) == list(range(8))
+    files = {"/".join(f.split("/")[-2:]): f for f in glob.glob(f"{path}/*/*.txt")}
+    for i, _, html in pages:
+        with open(files[rows[i]["run"]], "rb") as f:
+            f.seek(rows[i]["offset"])
+            record = zlib.decompressobj(31).decompress(f.read())
+        assert record.startswith(b"WARC/1.1\r\n") and record.endswith(html.encode() + b"\r\n\r\n")
+    for f in files.values():
+        with open(f, "rb") as stream:
+            assert gzip.decompress(stream.read()).count(b"WARC/1.1\r\n") >= 1
+
+
+def test_members_end_with_a_zero_byte():
+    for n in (0, 1, 70_000, (1 << 24) - 1, 1 << 24, (1 << 24) + 5):
+        data = bytes(n)
+        joined = warc.member(data) + b"\0" + warc.member(b"next") + b"\0"
+        assert [c for _, c in warc.members(joined)] == [c for c in (data, b"next") if c]
+
+
+def test_archives_close_before_their_bound():
+    import types
+
+    batch = pa_batch([(i, i, f"u{i}", str(i) * 50_000, i, None, None) for i in range(40)])
+    old = warc.TaskContext, warc.ARCHIVE_BYTES
+    warc.TaskContext, warc.ARCHIVE_BYTES = types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 3)), 2000
+    try:
+        out = [r for b in warc.build(iter([batch])) for r in zip(b["archive"].to_pylist(), b["value"].to_pylist(), strict=True)]
+    finally:
+        warc.TaskContext, warc.ARCHIVE_BYTES = old
+    sizes = Counter()
+    for name, value in out:
+        sizes[name] += len(value) + 1
+    assert len(sizes) > 3 and max(sizes.values()) <= 2001 and all(n.startswith("000003-") for n in sizes)
+
+
+def pa_batch(rows):
+    import pyarrow as pa
+
+    names = ("id", "row", "url", "html", "at", "first_id", "first_row")
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for k in (0, 1, 2, 3, 5, 8):
