@@ -6,19 +6,29 @@ predict every bit: the position in the word, the last one, two and three bytes
 (counts in hash tables of fixed size) and the whole word so far (exact counts
 in a sorted bit trie).  Their predictions meet in the logistic domain, with
 weights from a set that a gate picks by how often the long contexts were seen;
-an adaptive map refines the mix.  Contexts stop at the word boundary, so equal
+an adaptive map refines the mix.  These contexts stop at the word, so equal
 tokens cost the same bits and one scoring of each distinct token serves the
 whole corpus.
 
-Training covers every training token: the context counts are sums over the
-whole vocabulary; the weights are learned online, in passes over the stream of
-the vocabulary, each token weighing its count and leaving its own occurrence
-out of the counts that predict it, and are averaged over the partitions.
-
-Data flow: token counts are combined before they shuffle; the vocabulary is
-dealt by the first three bytes, which keeps whole trie branches together; its
-scores return to blocks of documents.  Only hash tables and weights, whose
-size is a constant, reach the driver and are broadcast.
+Contexts across words are those of a match model.  Words whose hash says so end
+a segment, of ``SEGMENT`` words on average.  Before each segment one bit says
+whether it is one of the training segments, which are then as likely as they
+are frequent, or is spelled; both ways to the same segment are added up.  Two
+predictors of that bit, by the last match and the last three, adapt online
+through the text and are mixed in the logistic domain with weights that learn.
+
+Training covers every training token and segment: counts are sums over the
+corpus, from which a training text leaves its own out.  The weights of the
+spelling are learned online, in passes over streams of the vocabulary, each
+token weighing its count, and are averaged over the streams.  Streams follow
+from the vocabulary alone, so that scores don't depend on partitions.
+
+Data flow: texts are read once, where they lie, and become blocks of token
+numbers and segment hashes; counts are combined before they shuffle; the
+vocabulary is dealt by the first three bytes, which keeps whole trie branches
+together; its scores, and the segments that come again, return to the blocks.
+Only hash tables and weights, whose size is a constant, reach the driver and
+are broadcast.
 
 Null texts count as empty (one end token).  Repeated rows are scored each and
 all learned from.  An empty table gives an empty result.  Other columns of the
@@ -27,15 +37,18 @@ input are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from math import exp, log, log10
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parts_for, text_of
+from .common import materialize, text_of
+from .exact_dedup import passing
+from .ngram_join import M2, mix, word_hashes
 
 END = b""  #: the end token; spelled as a lone space
 #: Slots of the tables for the contexts: position, one, two and three bytes.
@@ -49,7 +62,10 @@ GATES = 64
 APM_BINS = 33
 BATCH = 4096  #: tokens that are spelled at once
 BLOCK_BYTES = 16 << 20  #: text of one block of documents
-MAX_STATS_TASKS = 64  #: bounds what a summing task receives: 64 tables' chunks
+STREAM = 1 << 18  #: distinct tokens of one stream of learning
+FAN_IN = 32  #: tables that one task adds up
+SEGMENT = 16  #: words, on average
+HISTORY = ((1, (0.02, 1.0), (1.0, 0.5)), (3, (0.02, 1.0), (1.0, 0.5)))  #: matches that a predictor sees; its first counts after a miss, after a hit
 DELTA = np.float32(0.05)
 
 
@@ -217,36 +233,97 @@ class Mixer:
         return np.add.reduceat(cost, s.start)
 
 
-def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, token, n): training occurrences in the block, 0 if only others have it.
-
-    The rows of a block come one after another.
-    """
-    schema = pa.schema([("block", pa.int32()), ("token", pa.binary()), ("n", pa.int64())])
-
-    def out(block, counts, others):
-        for t in others:
-            if t not in counts:
-                counts[t] = 0
-        keys = list(counts)
-        for i in range(0, len(keys), 50_000):
-            part = keys[i : i + 50_000]
-            yield pa.record_batch([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.binary()), pa.array([counts[k] for k in part], pa.int64())], schema=schema)
-
-    now, counts, others = None, Counter(), set()
+ROW = pa.schema([("kind", pa.int8()), ("block", pa.int64()), ("train", pa.bool_()), ("n_bytes", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("segments", pa.binary()), ("lengths", pa.binary()), ("token", pa.binary()), ("number", pa.int32()), ("segment", pa.int64()), ("every", pa.int64()), ("parts", pa.int64())])
+ROW_SQL = "kind tinyint, block long, train boolean, n_bytes long, n long, tokens binary, segments binary, lengths binary, token binary, number int, segment long, every long, parts long"
+TEXT, TOKEN, SEG = 0, 1, 2
+
+
+def compact(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+
+
+def expand(data: bytes, n: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=n * np.dtype(kind).itemsize, codec="zstd"), kind)
+
+
+def segments_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, length) of each segment of a text's words."""
+    if not len(hashes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    last = hashes % np.uint64(SEGMENT) == 0
+    last[-1] = True
+    ends = np.flatnonzero(last) + 1
+    lengths = np.diff(ends, prepend=0)
+    first = ends - lengths
+    place = (np.arange(len(hashes)) - np.repeat(first, lengths)).astype(np.uint64)
+    return mix(np.add.reduceat(mix(hashes + place * M2), first) + lengths.astype(np.uint64)).view(np.int64), lengths.astype(np.int32)
+
+
+class Block:
+    """Texts that lie together, as numbers of the block's distinct tokens."""
+
+    def __init__(self):
+        self.numbers: dict[bytes, int] = {END: 0}
+        self.texts: list[tuple] = []
+        self.size = 0
+
+    def add(self, key: object, text: bytes, train: bool) -> None:
+        number = self.numbers
+        tokens = text.lower().split()
+        tokens.append(END)
+        self.texts.append((key, len(text), train, np.fromiter((number.setdefault(t, len(number)) for t in tokens), np.int32, len(tokens))))
+        self.size += len(text)
+
+    def rows(self, block: int, keys: pa.DataType) -> Iterator[pa.RecordBatch]:
+        names = list(self.numbers)
+        hashes = np.concatenate((np.zeros(1, np.uint64), word_hashes(b" ".join(names[1:]))))
+        schema = pa.schema([("id", keys), *ROW])
+
+        def batch(many: int, **columns) -> pa.RecordBatch:
+            given = {"block": pa.array([block] * many, pa.int64()), **columns}
+            return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(many, f.type) for f in schema], schema=schema)
+
+        counts = np.zeros(len(names), np.int64)
+        found, learned = [], []
+        for at in range(0, len(self.texts), 256):
+            part = self.texts[at : at + 256]
+            columns: list[list] = [[] for _ in range(8)]
+            for key, size, train, numbers in part:
+                segments, lengths = segments_of(hashes[numbers[:-1]])
+                found.append(segments)
+                learned.append(np.full(len(segments), train))
+                if train:
+                    counts += np.bincount(numbers, minlength=len(names))
+                for c, v in zip(columns, (key, train, size, len(numbers), len(segments), compact(numbers), compact(segments), compact(lengths)), strict=True):
+                    c.append(v)
+            types = [keys, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            made = dict(zip(("id", "train", "n_bytes", "n", "parts", "tokens", "segments", "lengths"), (pa.array(c, t) for c, t in zip(columns, types, strict=True)), strict=True))
+            yield batch(len(part), kind=pa.array([TEXT] * len(part), pa.int8()), **made)
+        for at in range(0, len(names), 50_000):
+            part = names[at : at + 50_000]
+            yield batch(len(part), kind=pa.array([TOKEN] * len(part), pa.int8()), token=pa.array(part, pa.binary()), number=pa.array(np.arange(at, at + len(part), dtype=np.int32)), n=pa.array(counts[at : at + len(part)]))
+        each, place, every = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        trained = np.bincount(place, np.concatenate(learned), len(each)).astype(np.int64)
+        for at in range(0, len(each), 50_000):
+            part = slice(at, at + 50_000)
+            n = len(each[part])
+            yield batch(n, kind=pa.array([SEG] * n, pa.int8()), segment=pa.array(each[part]), n=pa.array(trained[part]), every=pa.array(every[part].astype(np.int64)))
+
+
+def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of three kinds: texts, and the tokens and segments of each block
+    with their training occurrences (0 where only others have them)."""
+    part, block, made = TaskContext.get().partitionId(), Block(), 0
+    keys = None
     for batch in batches:
-        for block, text, train in zip(batch["block"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), batch["train"].to_pylist(), strict=True):
-            if block != now:
-                yield from out(now, counts, others)
-                now, counts, others = block, Counter(), set()
-            tokens = text.lower().split()
-            if train:
-                counts.update(tokens)
-                counts[END] += 1
-            else:
-                others.update(tokens)
-                others.add(END)
-    yield from out(now, counts, others)
+        keys = batch["id"].type
+        for key, text, train in zip(batch["id"].to_pylist(), batch["text"].cast(pa.binary()), batch["train"].to_pylist(), strict=True):
+            block.add(key, text.as_py(), train)
+            if block.size >= BLOCK_BYTES:
+                yield from block.rows(part << 32 | made, keys)
+                block, made = Block(), made + 1
+    if block.texts:
+        yield from block.rows(part << 32 | made, keys)
 
 
 def gather_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,14 +338,15 @@ def gather_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 bit, slots = s.plane(j)
                 for at, slot in zip(TABLE_AT, slots, strict=False):
                     np.add.at(tables, 2 * (slot + at) + bit, w)
+    task = TaskContext.get().partitionId()
     for i in range(0, len(tables), CHUNK):
         if (part := tables[i : i + CHUNK]).any():
-            yield pa.record_batch([pa.array([i // CHUNK], pa.int32()), pa.array([part.astype(np.int64).tobytes()], pa.binary())], names=["chunk", "sums"])
+            yield pa.record_batch([pa.array([task], pa.int32()), pa.array([i // CHUNK], pa.int32()), pa.array([part.astype(np.int64).tobytes()], pa.binary())], names=["task", "chunk", "sums"])
 
 
 def add_chunks(rows: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(b, np.int64) for b in rows["sums"].to_pylist())
-    return pa.table({"chunk": pa.array(rows["chunk"].to_pylist()[:1], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+    total = sum(np.frombuffer(b.as_py(), np.int64) for b in rows["sums"])
+    return pa.table({"task": rows["task"].slice(0, 1), "chunk": rows["chunk"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
 def branches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
@@ -292,15 +370,36 @@ def branches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], n
         yield tokens, np.array(counts, np.float64)
 
 
+def by_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The batches of each stream; rows come sorted by stream."""
+    now, held = None, []
+    for batch in batches:
+        streams = batch["stream"].to_numpy()
+        at = 0
+        for end in [*(np.flatnonzero(np.diff(streams)) + 1), len(streams)]:
+            if streams[at] != now:
+                if held:
+                    yield held
+                now, held = streams[at], []
+            held.append(batch.slice(at, end - at))
+            at = end
+    if held:
+        yield held
+
+
 def learn_weights(tables):
+    """What each stream learns, times its mass: one row for each number."""
+
     def run(batches):
-        m, mass = Mixer(tables.value), 0.0
-        for tokens, counts in branches(batches):
-            if counts.any():
-                m.learn(tokens, counts)
-                mass += counts.sum()
-        if mass:
-            yield pa.record_batch([pa.array([mass]), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.apm.tobytes()], pa.binary())], names=["mass", "weights", "apm"])
+        for stream in by_stream(b for b in batches if b.num_rows):
+            m, mass = Mixer(tables.value), 0.0
+            for tokens, counts in branches(iter(stream)):
+                if counts.any():
+                    m.learn(tokens, counts)
+                    mass += counts.sum()
+            if mass:
+                values = np.concatenate(([mass], m.weights.astype(np.float64).ravel() * mass, m.apm.ravel()))
+                yield pa.record_batch([pa.array(np.arange(len(values))), pa.array(values)], names=["place", "value"])
 
     return run
 
@@ -314,19 +413,66 @@ def score_tokens(model):
     return run
 
 
-def sum_documents(totals: tuple[int, int]):
-    n, v = totals
+def stretch(p: float) -> float:
+    return log(p / (1 - p))
+
+
+def matched_log10(spelled: np.ndarray, listed: np.ndarray) -> float:
+    """log10 probability of a text's segments.
+
+    ``spelled``, ``listed``: of each segment, token by token and as one of the
+    training segments (-inf: it is none).
+    """
+    counts = [[list(miss if not h & 1 else hit) for h in range(1 << k)] for k, miss, hit in HISTORY]
+    weights, past, total = [0.5] * len(HISTORY), 0, 0.0
+    for a, b in zip(spelled.tolist(), listed.tolist(), strict=True):
+        mine = [c[past & (1 << k) - 1] for c, (k, _, _) in zip(counts, HISTORY, strict=True)]
+        inputs = [stretch(n1 / (n0 + n1)) for n1, n0 in mine]
+        p = 1 / (1 + exp(-sum(w * x for w, x in zip(weights, inputs, strict=True))))
+        p = min(max(p, 1e-4), 1 - 1e-4)
+        one, other = log10(p) + b, log10(1 - p) + a
+        high = max(one, other)
+        total += high + log10(10 ** (one - high) + 10 ** (other - high))
+        hit = one > other
+        for w, x in enumerate(inputs):
+            weights[w] += 0.02 * (hit - p) * x
+        for n in mine:
+            n[not hit] += 1
+        past = past << 1 | hit
+    return total
+
+
+def sum_documents(totals: tuple[int, int, int]):
+    n, v, listed = totals
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        place = dict(zip(right["token"].to_pylist(), range(right.num_rows), strict=True))
-        c = right["c"].to_numpy()
-        base, lp = np.log10((c + 1.0) / (n + 1.0 * (v + 1))), right["lp"].to_numpy()
+        number, c, lp, seg = (right[x].to_numpy() for x in ("number", "c", "lp", "segment"))
+        tokens = np.flatnonzero(number >= 0)
+        count, cost = np.zeros(len(tokens)), np.zeros(len(tokens))
+        count[number[tokens]], cost[number[tokens]] = c[tokens], lp[tokens]
+        base = np.log10((count + 1.0) / (n + 1.0 * (v + 1)))
+        again = np.flatnonzero(number < 0)
+        again = again[np.argsort(seg[again])]
+        known, times = seg[again], c[again]
         rows = []
-        for i, (text, train) in enumerate(zip(left["text"].cast(pa.binary()).to_pylist(), left["train"].to_pylist(), strict=True)):
-            t = text.lower().split()
-            t.append(END)
-            at = np.fromiter(map(place.__getitem__, t), np.int64, len(t))
-            rows.append((not train, len(t), int((c[at] > 0).sum()), n, float(base[at].sum()), float(lp[at].sum()), len(text)))
+        for i in range(left.num_rows):
+            train, size, n_tokens = (left[x][i].as_py() for x in ("train", "n_bytes", "n"))
+            at = expand(left["tokens"][i].as_py(), n_tokens, np.int32)
+            score = cost[at[-1]]
+            if n_tokens > 1:
+                parts = left["parts"][i].as_py()
+                lengths, segments = expand(left["lengths"][i].as_py(), parts, np.int32), expand(left["segments"][i].as_py(), parts, np.int64)
+                spelled = np.add.reduceat(cost[at[:-1]], np.cumsum(lengths) - lengths)
+                others = np.zeros(len(segments))
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, segments), len(known) - 1)
+                    others = np.where(known[place] == segments, times[place], 0).astype(float)
+                    if train:  # its own occurrences don't count
+                        _, back, own = np.unique(segments, return_inverse=True, return_counts=True)
+                        others = np.maximum(others - own[back], 0)
+                with np.errstate(divide="ignore"):
+                    score += matched_log10(spelled, np.log10(others / max(listed, 1)))
+            rows.append((not train, n_tokens, int((count[at] > 0).sum()), n, float(base[at].sum()), float(score), size))
         cols = list(zip(*rows, strict=True))
         return pa.table([left["id"], *(pa.array(x) for x in cols)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
 
@@ -341,38 +487,51 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = parts_for(spark, size, BLOCK_BYTES)
-    blocks = plain.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).repartition(n, "block")
-    in_block = materialize(blocks.sortWithinPartitions("block").mapInArrow(count_tokens, "block int, token binary, n long"), "lm-tokens")
+    kind = plain.schema["id"].dataType.simpleString()
+    rows = materialize(plain.mapInArrow(read_blocks, f"id {kind}, {ROW_SQL}"), "lm-blocks")
+    in_block = rows.filter(F.col("kind") == TOKEN)
     vocab = in_block.groupBy("token").agg(F.sum("n").alias("c"))
     branch = F.xxhash64(F.substring("token", 1, TRIE_FROM))
-    vocab = materialize(vocab.repartition(branch).sortWithinPartitions(F.concat("token", F.lit(b" "))), "lm-vocab")
-    tokens, types = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-
-    chunks = vocab.filter("c > 0").coalesce(MAX_STATS_TASKS).mapInArrow(gather_tables, "chunk int, sums binary")
-    chunks = chunks.groupBy("chunk").applyInArrow(add_chunks, "chunk int, sums binary")
+    in_order = F.concat("token", F.lit(b" "))
+    vocab = materialize(vocab, "lm-vocab")
+    tokens, types, every = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count("*")).first()
+
+    tasks = max(1, -(-every // (2 * STREAM)))
+    chunks = vocab.filter("c > 0").coalesce(tasks).mapInArrow(gather_tables, "task int, chunk int, sums binary")
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        chunks = chunks.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("task", "chunk").applyInArrow(add_chunks, "task int, chunk int, sums binary")
     flat = np.zeros(SLOTS * 2, np.float32)
     for row in chunks.collect():  # SLOTS is a constant
         part = np.frombuffer(row["sums"], np.int64)
         flat[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(part)] = part
     tables = flat.reshape(-1, 2)
 
-    # A scan cuts files anywhere; branches and their order must be whole again.
-    dealt = vocab.repartition(branch).sortWithinPartitions(F.concat("token", F.lit(b" ")))
-    mass, weights, apm = 0.0, np.zeros((N_CTX, GATES)), np.zeros((GATES, APM_BINS, 2))
     sent = spark.sparkContext.broadcast(tables)
-    learned = dealt.coalesce(MAX_STATS_TASKS).mapInArrow(learn_weights(sent), "mass double, weights binary, apm binary")
-    for row in learned.collect():  # one row of 35 KB from each of 64 tasks at most
-        mass += row["mass"]
-        weights += row["mass"] * np.frombuffer(row["weights"], np.float32).reshape(weights.shape)
-        apm += np.frombuffer(row["apm"], np.float64).reshape(apm.shape)
-    mixed = (weights / max(mass, 1.0)).astype(np.float32)
+    streams = max(1, -(-types // STREAM))
+    streamed = vocab.filter("c > 0").withColumn("stream", F.pmod(branch, F.lit(streams)).cast("int"))
+    streamed = streamed.repartition("stream").sortWithinPartitions("stream", in_order)
+    learned = streamed.mapInArrow(learn_weights(sent), "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
+    sums = np.zeros(1 + N_CTX * GATES + GATES * APM_BINS * 2)
+    for row in learned.collect():  # as many as the sums
+        sums[row["place"]] = row["value"]
+    mixed = (sums[1 : 1 + N_CTX * GATES] / max(sums[0], 1.0)).astype(np.float32).reshape(N_CTX, GATES)
+    apm = sums[1 + N_CTX * GATES :].reshape(GATES, APM_BINS, 2)
     model = spark.sparkContext.broadcast((tables, mixed, apm))
+    dealt = vocab.repartition(branch).sortWithinPartitions(in_order)
     scored = dealt.mapInArrow(score_tokens(model), "token binary, c long, lp double")
-    right = in_block.select("block", "token").join(scored, "token")
-    out = blocks.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(
-        sum_documents((tokens, types)), "id " + plain.schema["id"].dataType.simpleString() + ", held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+    right = in_block.select("block", "number", "token").join(scored, "token").select("block", "number", "c", "lp", F.lit(0).cast("long").alias("segment"))
+
+    # Segments that are there again, and in a training text.
+    in_texts = rows.filter(F.col("kind") == SEG).select("block", "segment", "n", "every")
+    known = in_texts.groupBy("segment").agg(F.sum("n").alias("c"), F.sum("every").alias("every"))
+    listed = in_texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    known = materialize(known.filter("c > 0 and every > 1").select("segment", "c"), "lm-segments")
+    _, maybe = passing(in_texts.select("block", "segment"), "segment", known.select("segment"))
+    right = right.unionAll(maybe.join(known, "segment").select("block", F.lit(-1).alias("number"), "c", F.lit(0.0).alias("lp"), "segment"))
+    texts = rows.filter(F.col("kind") == TEXT).select(F.col("block").alias("mine"), "id", "train", "n_bytes", "n", "parts", "tokens", "segments", "lengths")
+    out = texts.groupBy("mine").cogroup(right.groupBy("block")).applyInArrow(
+        sum_documents((tokens, types, listed)), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
     )
     bits = F.when(F.col("n_bytes") > 0, -F.col("score") / (F.log10(F.lit(2.0)) * F.col("n_bytes")))
     return out.select(F.col("id").alias(doc_id), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", bits.alias("bits_per_byte"))

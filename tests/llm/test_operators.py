@@ -762,7 +762,86 @@ def test_lm_base_and_counts(documents, data):
         want[i, not train(i), len(t), sum(c[w] > 0 for w in t), n, round(sum(float(np.log10((c[w] + 1) / (n + v + 1))) for w in t), 6)] += 1
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
     assert all(r["score"] < 0 for r in out)
-    assert all((r["bits_per_byte"] is None) == (r["n_tokens"] == 1 and not r["n_known"]) or True for r in out)
+    sizes = Counter((i, len((x or "").encode()) == 0) for i, x, *_ in data)
+    assert Counter((r["doc_id"], r["bits_per_byte"] is None) for r in out) == sizes
+
+
+def test_lm_score_equals_plain_sums(spark, documents, data):
+    """Every text again by loops: spelled tokens and training segments."""
+    import zlib
+
+    train = [i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i, *_ in data]
+    sent = {}
+    scored = context_mixing.score_tokens
+
+    def keep(model):
+        sent["model"] = model.value
+        return scored(model)
+
+    context_mixing.score_tokens = keep
+    try:
+        out = context_mixing.score(documents, crc_fold("doc_id", 7) != 2).collect()
+    finally:
+        context_mixing.score_tokens = scored
+    m = context_mixing.Mixer(*sent["model"])
+    counts = Counter(t for (_, x, *_), on in zip(data, train, strict=True) if on for t in [*words(x), b""])
+    every = sorted({t for _, x, *_ in data for t in [*words(x), b""]}, key=lambda t: t + b" ")
+    cost = dict(zip(every, m.log10(every, np.array([counts[t] for t in every], float)), strict=True))
+
+    def parts(x):
+        out, now = [], []
+        for w in words(x):
+            now.append(w)
+            if int(ngram_join.word_hashes(w)[0]) % context_mixing.SEGMENT == 0:
+                out, now = [*out, tuple(now)], []
+        return [*out, tuple(now)] if now else out
+
+    segments = Counter(p for (_, x, *_), on in zip(data, train, strict=True) if on for p in parts(x))
+    n = sum(segments.values())
+    want = Counter()
+    for (i, x, *_), on in zip(data, train, strict=True):
+        mine = parts(x)
+        own = Counter(mine) if on else Counter()
+        history, weights, total, past = {}, [0.5, 0.5], cost[b""], 0
+        for p in mine:
+            keys = [(k, past & (1 << k) - 1) for k in (1, 3)]
+            seen = [history.setdefault(k, [1.0, 0.5] if k[1] & 1 else [0.02, 1.0]) for k in keys]
+            x_ = [np.log(a / b) for a, b in seen]
+            q = min(max(1 / (1 + np.exp(-np.dot(weights, x_))), 1e-4), 1 - 1e-4)
+            listed, spelled = q * max(segments[p] - own[p], 0) / n, np.log10(1 - q) + sum(cost[w] for w in p)
+            total += np.logaddexp(np.log(listed) if listed else -np.inf, spelled * np.log(10)) / np.log(10)
+            hit = listed > 0 and np.log10(listed) > spelled
+            weights = [w + 0.02 * (hit - q) * v for w, v in zip(weights, x_, strict=True)]
+            for s in seen:
+                s[0 if hit else 1] += 1
+            past = past << 1 | hit
+        want[i, round(total, 4)] += 1
+    assert Counter((r["doc_id"], round(r["score"], 4)) for r in out) == want
+
+
+def test_lm_does_not_depend_on_partitions(spark, documents):
+    a = {(r["doc_id"], r["n_tokens"]): r["score"] for r in context_mixing.score(documents, crc_fold("doc_id", 7) != 2).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        other = materialize(documents.repartition(5), "other")
+        b = {(r["doc_id"], r["n_tokens"]): r["score"] for r in context_mixing.score(other, crc_fold("doc_id", 7) != 2).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k] == pytest.approx(b[k], rel=1e-6)
+
+
+def test_lm_segments():
+    rng = np.random.default_rng(7)
+    h = rng.integers(0, 1 << 62, 5000).astype(np.uint64)
+    found, lengths = context_mixing.segments_of(h)
+    assert lengths.sum() == 5000 and 10 < lengths.mean() < 25
+    again, _ = context_mixing.segments_of(np.concatenate((h[:7], h[40:])))
+    assert len(np.intersect1d(found, again)) > 0.95 * len(found)  # segments find each other after a change
+    assert len(context_mixing.segments_of(h[:0])[0]) == 0
 
 
 def test_lm_is_a_probability():
