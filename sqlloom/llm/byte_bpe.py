@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import arrow_bounded, text_of
 
 CACHE = 300_000  #: pieces of ``CACHED`` characters at most
 CACHED = 32
@@ -159,6 +159,7 @@ def with_ids(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
             found = pa.array([c.encode(t.as_py() or "") for t in batch[text]], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, ids])
 
+    arrow_bounded(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema.add(ids, "array<int>"))
 
 
@@ -177,6 +178,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_i
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.record_batch([batch["id"], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    arrow_bounded(docs.sparkSession)
     plain = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
     out = plain.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

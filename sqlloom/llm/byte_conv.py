@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import arrow_bounded, text_of
 
 WIDTH = 8  #: numbers of a byte's embedding
 STEP = 4  #: bytes from filter to filter; a filter covers two steps
@@ -215,6 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
 
 def score(docs: DataFrame, network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, score): the probability of label 1, one row per row of ``docs``."""
+    arrow_bounded(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,6 +231,7 @@ def score(docs: DataFrame, network, doc_id: str = "doc_id", text: str = "text")
 
 def keep(docs: DataFrame, network, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is ``least`` or more, unchanged."""
+    arrow_bounded(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_bounded
+
 Turn = tuple[str, str]  #: role and text
 Template = Callable[[list[Turn]], str]
 WINDOW = 4
@@ -97,6 +99,7 @@ class Locator:
 
 
 def ordered(conversations: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
+    arrow_bounded(conversations.sparkSession)
     plain = conversations.select(F.col(conv_id).alias("conv"), F.col(turn).alias("turn"), *(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((role, "role"), (text, "text"))))
     return plain.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
 

@@ -24,16 +24,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a folder is made.
+    Only where the session names none and runs on one machine a folder is made;
+    on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="sqlloom-shared-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+ARROW_BYTES = 4 << 20
+
+
+def arrow_bounded(spark: SparkSession) -> None:
+    """Bounds the bytes of an Arrow batch, which else holds up to 64 MB in the
+    JVM and again in its Python worker, for each running task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(-?\d+)b?", str(spark.conf.get(key)))
+    if not now or not 0 < int(now[1]) <= ARROW_BYTES:
+        spark.conf.set(key, ARROW_BYTES)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 

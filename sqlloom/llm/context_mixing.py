@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import arrow_bounded, materialize, text_of
 from .exact_dedup import passing
 from .ngram_join import M2, mix, word_hashes
 
@@ -486,6 +486,7 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     model's cost of the text over its UTF-8 bytes, null for an empty text.
     """
     spark = docs.sparkSession
+    arrow_bounded(spark)
     plain = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     kind = plain.schema["id"].dataType.simpleString()
     rows = materialize(plain.mapInArrow(read_blocks, f"id {kind}, {ROW_SQL}"), "lm-blocks")

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import arrow_bounded, materialize, text_of
 from .components import components
 from .exact_dedup import passing
 
@@ -50,7 +50,7 @@ GROUPS = 256
 COARSE = 16
 LEAF = 16
 BLOCK = 1024  #: classes of a block
-BLOCK_GRAMS = 1 << 20  #: n-grams of a block, unless one set has more
+BLOCK_GRAMS = 1 << 18  #: n-grams of a block, unless one set has more
 SAMPLE = 4096  #: texts in which n-grams are counted, about
 FREQUENT = 1 << 16  #: n-grams that go last, at most
 ROWS = 512  #: texts that are described at once
@@ -343,6 +343,7 @@ def in_blocks(rows: DataFrame) -> DataFrame:
 def joined(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """One row per row of ``docs``: id, hash of the text, n, component, links, keeps."""
     spark = docs.sparkSession
+    arrow_bounded(spark)
     plain = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
     frequent = spark.sparkContext.broadcast(frequent_grams(plain, size))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import arrow_bounded, materialize, text_of
 from .exact_dedup import passing
 
 MAX_DOCS = 20
@@ -94,6 +94,7 @@ def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, min_left: int = MIN_LEFT) -> DataFrame:
     """One row per row of ``docs``: counts, base_failed, kept and the lines and
     words removed."""
+    arrow_bounded(docs.sparkSession)
     plain = docs.select(F.col(doc_id).alias("id"), F.col(host).alias("host"), text_of(text).alias("text"))
     ids, hosts = (plain.schema[c].dataType.simpleString() for c in ("id", "host"))
     base = ", ".join(f"{c} long" for c in BASE)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import arrow_bounded, text_of
 
 CACHE = 400_000  #: chunks of ``CACHED`` bytes at most
 CACHED = 64
@@ -103,6 +103,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, doc_id: str = "doc
     ``tokenizer``: place of a tokenizers ``.json`` file with white space dropped
     and word ends marked, readable on every executor.
     """
+    arrow_bounded(docs.sparkSession)
     plain = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
     out = plain.mapInArrow(count_batches(tokenizer), f"id {kind}, n_bytes long, n_tokens long")

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, text_of
+from .common import arrow_bounded, materialize, shared_dir, text_of
 
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 NAMESPACE = uuid.UUID("6f1d2c1e-5a0b-4b58-9d3a-0b8f0c7a2e11")
@@ -303,6 +303,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     ``captured``: seconds since 2024; the page's id unless given.  Payloads
     under ``least_bytes`` are never revisits.
     """
+    arrow_bounded(pages.sparkSession)
     plain = pages.select(F.col(page_id).cast("long").alias("id"), text_of(url).alias("url"), text_of(html).alias("html"), (captured if captured is not None else F.col(page_id)).cast("long").alias("at"))
     plain = plain.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
     # A repeated row has its id in common; among those the row number decides.
@@ -341,6 +342,7 @@ def range_ends(runs: DataFrame) -> list[tuple]:
 
 def index(spark, path: str) -> DataFrame:
     """The archives' index in the order of key, timestamp and id."""
+    arrow_bounded(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path).select("path", "content")
     runs = materialize(files.mapInArrow(read_runs, RUNS_SQL), "warc-runs")
     cuts = range_ends(runs)
