@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -15,7 +14,9 @@ from ..blocks import Block
 from ..operators import semantics
 from ..operators.dml import Executor
 from ..operators.store import Store, foreign_violations
+from ..sources.files import shared_folder
 from ..sources.registry import Registry, parse_create
+from ..text import SqlError
 
 HERE = Path(__file__).parent
 READS = engine.load(HERE / "reads.sql")
@@ -77,16 +78,11 @@ DDL = {
     "supplier": "CREATE TABLE supplier (s_suppkey INTEGER PRIMARY KEY, s_name TEXT NOT NULL, s_nationkey INT, s_acctbal REAL DEFAULT 0.0)",
     "nation": "CREATE TABLE nation (n_nationkey INTEGER PRIMARY KEY, n_name TEXT NOT NULL, n_regionkey INT)",
 }
-SCRATCH: list[tempfile.TemporaryDirectory] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder for a store: the shared one, or a temporary one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared}/store-{uuid.uuid4().hex}"
-    SCRATCH.append(tempfile.TemporaryDirectory(prefix="sqlloom-store-"))
-    return f"{SCRATCH[-1].name}/store"
+    """A new folder for a store."""
+    return f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
 
 
 def filled(spark: SparkSession, sf_dir: str) -> Store:
@@ -189,7 +185,7 @@ def plan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     views(spark, sf_dir, " ".join(TABLES))
     found = []
-    for name in ("scan_projection", "topk", "join_inner", "limit_offset", "no_from"):
+    for name in READS:
         df = read(READS[name])(spark, sf_dir)
         found += [(name, f.kind, f.table or "", f.detail) for f in lint.findings(df, fixed=("region", "nation"))]
     return spark.createDataFrame(found, "statement string, kind string, source string, detail string")
@@ -214,6 +210,89 @@ def migrated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.run(store.snapshot().session(), "select name, kind, tags from open_notes")
 
 
+def catalog_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store's own catalog says of its tables and views."""
+    from ..lifecycle import migrate
+
+    store = filled(spark, sf_dir)
+    migrate(store, HERE / "migrations")
+    return engine.run(store.snapshot().session(), "select type, name, tbl_name, sql like 'create ' || type || '%' as declared from sqlite_schema order by name")
+
+
+def written_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a table before, kept and new after an INSERT, and rows changed
+    by statements that are run one after another in one transaction."""
+    store = filled(spark, sf_dir)
+    before = set(store.snapshot().parquet_files("supplier"))
+    with store.begin() as tx:
+        run = Executor(tx).run
+        counts = [run("insert into supplier (s_suppkey, s_name) values (900001, 'x')").count]
+        counts.append(run("update supplier set s_name = 'y' where s_suppkey = 900001").count)
+        counts.append(run("delete from supplier where s_suppkey = 900001").count)
+        counts.append(run("delete from supplier where s_suppkey = 900001").count)
+    after = set(store.snapshot().parquet_files("supplier"))
+    return spark.createDataFrame([(len(before - after), *counts, store.snapshot().read("supplier").count())], "lost int, inserted int, updated int, deleted int, again int, suppliers long")
+
+
+RULES = {
+    "select o_orderkey from orders where o_orderstatus = 'O'": True,
+    "select o_orderkey from orders where o_orderstatus = 'X'": False,
+    "select o_orderkey from orders where o_orderstatus in ('F', @s)": True,
+    "select upper(o_orderstatus) as u from orders": False,
+    "select o_orderstatus as s from orders union select l_linestatus from lineitem": False,
+    "select json_object('s', o_orderstatus) as j from orders": True,
+    "select case o_orderstatus when 'Q' then 1 end as n from orders": False,
+    "with t as (select o_orderstatus as s from orders) select s from t where s = 'P'": True,
+    "with t as (select o_orderstatus as s from orders) select s from t where s = 'Y'": False,
+}
+
+
+def value_set_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which statements the value sets of the catalogue let pass."""
+    from ..plans import contract
+
+    registry = Registry.of_frames({t: spark.read.parquet(f"{sf_dir}/{t}.parquet").schema for t in TABLES})
+    semantics.bind_value_sets(registry, {"OrderStatus": STATUS})
+    session = contract.shadow(spark, registry)
+    rows = []
+    for sql in RULES:
+        try:
+            contract.analyze(session, registry, Block("q", sql, 1))
+            rows.append((sql, True))
+        except SqlError:
+            rows.append((sql, False))
+    return spark.createDataFrame(rows, "statement string, taken boolean")
+
+
+def parameter_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types, nullability and slots of parameters, by the place where they stand."""
+    from ..plans import contract
+
+    registry = Registry.of_frames({t: spark.read.parquet(f"{sf_dir}/{t}.parquet").schema for t in TABLES})
+    session = contract.shadow(spark, registry)
+    rows = []
+    for sql, _ in PLACES:
+        c = contract.analyze(session, registry, Block("q", sql, 1))
+        rows += [(sql, n, p.name, p.type, p.nullable) for n, p in enumerate(c.parameters, 1)]
+    return spark.createDataFrame(rows, "statement string, slot int, name string, type string, nullable boolean")
+
+
+#: Statements and what is known of their parameters.
+PLACES = [
+    ("select o_orderkey from orders where o_totalprice > ?", [("arg1", "double", False)]),
+    ("select o_orderkey from orders where :a < o_totalprice and o_custkey = :b", [("a", "double", False), ("b", "bigint", False)]),
+    ("select o_orderkey from orders where ($c is null or o_custkey = $c)", [("c", "bigint", True)]),
+    ("select o_orderkey from orders where o_orderstatus in (@x, @y) limit ? offset ?", [("x", "string", False), ("y", "string", False), ("arg3", "bigint", False), ("arg4", "bigint", False)]),
+    ("select p_partkey from part where p_retailprice between @low and @high", [("low", "double", False), ("high", "double", False)]),
+    ("select cast(@n as integer) as n, cast(@t as text) as t", [("n", "bigint", False), ("t", "string", False)]),
+    ("select case when o_custkey = 1 then @v else o_orderstatus end as s from orders", [("v", "string", False)]),
+    ("select datetime(@seconds, 'unixepoch') as t", [("seconds", "bigint", False)]),
+    ("select c_custkey from customer where c_acctbal > @a union all select s_suppkey from supplier where s_name = @b", [("a", "double", False), ("b", "string", False)]),
+    ("insert into nation (n_nationkey, n_name) values (@key, @name)", [("key", "int", True), ("name", "string", True)]),
+    ("update customer set c_name = @name where c_custkey = ?2", [("name", "string", True), ("arg2", "bigint", False)]),
+]
+
+
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beyond parity: the stream of events in ten-minute windows."""
     from ..streaming.events import windows_once
@@ -221,9 +300,20 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows_once(spark, sf_dir)
 
 
-OTHERS = {f.__name__: f for f in (value_set_read, value_set_counts, temporal_check, scoped_children, fk_check, canonical_sync, contract_inspect, plan_findings, migration_status, migrated_rows, event_windows)}
+OTHERS = {f.__name__: f for f in (value_set_read, value_set_counts, temporal_check, scoped_children, fk_check, canonical_sync, contract_inspect, plan_findings, migration_status, migrated_rows, catalog_source, written_files, value_set_rules, parameter_rules, event_windows)}
+
+def constant(rows: list[tuple], names: str) -> str:
+    """Known rows as SQL."""
+    shown = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"select * from (values {', '.join('(' + ', '.join(map(shown, r)) + ')' for r in rows)}) as t({names})"
+
 
 OTHER_SQL = {
+    "value_set_rules": constant(list(RULES.items()), "statement, taken"),
+    "parameter_rules": constant([(sql, n, *p) for sql, known in PLACES for n, p in enumerate(known, 1)], "statement, slot, name, type, nullable"),
+    "migration_status": constant([("001_notes", "applied"), ("002_open_notes", "applied")], "version, state"),
+    "catalog_source": constant([("table", n, n, True) for n in ("kinds", "nation", "notes", "supplier")] + [("view", "open_notes", "open_notes", True)], "type, name, tbl_name, declared"),
+    "written_files": "select 0 as lost, 1 as inserted, 1 as updated, 1 as deleted, 0 as again, count(*) as suppliers from supplier",
     "value_set_read": "select o_orderkey, o_orderstatus from orders",
     "value_set_counts": "select l_returnflag, count(*) as n from lineitem group by l_returnflag",
     "temporal_check": "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as seen_at, strftime(ts, '%Y-%m-%d') as seen_on from events",

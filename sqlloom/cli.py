@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -18,6 +18,7 @@ from .operators.store import Store
 from .plans import contract, lint
 from .sources import config as settings
 from .sources.discovery import module_name, statement_files, view_files
+from .sources.files import shared_folder
 from .text import SqlError
 
 VERBS = "inspect generate check check-plans changed-statements check-migrations migrate bootstrap seed reset dump-schema audit-views reconcile-views validate optimize".split()
@@ -82,8 +83,11 @@ def run(a: argparse.Namespace, c: settings.Config, spark: SparkSession | None) -
         return 0
     spark = spark or SparkSession.builder.appName("sqlloom").getOrCreate()
     if a.verb == "check-migrations":
-        with tempfile.TemporaryDirectory() as place:
-            print(lifecycle.check_migrations(spark, c.migrations, f"{place}/db"))
+        place = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+        try:
+            print(lifecycle.check_migrations(spark, c.migrations, place))
+        finally:
+            Store(spark, place).drop()
         return 0
     store = Store(spark, c.database(a.database, a.target))
     views = view_files(c.source)

@@ -160,6 +160,11 @@ class Executor:
         lowered, _ = lower(sql)
         m = parse(lowered)
         if m is None:
+            if tokens(lowered)[0].is_word("create", "drop", "alter", "pragma", "analyze"):
+                from ..lifecycle import execute  # it runs mutations of files through this class
+
+                execute(self.tx, lowered)
+                return Result(0)
             raise SqlError("this statement changes no rows")
         table = self.tx.registry.table(m.table)
         return getattr(self, m.kind)(m, table, args or {})

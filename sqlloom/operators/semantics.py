@@ -75,6 +75,7 @@ def bind_value_sets(registry: Registry, sets: dict[str, ValueSet]) -> None:
             if column.value_set not in (None, s.name):
                 raise SqlError(f"{table_name}.{column_name} has two value sets")
             registry.add(with_column(table, column.name, value_set=s.name))
+    registry.value_sets = {**getattr(registry, "value_sets", {}), **sets}
 
 
 def strict_value(column: Column, found: ValueSet, label: str) -> Column:
@@ -107,6 +108,7 @@ class Temporal:
 def bind_temporal(registry: Registry, rules: Temporal) -> None:
     if not rules.strict:
         return
+    registry.temporal = rules
     for table in list(registry.tables.values()):
         for column in table.columns:
             kind = rules.kind(column.name)
@@ -224,3 +226,18 @@ def sync_plan(current: DataFrame, canonical: DataFrame, key: list[str], columns:
         mine, theirs = F.col(f"a.{quote(c)}"), F.col(f"b.{quote(c)}") if c in key or c in columns else None
         out.append((mine if theirs is None else F.when(F.col("_want"), theirs).otherwise(mine)).alias(c))
     return both.select(*out, action.alias("_action"))
+
+
+def sync(tx, table: str, canonical: DataFrame, key: list[str], columns: list[str]) -> dict[str, int]:
+    """Writes the canonical rows that are missing or differ, in the open
+    transaction, and verifies that they are there; {action: rows}."""
+    declared = tx.registry.table(table)
+    current = tx.read(table)
+    plan = sync_plan(current, canonical, key, columns)
+    counts = {r["_action"]: r["n"] for r in plan.groupBy("_action").agg(F.count("*").alias("n")).collect()}
+    if counts.get("insert") or counts.get("update"):
+        tx.write(table, plan.drop("_action"))
+        left = sync_plan(tx.read(table), canonical, key, columns).filter(F.col("_action").isin("insert", "update")).count()
+        if left:
+            raise SqlError(f"{declared.name}: {left} canonical rows aren't as they should be")
+    return counts

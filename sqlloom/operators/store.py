@@ -76,9 +76,39 @@ class Snapshot:
         for name in self.registry.tables:
             view(session, self.read(name), name)
         create_views(session, self.registry.views)
+        catalog(session, self.registry)
         return session
 
 
+def catalog(session: SparkSession, registry: Registry) -> None:
+    """``sqlite_schema`` and ``sqlite_master``: the declared tables and views."""
+    rows = [("table", t.name, t.name, None, create_text(t)) for t in registry.tables.values()]
+    rows += [("view", n, n, None, f"CREATE VIEW {n} AS {sql}") for n, sql in registry.views.items()]
+    frame = session.createDataFrame(rows, "type string, name string, tbl_name string, rootpage int, sql string")
+    for name in ("sqlite_schema", "sqlite_master"):
+        if name not in registry.tables and name not in registry.views:
+            frame.createOrReplaceTempView(name)
+
+
+def create_text(t: Table) -> str:
+    """A table's declaration."""
+    lines = []
+    for c in t.columns:
+        line = f"  {c.name} {c.declared}"
+        line += " NOT NULL" if c.notnull else ""
+        line += f" DEFAULT {c.default}" if c.default else ""
+        line += f" CONSTRAINT boolean CHECK ({c.name} IN (0, 1))" if c.type == "boolean" and "int" in c.declared.lower() else ""
+        line += f" CHECK ({c.check})" if c.check else ""
+        lines.append(line + (" PRIMARY KEY" if t.primary_key == (c.name,) else ""))
+    if len(t.primary_key) > 1:
+        lines.append(f"  PRIMARY KEY ({', '.join(t.primary_key)})")
+    lines += [f"  UNIQUE ({', '.join(u)})" for u in t.unique]
+    lines += [f"  CHECK ({c})" for c in t.checks]
+    lines += [f"  FOREIGN KEY ({', '.join(a)}) REFERENCES {p}" + (f" ({', '.join(k)})" if k else "") for a, p, k in t.foreign]
+    tail = ", ".join(w for w, on in (("STRICT", t.strict), ("WITHOUT ROWID", t.without_rowid)) if on)
+    return f"CREATE TABLE {t.name} (\n" + ",\n".join(lines) + f"\n){' ' + tail if tail else ''}"
+
+
 def view(session: SparkSession, df: DataFrame, name: str) -> None:
     """Registers a frame of another session of the same context."""
     frame = session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, df._jdf.queryExecution().logical())

@@ -106,11 +106,12 @@ class Allowed:
 class Policy:
     fixed: tuple[str, ...] = ()
     exceptions: list[Allowed] = field(default_factory=list)
+    keys: dict[str, tuple[str, ...]] = field(default_factory=dict)  #: unique columns of each table
 
     @classmethod
     def load(cls, path: str | Path) -> Policy:
         data = json.loads(Path(path).read_text())
-        out = cls(tuple(data.get("fixed", ())), [Allowed(**x) for x in data.get("exceptions", ())])
+        out = cls(tuple(data.get("fixed", ())), [Allowed(**x) for x in data.get("exceptions", ())], {t: tuple(k) for t, k in data.get("keys", {}).items()})
         for x in out.exceptions:
             if not x.reason.strip():
                 raise SqlError(f"{x.statement}: an exception needs a reason")
@@ -120,7 +121,7 @@ class Policy:
 
     def check(self, name: str, source: str, df: DataFrame) -> list[Finding]:
         """What remains; an exception of another text or plan is stale."""
-        found = findings(df, self.fixed)
+        found = findings(df, self.fixed, self.keys)
         for x in self.exceptions:
             if x.statement == name:
                 if (x.source, x.plan) != (source, plan_hash(df)):

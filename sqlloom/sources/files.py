@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share; where the
+    session names none and runs on one machine, a temporary folder."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    made = tempfile.mkdtemp(prefix="sqlloom-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
+
 
 def windows(events: DataFrame, every: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Works on a stream and on a table alike."""
@@ -23,8 +24,7 @@ def windows_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, _, name = source.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sqlloom-stream-")
-    place = f"{shared}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{place}/out"
 
     def keep(batch: DataFrame, number: int) -> None:
