@@ -4,9 +4,9 @@ A document is its set of word n-grams, hashed to 64 bits.  Documents of equal
 sets form a class, and classes are joined:
 
 * Linked sets share an n-gram among the first n - ceil(t n) + 1 of each, in any
-  order that holds for all sets.  N-grams that come up again in a bounded sample
-  of texts go last, so that the first ones are mostly rare; the sample changes
-  the speed only.  Classes that share one of these form a bucket.
+  order that holds for all sets.  The most frequent n-grams of a sample of the
+  texts go last, so that the first ones are mostly rare; the sample changes the
+  speed only.  Classes that share one of these form a bucket.
 * A bucket goes into an R-tree.  A class is the point of its n-gram counts over
   ``GROUPS`` groups; the overlap of two sets is at most the sum of the smaller
   coordinates, which bounds whole nodes.  Nodes are bounded on ``COARSE`` sums
@@ -51,8 +51,9 @@ COARSE = 16
 LEAF = 16
 BLOCK = 1024  #: classes of a block
 BLOCK_GRAMS = 1 << 18  #: n-grams of a block, unless one set has more
-SAMPLE = 4096  #: texts in which n-grams are counted, about
-FREQUENT = 1 << 16  #: n-grams that go last, at most
+SAMPLE = 4096  #: texts in which n-grams are counted, about; more of large tables:
+SAMPLE_PART = 16  #: one in so many
+FREQUENT = 1 << 18  #: n-grams that go last, at most (2 MB)
 ROWS = 512  #: texts that are described at once
 FLUSH = 20_000  #: rows of a result batch
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -157,11 +158,11 @@ def gram_rows(size: int):
 def frequent_grams(plain: DataFrame, size: int) -> np.ndarray:
     """N-grams of two texts or more of a sample, the most frequent first kept."""
     rows = plain.count()
-    part = min(1 << 20, -(-SAMPLE * (1 << 20) // max(rows, 1)))
+    part = min(1 << 20, max((1 << 20) // SAMPLE_PART, -(-SAMPLE * (1 << 20) // max(rows, 1))))
     sample = plain.select("text").distinct() if part == 1 << 20 else plain.filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 20)) < part).select("text").distinct()
     counts = sample.mapInArrow(gram_rows(size), "gram long").groupBy("gram").count().filter("count > 1")
-    found = counts.orderBy(F.desc("count"), "gram").limit(FREQUENT).collect()
-    return np.sort(np.array([r["gram"] for r in found], np.int64).view(np.uint64))
+    found = counts.orderBy(F.desc("count"), "gram").limit(FREQUENT).select("gram").toArrow()
+    return np.sort(found["gram"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def set_rows(size: int):
@@ -274,6 +275,16 @@ class Cell:
 class Bucket:
     """The points of one or two blocks of a bucket."""
 
+    def leaf(self) -> Iterator[tuple]:
+        bound = np.minimum(self.points[:, None], self.points[None]).sum(2)
+        near = (100 + self.percent) * bound >= self.percent * (self.n[:, None] + self.n[None])
+        root = list(range(len(self.n)))
+        for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+            if root[i] != root[j]:
+                old, new = root[j], root[i]
+                root = [new if r == old else r for r in root]
+                yield int(self.node[i]), int(self.node[j])
+
     def __init__(self, i: int, j: int, rows: list[tuple], percent: int):
         """Of blocks i and j; rows: node, block, n, point; by node."""
         self.node, block, self.n = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
@@ -285,6 +296,9 @@ class Bucket:
         """(node, node) of a forest over the pairs whose bound lets them link."""
         if not len(self.held):
             return
+        if len(self.node) <= LEAF and len(self.held) == len(self.node):  # one leaf
+            yield from self.leaf()
+            return
         tree = RTree(self.points[self.held], self.n[self.held], self.percent)
         root = np.arange(len(self.node))
         for i in self.asks:
