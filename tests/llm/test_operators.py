@@ -547,6 +547,43 @@ def test_long_conversation(spark):
     assert r["formatted_chars"] == len(chat.render([(role, t) for *_, role, t in data]))
 
 
+CHAT_ROWS = [(1, 0, "user", "hi"), (1, 1, "assistant", "a </s>\\[INST]"), (1, 1, "assistant", "a </s>\\[INST]"), (1, 1, "assistant", "b"), (1, None, None, None), (2, 5, "assistant", None), (2, 4, None, "x"), (2, 4, "user", ""), (None, 0, "assistant", "of no conversation"), (None, None, "user", None), (3, 1, "assistant", "")]
+
+
+def brute_chat(rows):
+    def escaped(text):
+        for a in ("\\", "<s>", "</s>", "[INST]", "[/INST]"):
+            text = text.replace(a, a[0] + "\\" + a[1:])
+        return text
+
+    found = defaultdict(list)
+    for conv, turn, role, text in rows:
+        found[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    out = set()
+    for conv, turns in found.items():
+        turns.sort(key=lambda t: (t[0], t[1], t[2].encode(), t[3].encode()))
+        said = "".join(t[3] for t in turns if t[2] == "assistant")
+        whole = "".join(f"{t[2]}\n{t[3]}\n" for t in turns)
+        shown = sum(len("<s>[INST][/INST]</s>" + escaped(t[2]) + escaped(t[3])) for t in turns)
+        out.add((conv, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest(), shown))
+    return out
+
+
+@pytest.mark.parametrize("more", [(), ("conv", "span", "state", "n_turns", "template")])
+def test_chat_digests_of_nulls_ties_and_repeats(spark, more):
+    df = spark.createDataFrame(CHAT_ROWS, "conv_id long, turn long, role string, text string").repartition(3)
+    df = df.select("*", *(F.lit(7).alias(c) for c in more))
+    assert set(map(tuple, chat.digests(df).collect())) == brute_chat(CHAT_ROWS)
+
+
+def test_numbering_template_of_many_turns():
+    """Whole prefixes: every span is what the template adds, or rewrites."""
+    numbered = lambda turns: "".join(f"[{i}|{r}]{t};" for i, (r, t) in enumerate(turns))
+    locator, turns = chat.Locator(numbered), [("user", f"t{i}") for i in range(700)]
+    found = [locator.add(*t) for t in turns]
+    assert "".join(x.span for x in found) == numbered(turns) and not any(x.rewrites for x in found)
+
+
 # WARC
 
 
@@ -585,6 +622,13 @@ def test_warc_index_is_in_global_order(spark, monkeypatch):
     assert len(keys) == 200 and keys == sorted(keys)
 
 
+def test_warc_of_clashing_columns(spark):
+    _, df = pages_of(spark)
+    other = df.select("*", *(F.lit(7).alias(c) for c in ("id", "at", "sha", "row", "first", "first_id", "archive", "value", "run", "key", "n")))
+    a, b = (Counter((r["key"], r["ts"], r["page"], r["type"], r["digest"], r["refers"]) for r in warc.round_trip(d).collect()) for d in (df, other))
+    assert a == b
+
+
 def test_archives_can_be_sought(spark, tmp_path):
     """An offset opens its record alone, also after a page of 17 MB."""
     import glob
@@ -743,6 +787,27 @@ def test_classifier_without_labels(spark, documents):
     assert len(out) == documents.count() and {r["score"] for r in out} == {0.5}
 
 
+def test_classifier_of_an_empty_table(spark, documents, no_documents):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    net = byte_conv.fit(no_documents, labels, crc_fold("doc_id", 3) != 1)
+    assert byte_conv.score(no_documents, net).collect() == [] and byte_conv.keep(no_documents, net).collect() == []
+    assert {r["score"] for r in byte_conv.score(documents, net).collect()} == {0.5}
+
+
+def test_fitting_sample_is_bounded(spark, documents, monkeypatch):
+    """Rows beyond the bounds aren't fitted on, whole rows are."""
+    rows = [(i, "plain words here " * 5 if i % 2 else "$$ %% ## " * 9) for i in range(60)] + [(90, "x" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(byte_conv, "FIT_LONGEST", 1000)
+    monkeypatch.setattr(byte_conv, "FIT_BYTES", 2000)
+    monkeypatch.setattr(byte_conv.Network, "fit", lambda self, texts, y: seen.append(texts) or self)
+    byte_conv.fit(docs, labels, F.lit(True))
+    known = {t.encode() for _, t in rows}
+    assert 10 < len(seen[0]) < 40 and sum(map(len, seen[0])) <= 2000 and set(seen[0]) <= known and max(map(len, seen[0])) <= 1000
+
+
 # LM scoring
 
 
@@ -924,6 +989,9 @@ def test_other_columns_change_nothing(documents, name):
     assert a.columns == b.columns
     if name not in ("lm", "conv"):
         assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    else:  # scores agree but for the last digits
+        x, y = (sorted(((repr(r["doc_id"]), round(r["score"], 4)) for r in f.collect())) for f in (a, b))
+        assert x == y
 
 
 def test_oracle_columns(spark, sf_dir):

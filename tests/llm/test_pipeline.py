@@ -70,6 +70,27 @@ def docs_schema(spark, sf_dir):
     return table(spark, sf_dir, "documents").schema
 
 
+def test_stages_of_nulls_repeats_and_other_columns(spark, sf_dir, documents):
+    """The fixture through every stage, with and without columns of its own."""
+    names = ("id", "hash", "key", "row", "block", "shard", "position", "__dedup_one", "n", "label")
+    for docs in (documents, documents.select("*", *(F.lit(7).alias(c) for c in names))):
+        ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        for name, stage in corpus_pipeline.STAGES:
+            out = materialize(stage(spark, docs, sf_dir), "stage")
+            if name != "byte BPE":
+                assert out.columns == docs.columns
+                docs = out
+            assert out.count() and {r["doc_id"] for r in out.select("doc_id").collect()} <= ids
+
+
+def test_stages_of_an_empty_table(spark, sf_dir, no_documents):
+    docs = no_documents
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.collect() == []
+        docs = docs if name == "byte BPE" else materialize(out, "stage")
+
+
 def test_run_gives_the_stages(spark, sf_dir):
     a = Counter(map(tuple, corpus_pipeline.run(spark, sf_dir).collect()))
     assert a and a == Counter(map(tuple, corpus_pipeline.run(spark, sf_dir).collect()))
