@@ -246,17 +246,19 @@ def expand(data: bytes, n: int, kind: type) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, decompressed_size=n * np.dtype(kind).itemsize, codec="zstd"), kind)
 
 
-def segments_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, length) of each segment of a text's words."""
-    if not len(hashes):
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+def segments_of(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, length) of each segment of texts of so many ``words``, whose words
+    lie one after another in ``hashes``; and how many segments each text has."""
     last = hashes % np.uint64(SEGMENT) == 0
-    last[-1] = True
+    stops = np.cumsum(words)
+    last[stops[words > 0] - 1] = True
     ends = np.flatnonzero(last) + 1
     lengths = np.diff(ends, prepend=0)
     first = ends - lengths
     place = (np.arange(len(hashes)) - np.repeat(first, lengths)).astype(np.uint64)
-    return mix(np.add.reduceat(mix(hashes + place * M2), first) + lengths.astype(np.uint64)).view(np.int64), lengths.astype(np.int32)
+    sums = np.add.reduceat(mix(hashes + place * M2), first) if len(first) else np.zeros(0, np.uint64)
+    found = mix(sums + lengths.astype(np.uint64)).view(np.int64)
+    return found, lengths.astype(np.int32), np.diff(np.searchsorted(ends, stops, "right"), prepend=0)
 
 
 class Block:
@@ -283,31 +285,41 @@ class Block:
             given = {"block": pa.array([block] * many, pa.int64()), **columns}
             return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(many, f.type) for f in schema], schema=schema)
 
-        counts = np.zeros(len(names), np.int64)
-        found, learned = [], []
-        for at in range(0, len(self.texts), 256):
-            part = self.texts[at : at + 256]
-            columns: list[list] = [[] for _ in range(8)]
-            for key, size, train, numbers in part:
-                segments, lengths = segments_of(hashes[numbers[:-1]])
-                found.append(segments)
-                learned.append(np.full(len(segments), train))
-                if train:
-                    counts += np.bincount(numbers, minlength=len(names))
-                for c, v in zip(columns, (key, train, size, len(numbers), len(segments), compact(numbers), compact(segments), compact(lengths)), strict=True):
-                    c.append(v)
-            types = [keys, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            made = dict(zip(("id", "train", "n_bytes", "n", "parts", "tokens", "segments", "lengths"), (pa.array(c, t) for c, t in zip(columns, types, strict=True)), strict=True))
-            yield batch(len(part), kind=pa.array([TEXT] * len(part), pa.int8()), **made)
+        keys_, sizes, train, numbers = zip(*self.texts, strict=True)
+        train = np.array(train, bool)
+        n = np.array(list(map(len, numbers)))
+        flat = np.concatenate(numbers)
+        counts = np.bincount(flat[np.repeat(train, n)], minlength=len(names))
+        found, lengths, parts = segments_of(hashes[flat[flat > 0]], n - 1)
+        # Segments are numbered as they come, which leaves little to store.
+        each, first, place, every = np.unique(found, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(first)
+        numbered = np.empty(len(each), np.int32)
+        numbered[order] = np.arange(len(each), dtype=np.int32)
+        place, each, every = numbered[place], each[order], every[order]
+        trained = np.bincount(place[np.repeat(train, parts)], minlength=len(each))
+        stop = np.cumsum(parts)
+        for at in range(0, len(n), 256):
+            part = range(at, min(at + 256, len(n)))
+            cuts = [slice(stop[i] - parts[i], stop[i]) for i in part]
+            columns = {
+                "id": pa.array([keys_[i] for i in part], keys),
+                "train": pa.array(train[at : at + 256]),
+                "n_bytes": pa.array([sizes[i] for i in part], pa.int64()),
+                "n": pa.array(n[at : at + 256], pa.int64()),
+                "parts": pa.array(parts[at : at + 256], pa.int64()),
+                "tokens": pa.array([compact(numbers[i]) for i in part], pa.binary()),
+                "segments": pa.array([compact(place[c]) for c in cuts], pa.binary()),
+                "lengths": pa.array([compact(lengths[c]) for c in cuts], pa.binary()),
+            }
+            yield batch(len(part), kind=pa.array([TEXT] * len(part), pa.int8()), **columns)
         for at in range(0, len(names), 50_000):
             part = names[at : at + 50_000]
             yield batch(len(part), kind=pa.array([TOKEN] * len(part), pa.int8()), token=pa.array(part, pa.binary()), number=pa.array(np.arange(at, at + len(part), dtype=np.int32)), n=pa.array(counts[at : at + len(part)]))
-        each, place, every = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-        trained = np.bincount(place, np.concatenate(learned), len(each)).astype(np.int64)
         for at in range(0, len(each), 50_000):
             part = slice(at, at + 50_000)
-            n = len(each[part])
-            yield batch(n, kind=pa.array([SEG] * n, pa.int8()), segment=pa.array(each[part]), n=pa.array(trained[part]), every=pa.array(every[part].astype(np.int64)))
+            many = len(each[part])
+            yield batch(many, kind=pa.array([SEG] * many, pa.int8()), number=pa.array(np.arange(at, at + many, dtype=np.int32)), segment=pa.array(each[part]), n=pa.array(trained[part]), every=pa.array(every[part].astype(np.int64)))
 
 
 def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,14 +458,13 @@ def sum_documents(totals: tuple[int, int, int]):
     n, v, listed = totals
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        number, c, lp, seg = (right[x].to_numpy() for x in ("number", "c", "lp", "segment"))
-        tokens = np.flatnonzero(number >= 0)
+        number, c, lp, is_token = (right[x].to_numpy() for x in ("number", "c", "lp", "is_token"))
+        tokens, again = np.flatnonzero(is_token), np.flatnonzero(~is_token)
         count, cost = np.zeros(len(tokens)), np.zeros(len(tokens))
         count[number[tokens]], cost[number[tokens]] = c[tokens], lp[tokens]
         base = np.log10((count + 1.0) / (n + 1.0 * (v + 1)))
-        again = np.flatnonzero(number < 0)
-        again = again[np.argsort(seg[again])]
-        known, times = seg[again], c[again]
+        times = np.zeros(1 + max(number[again], default=0))
+        times[number[again]] = c[again]
         rows = []
         for i in range(left.num_rows):
             train, size, n_tokens = (left[x][i].as_py() for x in ("train", "n_bytes", "n"))
@@ -461,15 +472,12 @@ def sum_documents(totals: tuple[int, int, int]):
             score = cost[at[-1]]
             if n_tokens > 1:
                 parts = left["parts"][i].as_py()
-                lengths, segments = expand(left["lengths"][i].as_py(), parts, np.int32), expand(left["segments"][i].as_py(), parts, np.int64)
+                lengths, segments = (expand(left[x][i].as_py(), parts, np.int32) for x in ("lengths", "segments"))
                 spelled = np.add.reduceat(cost[at[:-1]], np.cumsum(lengths) - lengths)
-                others = np.zeros(len(segments))
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, segments), len(known) - 1)
-                    others = np.where(known[place] == segments, times[place], 0).astype(float)
-                    if train:  # its own occurrences don't count
-                        _, back, own = np.unique(segments, return_inverse=True, return_counts=True)
-                        others = np.maximum(others - own[back], 0)
+                others = np.where(segments < len(times), times[np.minimum(segments, len(times) - 1)], 0)
+                if train and others.any():  # its own occurrences don't count
+                    _, back, own = np.unique(segments, return_inverse=True, return_counts=True)
+                    others = np.maximum(others - own[back], 0)
                 with np.errstate(divide="ignore"):
                     score += matched_log10(spelled, np.log10(others / max(listed, 1)))
             rows.append((not train, n_tokens, int((count[at] > 0).sum()), n, float(base[at].sum()), float(score), size))
@@ -521,15 +529,15 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     model = spark.sparkContext.broadcast((tables, mixed, apm))
     dealt = vocab.repartition(branch).sortWithinPartitions(in_order)
     scored = dealt.mapInArrow(score_tokens(model), "token binary, c long, lp double")
-    right = in_block.select("block", "number", "token").join(scored, "token").select("block", "number", "c", "lp", F.lit(0).cast("long").alias("segment"))
+    right = in_block.select("block", "number", "token").join(scored, "token").select("block", "number", "c", "lp", F.lit(True).alias("is_token"))
 
     # Segments that are there again, and in a training text.
-    in_texts = rows.filter(F.col("kind") == SEG).select("block", "segment", "n", "every")
+    in_texts = rows.filter(F.col("kind") == SEG).select("block", "number", "segment", "n", "every")
     known = in_texts.groupBy("segment").agg(F.sum("n").alias("c"), F.sum("every").alias("every"))
     listed = in_texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     known = materialize(known.filter("c > 0 and every > 1").select("segment", "c"), "lm-segments")
-    _, maybe = passing(in_texts.select("block", "segment"), "segment", known.select("segment"))
-    right = right.unionAll(maybe.join(known, "segment").select("block", F.lit(-1).alias("number"), "c", F.lit(0.0).alias("lp"), "segment"))
+    _, maybe = passing(in_texts.select("block", "number", "segment"), "segment", known.select("segment"))
+    right = right.unionAll(maybe.join(known, "segment").select("block", "number", "c", F.lit(0.0).alias("lp"), F.lit(False).alias("is_token")))
     texts = rows.filter(F.col("kind") == TEXT).select(F.col("block").alias("mine"), "id", "train", "n_bytes", "n", "parts", "tokens", "segments", "lengths")
     out = texts.groupBy("mine").cogroup(right.groupBy("block")).applyInArrow(
         sum_documents((tokens, types, listed)), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"

@@ -902,11 +902,15 @@ def test_lm_does_not_depend_on_partitions(spark, documents):
 def test_lm_segments():
     rng = np.random.default_rng(7)
     h = rng.integers(0, 1 << 62, 5000).astype(np.uint64)
-    found, lengths = context_mixing.segments_of(h)
-    assert lengths.sum() == 5000 and 10 < lengths.mean() < 25
-    again, _ = context_mixing.segments_of(np.concatenate((h[:7], h[40:])))
+    one = lambda x: context_mixing.segments_of(x, np.array([len(x)]))
+    found, lengths, parts = one(h)
+    assert lengths.sum() == 5000 and 10 < lengths.mean() < 25 and parts.tolist() == [len(found)]
+    again = one(np.concatenate((h[:7], h[40:])))[0]
     assert len(np.intersect1d(found, again)) > 0.95 * len(found)  # segments find each other after a change
-    assert len(context_mixing.segments_of(h[:0])[0]) == 0
+    together = context_mixing.segments_of(h, np.array([0, 3000, 0, 0, 2000, 0]))
+    assert together[0].tolist() == [*one(h[:3000])[0], *one(h[3000:])[0]]
+    assert together[2].tolist() == [0, len(one(h[:3000])[0]), 0, 0, len(one(h[3000:])[0]), 0]
+    assert len(one(h[:0])[0]) == 0
 
 
 def test_lm_is_a_probability():
