@@ -46,11 +46,12 @@ from .common import arrow_bounded, materialize, text_of
 from .components import components
 from .exact_dedup import passing
 
-GROUPS = 256
+GROUPS = 256  #: of the trees' points
+PER_GROUP = 8  #: n-grams of a group of a fine point, at most on average
 COARSE = 16
 LEAF = 16
 BLOCK = 1024  #: classes of a block
-BLOCK_GRAMS = 1 << 18  #: n-grams of a block, unless one set has more
+BLOCK_GRAMS = 1 << 19  #: n-grams of a block, unless one set has more
 SAMPLE = 4096  #: texts in which n-grams are counted, about; more of large tables:
 SAMPLE_PART = 16  #: one in so many
 FREQUENT = 1 << 18  #: n-grams that go last, at most (2 MB)
@@ -110,13 +111,25 @@ def leading(found: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray
     return found[np.lexsort((mix(found + M1), late))[:first]]
 
 
+def fine_point(found: np.ndarray) -> np.ndarray:
+    """Counts over so many groups that each holds a few n-grams; the first bits
+    of an n-gram are its group, so that neighbours add up to coarser groups."""
+    bits = max(8, int(len(found) / PER_GROUP - 1).bit_length())
+    return np.bincount((found >> np.uint64(64 - bits)).astype(np.intp), minlength=1 << bits)
+
+
 def pack(counts: np.ndarray) -> bytes:
-    """One byte a group where that holds all counts, else four."""
-    return counts.astype(np.uint8 if counts.max() < 256 else np.int32).tobytes()
+    """A mark, then one byte a group where that holds all counts, else four."""
+    small = not len(counts) or counts.max() < 256
+    return bytes([bool(small)]) + counts.astype(np.uint8 if small else np.int32).tobytes()
+
 
+def unpack(point: bytes) -> np.ndarray:
+    return np.frombuffer(point, np.uint8 if point[0] else np.int32, offset=1).astype(np.int32)
 
-def unpack(points: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(p, np.uint8 if len(p) == GROUPS else np.int32) for p in points]).astype(np.int32)
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    return point if len(point) == groups else point.reshape(groups, -1).sum(1, dtype=np.int32)
 
 
 def set_key(found: np.ndarray) -> bytes | None:
@@ -138,7 +151,7 @@ def describe(size: int, percent: int, frequent):
                 n.append(len(found))
                 keys.append(set_key(found))
                 sigs.append(leading(found, percent, frequent.value).view(np.int64))
-                points.append(pack(count_vectors(found, np.array([len(found)]))[0]))
+                points.append(pack(fine_point(found)))
             ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch["id"], batch["hash"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), flat, pa.array(points, pa.binary())], names=["id", "hash", "n", "key", "sigs", "point"])
@@ -210,7 +223,7 @@ class RTree:
 def count_vectors(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The points of sets that lie one after another in ``flat``."""
     row = np.repeat(np.arange(len(n)), n)
-    group = (flat >> np.uint64(24) & np.uint64(GROUPS - 1)).astype(np.int64)
+    group = (flat >> np.uint64(56)).astype(np.int64)
     return np.bincount(row * GROUPS + group, minlength=len(n) * GROUPS).reshape(len(n), GROUPS).astype(np.int32)
 
 
@@ -280,7 +293,7 @@ class Bucket:
         near = (100 + self.percent) * bound >= self.percent * (self.n[:, None] + self.n[None])
         root = list(range(len(self.n)))
         for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-            if root[i] != root[j]:
+            if root[i] != root[j] and self.near(i, j):
                 old, new = root[j], root[i]
                 root = [new if r == old else r for r in root]
                 yield int(self.node[i]), int(self.node[j])
@@ -288,10 +301,19 @@ class Bucket:
     def __init__(self, i: int, j: int, rows: list[tuple], percent: int):
         """Of blocks i and j; rows: node, block, n, point; by node."""
         self.node, block, self.n = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
-        self.points = unpack([r[3] for r in rows])
+        self.fine = [unpack(r[3]) for r in rows]
+        self.points = np.stack([folded(p, GROUPS) for p in self.fine])
         self.held, self.asks = np.flatnonzero(block == i), np.flatnonzero(block == j)
         self.percent = percent
 
+    def near(self, i: int, j: int) -> bool:
+        """Whether the finer points of two sets let them link."""
+        groups = min(len(self.fine[i]), len(self.fine[j]))
+        if groups == GROUPS:
+            return True
+        bound = np.minimum(folded(self.fine[i], groups), folded(self.fine[j], groups)).sum()
+        return (100 + self.percent) * bound >= self.percent * (self.n[i] + self.n[j])
+
     def found(self) -> Iterator[tuple]:
         """(node, node) of a forest over the pairs whose bound lets them link."""
         if not len(self.held):
@@ -305,6 +327,8 @@ class Bucket:
             if (root == root[0]).all():
                 return
             got = self.held[tree.query(self.points[i], self.n[i])]
+            if len(self.fine[i]) > GROUPS:
+                got = np.array([j for j in got if self.near(i, j)], np.intp)
             old, first = np.unique(root[got], return_index=True)
             for j in got[first][old != root[i]]:
                 yield int(self.node[i]), int(self.node[j])

@@ -462,6 +462,24 @@ def test_linked_sets_share_a_leading_gram(size, percent):
         assert linked > 50
 
 
+def test_fine_points_tell_long_sets_apart():
+    """Points of long sets fold to the trees' points, bound every overlap, and
+    keep unrelated sets from being tied."""
+    rng = np.random.default_rng(3)
+    base = [np.unique(rng.integers(0, 1 << 63, 12_000).astype(np.uint64) * np.uint64(2)) for _ in range(4)]
+    near = np.unique(np.concatenate((base[0][600:], base[1][:500])))
+    sets = [*base, near, base[2][:900]]
+    rows = [(k, 0, len(x), ngram_join.pack(ngram_join.fine_point(x))) for k, x in enumerate(sets)]
+    bucket = ngram_join.Bucket(0, 0, rows, 80)
+    assert len(bucket.fine[0]) > ngram_join.GROUPS
+    for k, x in enumerate(sets):
+        assert (bucket.points[k] == ngram_join.count_vectors(x, np.array([len(x)]))[0]).all()
+    assert sorted(bucket.found()) == [(0, 4)]
+    many = ngram_join.Bucket(0, 0, rows * 4, 80)  # by the tree
+    tied = {frozenset(p) for p in many.found()}
+    assert all(a == b or {a, b} == {0, 4} for a, b in (tuple(t) * (3 - len(t)) for t in tied))
+
+
 def test_grams_are_those_of_the_words():
     texts = ["", " \t\n\x0b\x0c\r ", "One two", "a b c a b c a", "x" * 200 + " " + "x" * 199 + "y", "\x1c\x85 \xa0 \u3042 ab", "ab c", "a bc"]
     for text in texts:
@@ -477,8 +495,8 @@ def test_tree_bound_never_loses():
     kinds = rng.integers(0, 9, (12, ngram_join.GROUPS))
     points = np.maximum(kinds[rng.integers(0, 12, 300)] + rng.integers(-1, 2, (300, ngram_join.GROUPS)), 0).astype(np.int32)
     sizes = points.sum(1, dtype=np.int64)
-    assert (ngram_join.unpack([ngram_join.pack(p) for p in points]) == points).all()
-    assert ngram_join.unpack([ngram_join.pack(points[0]), ngram_join.pack(points[1] * 99)])[0].tolist() == points[0].tolist()
+    for p in (points[0], points[1] * 99):
+        assert ngram_join.unpack(ngram_join.pack(p)).tolist() == p.tolist()
     tree = ngram_join.RTree(points, sizes, 70)
     for i in range(0, 300, 17):
         bound = np.minimum(points, points[i]).sum(1)
