@@ -38,9 +38,32 @@ def problems(root: str | Path, wanted: dict[str, str]) -> list[str]:
     return out + [f"{n} is stale" for n in sorted(held & set(wanted)) if (root / n).read_text() != wanted[n]]
 
 
+def journal(root: Path) -> Path:
+    return root.with_name(f".{root.name}-journal")
+
+
+def recover(root: str | Path) -> bool:
+    """Ends what a publication that died left: its old folder comes back where
+    the new one isn't in place yet.  True if there was something to do."""
+    root = Path(root)
+    note = journal(root)
+    if not note.exists():
+        return False
+    names = json.loads(note.read_text() or "{}")
+    old, stage = (root.with_name(names.get(k) or f".{root.name}-{k}") for k in ("old", "stage"))
+    if old.exists() and not root.exists():
+        os.replace(old, root)
+    for left in (old, stage):
+        shutil.rmtree(left, ignore_errors=True)
+    note.unlink()
+    return True
+
+
 def publish(root: str | Path, wanted: dict[str, str]) -> list[str]:
-    """Puts all files in place, or none: the old folder comes back on failure."""
+    """Puts all files in place, or none: the old folder comes back on failure,
+    or with the next publication if this one dies between its two renames."""
     root = Path(root)
+    recover(root)
     if len({n.lower() for n in wanted}) < len(wanted):
         raise SqlError("two outputs share a name")
     for name in wanted:
@@ -52,6 +75,7 @@ def publish(root: str | Path, wanted: dict[str, str]) -> list[str]:
     root.parent.mkdir(parents=True, exist_ok=True)
     stage = Path(tempfile.mkdtemp(prefix=f".{root.name}-", dir=root.parent))
     old = root.with_name(f".{root.name}-old")
+    journal(root).write_text(json.dumps({"stage": stage.name, "old": old.name}))
     try:
         if root.exists():
             shutil.copytree(root, stage, dirs_exist_ok=True)
@@ -70,8 +94,7 @@ def publish(root: str | Path, wanted: dict[str, str]) -> list[str]:
                 os.replace(old, root)
             raise
     finally:
-        shutil.rmtree(stage, ignore_errors=True)
-        shutil.rmtree(old, ignore_errors=True)
+        recover(root)
     return todo
 
 

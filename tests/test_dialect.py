@@ -107,6 +107,8 @@ STATEMENTS = [
     "select id, sum(n) over (partition by grp order by id rows between 1 preceding and current row) - 1 as s from t",
     "with recursive c(k) as (select 1 union all select k + 1 from c where k < 5) select k from c",
     "select n from t where grp is not 'a'",
+    "select t.n, t.id from main.t where t.id > 1",
+    "select m.n from main.t as m where m.id in (select id from main.t)",
     "select id from t where tags match 'x OR p'",
     "select id from t where tags match '\"q r\" NOT y'",
     "select grp, group_concat(id) as ids from (select * from t where id = 3 or id = 5) group by grp",

@@ -341,6 +341,31 @@ def test_publish(tmp_path, session, registry):
         publish.publish(out, {"mine.pyi": text})
 
 
+def test_publication_that_died(tmp_path, monkeypatch):
+    """Between its two renames: the old folder comes back."""
+    import os
+
+    out = tmp_path / "generated"
+    publish.publish(out, {"a.pyi": publish.HEADER + "one"})
+    real, calls = os.replace, []
+
+    def dies(a, b):
+        calls.append(a)
+        if len(calls) == 2:
+            raise KeyboardInterrupt
+        real(a, b)
+
+    monkeypatch.setattr(publish.os, "replace", dies)
+    monkeypatch.setattr(publish, "recover", lambda root: False)  # it is gone before it can clean up
+    with pytest.raises(KeyboardInterrupt):
+        publish.publish(out, {"a.pyi": publish.HEADER + "two"})
+    monkeypatch.undo()
+    assert not out.exists() and publish.recover(out) and (out / "a.pyi").read_text().endswith("one")
+    assert not publish.recover(out) and sorted(p.name for p in tmp_path.iterdir()) == ["generated"]
+    publish.publish(out, {"a.pyi": publish.HEADER + "two"})
+    assert (out / "a.pyi").read_text().endswith("two") and sorted(p.name for p in tmp_path.iterdir()) == ["generated"]
+
+
 def test_inventory(tmp_path):
     import subprocess
 
