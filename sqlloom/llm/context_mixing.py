@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bounded, materialize, text_of
+from .common import arrow_bounded, give_back, materialize, release, text_of
 from .exact_dedup import passing
 from .ngram_join import M2, mix, word_hashes
 
@@ -239,11 +239,13 @@ TEXT, TOKEN, SEG = 0, 1, 2
 
 
 def compact(values: np.ndarray) -> bytes:
-    return pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+    """Small numbers: all first bytes, then all second ones, and so on."""
+    return pa.compress(values.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
 
 
-def expand(data: bytes, n: int, kind: type) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, decompressed_size=n * np.dtype(kind).itemsize, codec="zstd"), kind)
+def expand(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view(np.int32).ravel()
 
 
 def segments_of(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -288,9 +290,14 @@ class Block:
         keys_, sizes, train, numbers = zip(*self.texts, strict=True)
         train = np.array(train, bool)
         n = np.array(list(map(len, numbers)))
-        flat = np.concatenate(numbers)
-        counts = np.bincount(flat[np.repeat(train, n)], minlength=len(names))
-        found, lengths, parts = segments_of(hashes[flat[flat > 0]], n - 1)
+        counts = np.zeros(len(names), np.int64)
+        cut = []
+        for at in range(0, len(n), 64):
+            part = slice(at, at + 64)
+            flat = np.concatenate(numbers[part])
+            np.add.at(counts, flat[np.repeat(train[part], n[part])], 1)
+            cut.append(segments_of(hashes[flat[flat > 0]], n[part] - 1))
+        found, lengths, parts = (np.concatenate(x) for x in zip(*cut, strict=True))
         # Segments are numbered as they come, which leaves little to store.
         each, first, place, every = np.unique(found, return_index=True, return_inverse=True, return_counts=True)
         order = np.argsort(first)
@@ -336,6 +343,7 @@ def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 block, made = Block(), made + 1
     if block.texts:
         yield from block.rows(part << 32 | made, keys)
+    give_back()
 
 
 def gather_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,6 +420,7 @@ def learn_weights(tables):
             if mass:
                 values = np.concatenate(([mass], m.weights.astype(np.float64).ravel() * mass, m.apm.ravel()))
                 yield pa.record_batch([pa.array(np.arange(len(values))), pa.array(values)], names=["place", "value"])
+        give_back()
 
     return run
 
@@ -420,7 +429,8 @@ def score_tokens(model):
     def run(batches):
         m = Mixer(*model.value)
         for tokens, counts in branches(batches):
-            yield pa.record_batch([pa.array(tokens, pa.binary()), pa.array(counts.astype(np.int64)), pa.array(m.log10(tokens, counts))], names=["token", "c", "lp"])
+            yield pa.record_batch([pa.array(tokens, pa.binary()), pa.array(counts.astype(np.int64)), pa.array(m.log10(tokens, counts).astype(np.float32))], names=["token", "c", "lp"])
+        give_back()
 
     return run
 
@@ -468,11 +478,11 @@ def sum_documents(totals: tuple[int, int, int]):
         rows = []
         for i in range(left.num_rows):
             train, size, n_tokens = (left[x][i].as_py() for x in ("train", "n_bytes", "n"))
-            at = expand(left["tokens"][i].as_py(), n_tokens, np.int32)
+            at = expand(left["tokens"][i].as_py(), n_tokens)
             score = cost[at[-1]]
             if n_tokens > 1:
                 parts = left["parts"][i].as_py()
-                lengths, segments = (expand(left[x][i].as_py(), parts, np.int32) for x in ("lengths", "segments"))
+                lengths, segments = (expand(left[x][i].as_py(), parts) for x in ("lengths", "segments"))
                 spelled = np.add.reduceat(cost[at[:-1]], np.cumsum(lengths) - lengths)
                 others = np.where(segments < len(times), times[np.minimum(segments, len(times) - 1)], 0)
                 if train and others.any():  # its own occurrences don't count
@@ -482,6 +492,7 @@ def sum_documents(totals: tuple[int, int, int]):
                     score += matched_log10(spelled, np.log10(others / max(listed, 1)))
             rows.append((not train, n_tokens, int((count[at] > 0).sum()), n, float(base[at].sum()), float(score), size))
         cols = list(zip(*rows, strict=True))
+        give_back()
         return pa.table([left["id"], *(pa.array(x) for x in cols)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
 
     return run
@@ -503,6 +514,7 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     branch = F.xxhash64(F.substring("token", 1, TRIE_FROM))
     in_order = F.concat("token", F.lit(b" "))
     vocab = materialize(vocab, "lm-vocab")
+    release(spark)
     tokens, types, every = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count("*")).first()
 
     tasks = max(1, -(-every // (2 * STREAM)))
@@ -528,7 +540,7 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     apm = sums[1 + N_CTX * GATES :].reshape(GATES, APM_BINS, 2)
     model = spark.sparkContext.broadcast((tables, mixed, apm))
     dealt = vocab.repartition(branch).sortWithinPartitions(in_order)
-    scored = dealt.mapInArrow(score_tokens(model), "token binary, c long, lp double")
+    scored = dealt.mapInArrow(score_tokens(model), "token binary, c long, lp float")
     right = in_block.select("block", "number", "token").join(scored, "token").select("block", "number", "c", "lp", F.lit(True).alias("is_token"))
 
     # Segments that are there again, and in a training text.
@@ -536,8 +548,9 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     known = in_texts.groupBy("segment").agg(F.sum("n").alias("c"), F.sum("every").alias("every"))
     listed = in_texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     known = materialize(known.filter("c > 0 and every > 1").select("segment", "c"), "lm-segments")
+    release(spark)
     _, maybe = passing(in_texts.select("block", "number", "segment"), "segment", known.select("segment"))
-    right = right.unionAll(maybe.join(known, "segment").select("block", "number", "c", F.lit(0.0).alias("lp"), F.lit(False).alias("is_token")))
+    right = right.unionAll(maybe.join(known, "segment").select("block", "number", "c", F.lit(0.0).cast("float").alias("lp"), F.lit(False).alias("is_token")))
     texts = rows.filter(F.col("kind") == TEXT).select(F.col("block").alias("mine"), "id", "train", "n_bytes", "n", "parts", "tokens", "segments", "lengths")
     out = texts.groupBy("mine").cogroup(right.groupBy("block")).applyInArrow(
         sum_documents((tokens, types, listed)), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"

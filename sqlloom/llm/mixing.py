@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words, text_of
+from .common import discard, materialize, n_words, text_of
 from .exact_dedup import passing
 
 SEED = 20_240_501
@@ -125,7 +125,8 @@ def split(quotas: DataFrame, shards: int) -> DataFrame:
         right = "zip_with(q, left, (x, y) -> zip_with(x, y, (a, b) -> a - b))"
         halves = todo.select(F.explode(F.expr(f"array(named_struct('lo', lo, 'hi', mid, 'all', all, 'q', left), named_struct('lo', mid, 'hi', hi, 'all', all, 'q', {right}))")).alias("x"))
         # A level is as small as its sums; written, it keeps the plans flat.
-        nodes = materialize(done.unionAll(halves.select("x.lo", "x.hi", "x.all", "x.q")), "mix-tree")
+        above, nodes = nodes, materialize(done.unionAll(halves.select("x.lo", "x.hi", "x.all", "x.q")), "mix-tree")
+        discard(above)
         shards = -(-shards // 2)
     leaves = nodes.select(F.col("lo").alias("shard"), F.posexplode("q").alias("c", "part"))
     leaves = leaves.select("shard", "c", F.posexplode("part").alias("p", "quota"))

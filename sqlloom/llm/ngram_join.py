@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bounded, materialize, text_of
+from .common import arrow_bounded, discard, give_back, materialize, release, text_of
 from .components import components
 from .exact_dedup import passing
 
@@ -367,6 +367,7 @@ def in_cells(kind: type, percent: int, by: str, columns: tuple[str, str], names:
                 yield flush()
         if held:
             yield flush()
+        give_back()
 
     return run
 
@@ -401,6 +402,7 @@ def joined(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
     dealt = mine.select(F.col("row").alias("node"), F.explode("sigs").alias("sig"))
     common = materialize(dealt.groupBy("sig").agg(F.count("*").alias("times")).filter("times > 1").select("sig"), "join-common")
     members = materialize(passing(dealt, "sig", common)[1].join(common, "sig"), "join-members")
+    release(spark)
 
     # Buckets of the same classes are read once.
     told = members.groupBy("sig").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
@@ -409,9 +411,11 @@ def joined(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
     buckets = in_blocks(buckets).join(mine.select(F.col("row").alias("node"), "n", "point"), "node")
     buckets = buckets.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "node")
     ties = materialize(buckets.mapInArrow(in_cells(Bucket, percent, "sig", ("n", "point"), ["a", "b"]), "a long, b long"), "join-ties")
+    release(spark)
 
     # Neighbourhoods, and the blocks of each.
-    near = components(ties).withColumnRenamed("root", "near")
+    neighbours = components(ties)
+    near = neighbours.withColumnRenamed("root", "near")
     placed = near.join(classes.select("node", "key", "id", "n", "copies"), "node")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
     placed = materialize(placed.join(placed.groupBy("near").agg(blocks.alias("blocks")), "near"), "join-placed")
@@ -429,6 +433,7 @@ def joined(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
     lows = rooted.groupBy("root").agg(F.min(F.struct("low", "node")).alias("best"))
     named = rooted.join(lows, "root").select("key", F.col("best.low").alias("component"), (F.col("best.node") == F.col("node")).alias("leads"), "node", "links")
     named = materialize(named, "join-components")
+    discard(repeats, common, members, ties, neighbours, placed, verified, roots, classes)
     out = found.select("id", "hash", "n", "key", "row").join(named, "key", "left")
     keeps = F.col("node").isNull() | (F.col("leads") & (F.col("node") == F.col("row")))
     return out.select("id", "hash", "n", F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).alias("links"), keeps.alias("keeps"))
