@@ -508,7 +508,7 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     arrow_bounded(spark)
     plain = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     kind = plain.schema["id"].dataType.simpleString()
-    rows = materialize(plain.mapInArrow(read_blocks, f"id {kind}, {ROW_SQL}"), "lm-blocks")
+    rows = materialize(plain.mapInArrow(read_blocks, f"id {kind}, {ROW_SQL}"), "lm-blocks", "zstd")
     in_block = rows.filter(F.col("kind") == TOKEN)
     vocab = in_block.groupBy("token").agg(F.sum("n").alias("c"))
     branch = F.xxhash64(F.substring("token", 1, TRIE_FROM))
